@@ -69,3 +69,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not re.match(r"[a-z0-9]+:", base):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file; operators take any such path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

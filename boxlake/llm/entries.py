@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, tokenizer
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(read(spark, sf_dir, "documents")))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_round_trip
+
+    return bpe_round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
