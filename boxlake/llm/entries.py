@@ -21,6 +21,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_output
+
+    return token_output(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
