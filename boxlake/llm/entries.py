@@ -21,6 +21,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import digest, substring_dedup
+
+    return digest(substring_dedup(read(spark, sf_dir, "documents")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_output
 
