@@ -33,6 +33,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_dedup
+
+    return simhash_dedup(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
