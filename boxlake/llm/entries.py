@@ -39,6 +39,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, fit_quality
+
+    docs = read(spark, sf_dir, "documents")
+    return classify(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_language, identify
+
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, fit_language(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
