@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk
 from .common import read, tokenizer
 
 
@@ -53,8 +54,16 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_language(docs))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import QUERY_STEP, top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_topk": topk.ORACLE_SQL}
