@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,15 +41,41 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1,
 #: A frame is closed at so many ids or documents.
 FRAME_IDS, FRAME_DOCS = 1 << 18, 512
 #: White-space delimited strings whose ids a worker remembers, twice, and the longest.
-MEMO_ENTRIES, MEMO_BYTES = 250_000, 64
+MEMO_ENTRIES, MEMO_BYTES = 200_000, 64
 NO_ID = -(1 << 63)
 
 
+#: Words whose pieces this module can tell itself: printable ASCII and Latin-1 letters.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+# Fixed value: the tokenizer's pattern for pieces, over lower-case plain words.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+class Memo:
+    """A bounded map; when full it becomes the old one, and entries found there again move back."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        if len(self.new) >= MEMO_ENTRIES:
+            self.old, self.new = self.new, {}
+        out, new, old = [], self.new, self.old
+        for k in [k for k in keys if k not in new]:
+            if (v := old.get(k)) is not None:
+                new[k] = v
+            else:
+                out.append(k)
+        return out
+
+
 class WordEncoder:
-    """The library's ids of a text, put together from the ids of its words.
+    """The library's ids of a text, put together from the ids of its words and their pieces.
 
-    Only for tokenizers whose pieces never cross white space and whose
-    normalizer treats words alike wherever they stand.
+    Only for tokenizers whose pieces never cross white space, whose normalizer
+    treats words alike wherever they stand, and whose last token of each piece
+    carries the end-of-word mark.
     """
 
     def __init__(self, path: str):
@@ -58,26 +85,49 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.pieces = Memo(), Memo()
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _new_pieces(self, pieces: list[str]) -> None:
+        """All in one call: every piece ends at a token with the end-of-word mark."""
+        if not pieces:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(pieces):
+            raise ValueError("the tokenizer's pieces are not marked at their ends")
+        packed, at = ids.tobytes(), 0
+        for piece, cut in zip(pieces, cuts.tolist()):
+            self.pieces.new[piece] = packed[at:cut]
+            at = cut
 
     def encode(self, text: str) -> bytes:
         words = text.encode("utf-8").split()
-        if len(self.new) >= MEMO_ENTRIES:
-            self.old, self.new = self.new, {}
-        new, old, long = self.new, self.old, {}
-        missing = []
-        for w in set(words):
-            if w not in new:
-                if (packed := old.get(w)) is not None:
-                    new[w] = packed
+        long: dict[bytes, bytes] = {}
+        missing = self.words.missing(set(words))
+        if missing:
+            known, plain, other = self.words.new, [], []
+            for w in missing:
+                word = w.decode("utf-8")
+                if PLAIN.match(word) and not any(t in word for t in self.special):
+                    plain.append((w, PIECE.findall(word.lower())))
                 else:
-                    missing.append(w)
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in missing], add_special_tokens=False)):
-            (new if len(w) <= MEMO_BYTES else long)[w] = np.array(e.ids, "<u4").tobytes()
+                    other.append((w, word))
+            self._new_pieces(self.pieces.missing({p for _, pieces in plain for p in pieces}))
+            piece = self.pieces.new.__getitem__
+            for w, pieces in plain:
+                (known if len(w) <= MEMO_BYTES else long)[w] = b"".join(map(piece, pieces))
+            for (w, _), packed in zip(other, self._whole([word for _, word in other])):
+                (known if len(w) <= MEMO_BYTES else long)[w] = packed
         if long:
-            return b"".join([new[w] if w in new else long[w] for w in words])
-        return b"".join(map(new.__getitem__, words))
+            return b"".join([long[w] if w in long else self.words.new[w] for w in words])
+        return b"".join(map(self.words.new.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=2)
