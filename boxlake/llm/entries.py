@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk
+from . import decontaminate, line_templates, topk
 from .common import read, tokenizer
 
 
@@ -62,8 +62,24 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_templates import digest, drop_recurring_lines
+
+    return digest(drop_recurring_lines(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-ORACLE_SQL: dict[str, str] = {"op8_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_topk": topk.ORACLE_SQL,
+    "op9_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_line_templates": line_templates.ORACLE_SQL,
+}
