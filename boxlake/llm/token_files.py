@@ -88,7 +88,7 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.pieces = Memo(), Memo()
 
     def _whole(self, words: list[str]) -> list[bytes]:
@@ -107,15 +107,17 @@ class WordEncoder:
             self.pieces.new[piece] = packed[at:cut]
             at = cut
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8").split()
+    def encode(self, text: bytes) -> bytes:
+        """Packed ids of a UTF-8 text."""
+        words = text.split()
+        special = any(t in text for t in self.special)
         long: dict[bytes, bytes] = {}
         missing = self.words.missing(set(words))
         if missing:
             known, plain, other = self.words.new, [], []
             for w in missing:
                 word = w.decode("utf-8")
-                if PLAIN.match(word) and not any(t in word for t in self.special):
+                if PLAIN.match(word) and not (special and any(t in w for t in self.special)):
                     plain.append((w, PIECE.findall(word.lower())))
                 else:
                     other.append((w, word))
@@ -140,7 +142,7 @@ class TokenFileWriter:
 
     def __init__(self, out):
         self.out, self.table, self.first, self.docs, self.ids = out, [], [], [], []
-        self.compressor = zstandard.ZstdCompressor(level=3)
+        self.compressor = zstandard.ZstdCompressor(level=1)
         self.n_docs = self.n_ids = self.held = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -238,7 +240,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, doc_id:
                 if writer is None:
                     sink = fs.open_output_stream(own)
                     writer = TokenFileWriter(sink)
-                writer.add(d, encoder.encode(t or "") + end)
+                writer.add(d, encoder.encode(t or b"") + end)
         if writer is not None:
             writer.close()
             sink.close()
@@ -248,6 +250,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, doc_id:
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        .select("doc_id", F.col("text").cast("binary"))
     )
     files = checkpointed(map_batches(ordered, write, "part int, file string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -266,7 +269,7 @@ def read_token_files(files: DataFrame, out: str) -> DataFrame:
                     for k in range(len(file.first)):
                         rows = []
                         for d, ids in file.frame(k):
-                            rows.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+                            rows.append((d, at, len(ids), zlib.crc32(ids)))
                             at += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
