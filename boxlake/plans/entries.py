@@ -712,7 +712,7 @@ def arr1_assemble(spark, sf_dir):
     return _padded(spark, sf_dir).select("game_id", "team_id", F.size("players").alias("length"), F.size(F.filter("mask", lambda m: m)).alias("n_real"))
 
 
-@query("""select game_id, team_id, cast(row_number() over w - 1 as int) as slot, player_id, secs from pbox qualify row_number() over w <= 15 window w as (partition by game_id, team_id order by secs desc, player_id)""")
+@query("""select game_id, team_id, cast(row_number() over w - 1 as int) as slot, player_id, secs from pbox window w as (partition by game_id, team_id order by secs desc, player_id) qualify row_number() over w <= 15""")
 def arr2_explode(spark, sf_dir):
     return reshape.explode_game_rows(_padded(spark, sf_dir), ["game_id", "team_id"], ["player_id", "secs"])
 
@@ -741,7 +741,7 @@ def _model_rows(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "pbox").where(played()).withColumns({"pts": points().cast("double"), "q": F.col("secs") / 3600.0, "is_home": F.col("is_home").cast("double"), "oreb": F.col("oreb").cast("double")})
 
 
-@query("select season, cast(count(*) as bigint) as n, round(sum(2 * fgm + tpm + ftm), 2) as total_y from pbox where secs > 0 and season <= 1999 group by season")
+@query("select season, cast(count(*) as bigint) as n, cast(sum(2 * fgm + tpm + ftm) as double) as total_y from pbox where secs > 0 and season <= 1999 group by season")
 def bas2_poisson_rows(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("season").agg(F.count("pred").alias("n"), F.round(F.sum("pts"), 2).alias("total_y"))
 
@@ -751,7 +751,7 @@ def _scored(spark, sf_dir) -> DataFrame:
     return baseline.predict(baseline.fit_poisson(rows, "pts", _FEATURES), rows, _FEATURES)
 
 
-@query("select round(sum(2 * fgm + tpm + ftm), 0) as sum_y, round(sum(2 * fgm + tpm + ftm), 0) as sum_mu from pbox where secs > 0 and season <= 1999")
+@query("select cast(sum(2 * fgm + tpm + ftm) as double) as sum_y, cast(sum(2 * fgm + tpm + ftm) as double) as sum_mu from pbox where secs > 0 and season <= 1999")
 def bas2_poisson(spark, sf_dir):
     """The score equation of the intercept: fitted and observed totals agree."""
     return _scored(spark, sf_dir).agg(F.round(F.sum("pts"), 0).cast("double").alias("sum_y"), F.round(F.sum("pred"), 0).alias("sum_mu"))
