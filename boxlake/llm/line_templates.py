@@ -8,8 +8,8 @@ in 60 % of its positions belongs to the leaf's template, any other line is a
 template of its own. Templates found in ten or more different texts recur;
 their lines are dropped.
 
-Only leaves seen in ten texts are looked at beyond their key, and lines
-travel as numbers. Exact copies of a text count once. Lines are separated by
+Lines travel as numbers; only templates in leaves seen in ten texts are looked
+at again, each through one of its lines. Exact copies of a text count once. Lines are separated by
 ``\\n``, tokens by ASCII white space; lines without tokens stay and count as
 lines. A null text has no lines and stays null, the empty text has one. A
 document that loses all its lines stays, with the empty text. Result rows and
@@ -21,7 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 MIN_DOCS, LEAD, AGREE = 10, 3, 0.6
+#: Tables of keys are broadcast up to so many rows (some MB), and joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 _TEXT = ["_text_hash", "_text_size"]
 _LEAF = ["_n", "_leaf"]
 
@@ -42,21 +46,31 @@ def template_lines(docs: DataFrame) -> DataFrame:
     return tokens.withColumns({"_n": F.size("_tokens"), "_leaf": F.xxhash64(F.slice("_tokens", 1, LEAD)), "_template": F.xxhash64("_tokens")})
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` computed once, and broadcast in joins if it has at most :data:`BROADCAST_ROWS` rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float = AGREE) -> DataFrame:
     """Text key and ``_places``: the places of lines whose template recurs."""
-    lines = template_lines(docs)
-    leaves = lines.select(*_LEAF, *_TEXT).distinct().groupBy(*_LEAF).agg(F.count("*").alias("_texts")).where(F.col("_texts") >= min_docs).select(*_LEAF)
+    lines = checkpointed(template_lines(docs).drop("_tokens"))
+    leaves = _small(lines.select(*_LEAF, *_TEXT).distinct().groupBy(*_LEAF).agg(F.count("*").alias("_texts")).where(F.col("_texts") >= min_docs).select(*_LEAF))
     inside = lines.join(leaves, _LEAF, "left_semi")
-    templates = inside.groupBy(*_LEAF, "_template").agg(F.first("_tokens").alias("_tokens"))
+    # The tokens of a template come from one of its lines.
+    shown = checkpointed(inside.groupBy(*_LEAF, "_template").agg(F.min(F.struct(*_TEXT, "_place")).alias("_at")).select(*_LEAF, "_template", "_at.*"))
+    texts = _small(shown.select(*_TEXT).distinct())
+    some = _keyed(docs.select("text")).join(texts, _TEXT, "left_semi").select("text").distinct()
+    templates = checkpointed(template_lines(some).select(*_TEXT, "_place", "_tokens").join(shown, [*_TEXT, "_place"]).select(*_LEAF, "_template", "_tokens"))
     per_leaf = templates.groupBy(*_LEAF).agg(F.count("*").alias("_of"))
     votes = templates.select(*_LEAF, F.posexplode("_tokens").alias("_at", "_token")).groupBy(*_LEAF, "_at", "_token").agg(F.count("*").alias("_votes"))
     constant = votes.join(per_leaf, _LEAF).where(F.col("_votes") * 2 > F.col("_of"))
     constants = constant.groupBy(*_LEAF).agg(F.collect_list(F.struct("_at", "_token")).alias("_constants"))  # one for each position at most
     matched = F.size(F.filter("_constants", lambda c: F.get("_tokens", c["_at"]) == c["_token"]))
     group = F.when(matched >= agree * F.col("_n"), F.lit(None).cast("long")).otherwise(F.col("_template"))
-    groups = templates.join(constants, _LEAF).select(*_LEAF, "_template", group.alias("_group"))
-    found = inside.select(*_TEXT, "_place", *_LEAF, "_template").join(groups, [*_LEAF, "_template"]).drop("_template")
-    counts = found.select(*_LEAF, "_group", *_TEXT).distinct().groupBy(*_LEAF, "_group").agg(F.count("*").alias("_texts")).where(F.col("_texts") >= min_docs)
+    groups = _small(templates.join(constants, _LEAF).select(*_LEAF, "_template", group.alias("_group")))
+    found = checkpointed(inside.join(groups, [*_LEAF, "_template"]).select(*_TEXT, "_place", *_LEAF, "_group"))
+    counts = _small(found.select(*_LEAF, "_group", *_TEXT).distinct().groupBy(*_LEAF, "_group").agg(F.count("*").alias("_texts")).where(F.col("_texts") >= min_docs))
     same = [found[c].eqNullSafe(counts[c]) for c in (*_LEAF, "_group")]
     return found.join(counts, same, "left_semi").groupBy(*_TEXT).agg(F.collect_set("_place").alias("_places"))
 
@@ -66,10 +80,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float
     places = recurring_lines(docs, min_docs, agree)
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_places", i))
-    out = _keyed(docs).join(places, _TEXT, "left")
-    out = out.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)), "_n_removed": F.coalesce(F.size("_places"), F.lit(0))})
-    out = out.withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.select(*docs.columns, "_n_lines", "_n_removed")
+    # All columns travel in one, so that their names can't clash with ours.
+    out = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "text")).join(places, _TEXT, "left")
+    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(
+        *[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(0)).alias("_n_lines"), F.coalesce(F.size("_places"), F.lit(0)).alias("_n_removed"))
 
 
 def digest(cut: DataFrame) -> DataFrame:
