@@ -1,0 +1,383 @@
+"""The ten operators against brute force, on null, empty, long, repeated and clashing input."""
+
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("boxlake.llm")
+from boxlake.llm.common import tokenizer  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, row long, label int, item_id long, _text_hash long, _places string, start int, score double"
+
+
+def frame(spark, texts, lang=None):
+    """Documents with extra columns whose names operators use themselves."""
+    rows = [(i, t, (lang or {}).get(i), 7, 1, 5, 3, "p", 2, 0.5) for i, t in texts]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(seed, n, vocab=60):
+    rng = random.Random(seed)
+    return " ".join("w" + str(rng.randrange(vocab)) + "x" * rng.randrange(3) for _ in range(n))
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (None, "no id here"), (5, prose(5, 300)), (5, prose(5, 300)), (6, "x" * 50_000), (7, "é漢字 <|endoftext|> 🙂\x1c\x85")]
+
+
+def by_id(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+# 1
+
+
+def test_secret_scan(spark):
+    from boxlake.llm.secret_scan import base_spans, digest, secret_scan, sha256
+
+    hexes, key = "0123456789abcdef" * 2, "AKIA" + "B7" * 8
+    text = f"é password: 'abc123X' token=ab {key} {hexes} API_KEY=\"zzzzzz\" Tok3n paſſword=abcdefgh"
+    out = {r.doc_id: r for r in digest(secret_scan(frame(spark, [(9, text), *ODD]))).collect()}
+    r = out[9]
+    assert (r.n_assign, r.n_access, r.n_hex) == (2, 1, 1)
+    at = text.index("password: ")
+    want = [f"assign:{at}:{at + len(chr(39).join(['password: ', 'abc123X']))}", f"access:{text.index(key)}:{text.index(key) + len(key)}", f"hex:{text.index(hexes)}:{text.index(hexes) + 32}"]
+    want.append(f"assign:{text.index('API_KEY')}:{text.index('zzzzzz') + 6}")
+    assert r.base_sha256 == sha256(",".join(want)) and set(want) <= set(r.spans.split(","))
+    assert out[1].base_sha256 == out[2].base_sha256 == sha256("") and out[1].spans == ""
+    assert base_spans("secret=token: abcdefgh") == []  # the match that fails takes the second keyword along
+
+
+def test_entropy_windows_equal_recount():
+    from boxlake.llm.secret_scan import WINDOW, entropy_spans, window_spans
+
+    rng = random.Random(1)
+    for _ in range(30):
+        s = "".join(rng.choice("abcdefAB0123456789"[: rng.randint(3, 18)]) for _ in range(rng.randint(10, 90)))
+        marked = set()
+        for i in range(len(s) - WINDOW + 1):
+            w = s[i : i + WINDOW]
+            h = -sum(w.count(c) / WINDOW * np.log2(w.count(c) / WINDOW) for c in set(w))
+            if h >= 3.0 and any(map(str.isalpha, w)) and any(map(str.isdigit, w)):
+                marked.update(range(i, i + WINDOW))
+        assert {i for a, b in window_spans(s, 3.0) for i in range(a, b)} == marked
+    assert entropy_spans("id 123e4567-e89b-12d3-a456-426614174000 and path/to/some/long/file/2024") == []
+    assert entropy_spans("k9Jx2Lq8Zt5Vb1Nm7Rw3Yc6Pd0")
+
+
+# 2, 4
+
+
+def _reference_ids(name, text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer(name)).encode(text or "", add_special_tokens=False).ids
+
+
+def test_bpe(spark):
+    from boxlake.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
+
+    path = tokenizer("byte_bpe_50k.json")
+    docs = frame(spark, ODD)
+    want = []
+    for i, t in ODD:
+        ids = _reference_ids("byte_bpe_50k.json", t)
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert by_id(bpe_round_trip(docs, path).collect()) == by_id(want)
+    assert by_id(bpe_decode(bpe_encode(docs, path), path).collect()) == by_id([(i, t or "") for i, t in ODD])
+
+
+def test_bpe_streams_long_pieces_in_bounded_memory():
+    from boxlake.llm.bpe import Transducer, encoder
+
+    enc, rng = encoder(tokenizer("byte_bpe_50k.json")), random.Random(2)
+    text = "".join(rng.choice(["the", "ing", "a", "zz", "tion", "q"]) for _ in range(6000))
+    t, ids, held = Transducer(enc.vocab), [], 0
+    for i in range(0, len(text), 37):
+        ids += t.feed(text[i : i + 37].encode())
+        held = max(held, len(t.buffer))
+    ids += t.finish()
+    assert ids == _reference_ids("byte_bpe_50k.json", text) and held <= 4 * enc.vocab.lookahead + 37
+
+
+def test_lookahead_of_a_chain():
+    from boxlake.llm.bpe import sufficient_lookahead
+
+    # ab, then xa..., each later rule reaches one part further left
+    assert sufficient_lookahead([(b"a", b"b")]) == 3
+    assert sufficient_lookahead([(b"a", b"b"), (b"x", b"ab"), (b"y", b"xab")]) >= 5
+
+
+def test_token_files(spark, tmp_path):
+    from pyarrow import fs
+
+    from boxlake.llm.token_files import TokenFile, read_token_files, write_token_files
+
+    path, out = tokenizer("word_bpe_49k.json"), f"file://{tmp_path}/t"
+    files = write_token_files(frame(spark, ODD), path, out, end_id=1)
+    rows, at = [], 0
+    for i, t in sorted(ODD, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or "")):
+        ids = _reference_ids("word_bpe_49k.json", t) + [1]
+        rows.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        at += len(ids)
+    assert by_id(read_token_files(files, out).collect()) == by_id(rows)
+    local, _ = fs.FileSystem.from_uri(out)
+    found = 0
+    for r in files.collect():
+        with local.open_input_file(r.file) as source:
+            f = TokenFile(source)
+            found += sum(len(ids) > 1 for d, ids in f.documents([5, 7]))
+    assert found == 3
+    assert read_token_files(write_token_files(frame(spark, []), path, f"{out}2", 1), f"{out}2").count() == 0
+
+
+def test_token_file_reads_only_wanted_frames_and_checks_them(tmp_path):
+    import io
+
+    from boxlake.llm import token_files as tf
+
+    class Source(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    out = io.BytesIO()
+    w = tf.TokenFileWriter(out)
+    for d in range(2000):
+        w.add(d, np.arange(d % 7 + 1, dtype="<u4").tobytes())
+    w.close()
+    f = tf.TokenFile(Source(out.getvalue()))
+    assert [d for d, _ in f] == list(range(2000))
+    g = tf.TokenFile(Source(out.getvalue()))
+    assert [(d, len(x)) for d, x in g.documents([3, 1999])] == [(3, 4), (1999, 1999 % 7 + 1)] and g.frames_read <= 3 < len(g.first) + 1
+    broken = bytearray(out.getvalue())
+    broken[30] ^= 1
+    with pytest.raises(Exception):
+        list(tf.TokenFile(Source(bytes(broken))))
+
+
+# 3
+
+
+def test_substring_dedup(spark):
+    from boxlake.llm.substring_dedup import brute_force, digest, substring_dedup
+
+    rng = random.Random(3)
+    shared = prose(99, 50)
+    texts = [*ODD, (20, prose(1, 80) + " " + shared + " " + prose(2, 40)), (21, shared), (22, " ".join(["same"] * 120)), (23, prose(7, 34)), (24, prose(7, 34)), (25, prose(8, 35)), (26, prose(8, 35))]
+    texts += [(100 + i, " ".join(prose(rng.randrange(4), 45).split()[rng.randrange(5) :])) for i in range(30)]
+    want = [(i, *r) for (i, _), r in zip(texts, brute_force([t for _, t in texts]))]
+    got = digest(substring_dedup(frame(spark, texts).repartition(3))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert by_id(got) == by_id(want)
+    assert substring_dedup(frame(spark, [])).count() == 0
+
+
+# 5
+
+
+def test_simhash(spark):
+    from boxlake.llm.simhash import brute_force, simhash_dedup
+
+    texts = [(i, t) for i, t in dict(ODD).items() if i is not None] + [(30, "A b"), (31, "a B"), (40, prose(4, 200)), (41, prose(4, 200) + " end")]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup(frame(spark, texts)).collect()}
+    assert got == brute_force(dict(texts))
+    assert got[1] == ("0" * 16, 1) and got[2][1] == 1 and got[31][1] == 30
+    assert simhash_dedup(frame(spark, [])).count() == 0
+    assert {r.component_id for r in simhash_dedup(frame(spark, [(None, "q"), (8, "q")])).collect()} == {8}
+
+
+def test_trie_pairs_equal_all_pairs():
+    from boxlake.llm.simhash import trie_pairs
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    values = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (1 << 64) - 1 for b in base for _ in range(12)})
+    for budget in (0, 1, 2, 3):
+        want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= budget}
+        assert set(trie_pairs(values, 64, budget)) == want
+
+
+def test_split_nodes_keep_components(spark):
+    from boxlake.llm.components import connected_components
+    from boxlake.llm.simhash import links
+
+    rng, base = random.Random(6), 0x123456789ABCDEF
+    values = sorted({base ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(60)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    labels = [{r.v: r.label for r in connected_components(links(df, 2, members=m)).collect()} for m in (2000, 20)]
+    assert labels[0] == labels[1]
+
+
+def test_components_of_a_chain(spark):
+    from boxlake.llm.components import connected_components
+
+    n = 60
+    df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
+    got = {r.v: r.label for r in connected_components(df).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
+
+
+def test_near_copies(spark):
+    from boxlake.llm.near_copies import one_of_each
+
+    words = prose(11, 400, 5000).split()
+    close, far = list(words), list(words)
+    close[50] = "changed"
+    for i in range(0, 400, 12):
+        far[i] = "other"
+    texts = [(1, " ".join(words)), (2, " ".join(close)), (3, " ".join(far)), (4, " ".join(words).upper()), (5, ""), (6, None), (7, prose(12, 100, 5000)), (None, " ".join(words))]
+    docs = frame(spark, texts)
+    out = one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, 5, 7, None]
+    assert one_of_each(frame(spark, [])).count() == 0
+
+
+def test_large_meetings_keep_their_original(spark):
+    from boxlake.llm.near_copies import near_copies
+
+    rng, words = random.Random(13), prose(14, 300, 5000).split()
+    texts = [(0, " ".join(words))]
+    for i in range(1, 120):
+        w = list(words)
+        for _ in range(4):
+            w[rng.randrange(300)] = f"e{i}"
+        texts.append((i, " ".join(w)))
+    assert {r.component_id for r in near_copies(frame(spark, texts)).collect()} == {0}
+
+
+# 6, 7
+
+
+def _crc(i):
+    return zlib.crc32(str(i).encode()) % 5
+
+
+def test_quality(spark):
+    from boxlake.llm.quality import classify, fit_quality
+
+    rng = random.Random(15)
+    texts, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.7
+        words = prose(1000 + i, rng.randint(20, 200), 3000).split()
+        texts.append((i, " ".join(words) + "." if good else " ".join(w.upper() + "$$%" for w in words)))
+        labels.append((i, int(good)))
+    docs = frame(spark, texts + [(1000, None), (1001, ""), (1002, "z" * 60_000), (1003, "z" * 60_000)])
+    known = spark.createDataFrame(labels + [(1, None), (None, 1)], "doc_id long, quality int")
+    model = fit_quality(docs, known)
+    out = {r.doc_id: r for r in classify(docs, model).collect()}
+    held = [i for i, _ in labels if _crc(i) == 0]
+    assert all(out[i].held_out == (_crc(i) == 0) for i, _ in labels)
+    assert sum(out[i].predicted == q for i, q in labels if i in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in out.values()) and out[1000].score == out[1001].score and out[1002].score == out[1003].score
+    flipped = known.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert fit_quality(docs, flipped).weights == model.weights  # the held-out fold teaches nothing
+    none = fit_quality(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.score for r in classify(docs, none).collect()} == {0.5}
+
+
+def test_language(spark):
+    from boxlake.llm.language import codewords, fit_language, identify
+
+    rng, sets = random.Random(16), {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    texts, lang = [], {}
+    for i in range(300):
+        code = rng.choice(sorted(sets))
+        texts.append((i, " ".join("".join(rng.choice(sets[code]) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(3, 40)))))
+        lang[i] = code
+    docs = frame(spark, texts + [(900, None), (901, ""), (902, "12 34 !"), (903, "abc fgh klm")], lang)
+    out = {r.doc_id: r for r in identify(docs, fit_language(docs)).collect()}
+    held = [i for i in lang if _crc(i) == 0]
+    assert sum(out[i].lang_pred == lang[i] for i in held) >= 0.98 * len(held)
+    assert {out[i].lang_pred for i in (900, 901, 902)} == {"und"} and all(0 <= r.score <= 1 for r in out.values())
+    empty = frame(spark, [(1, "abc")])
+    assert identify(empty, fit_language(empty)).first().lang_pred == "und"
+    for k in (2, 3, 4, 6, 12):
+        code = codewords(k)
+        assert len({tuple(r) for r in code}) == k
+
+
+# 8
+
+
+def test_top_k(spark):
+    from boxlake.llm.topk import top_k
+
+    rng = np.random.default_rng(17)
+    rows = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist(), "x", 1.0) for i in range(1500)]
+    rows += [(2000 + i, rows[3][1], "x", 1.0) for i in range(60)] + [(50, None, "x", 1.0), (3000, [1.0, None] * 4, "x", 1.0), (3050, [float("nan")] * 8, "x", 1.0), (3100, [1.0, 2.0], "x", 1.0), (3101, [0.0] * 8, "x", 1.0), (None, [1.0] * 8, "x", 1.0)]
+    rows = [r for r in rows if not (r[0] == 50 and r[1] is not None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, norm2 double")
+    good = [(r.vec_id, np.floor(256 * np.array(r.embedding, np.float64)).astype(np.int64)) for r in df.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding)]
+    want = []
+    for q, a in good:
+        if q % 50 == 0:
+            best = sorted((-int(a @ b), v) for v, b in good if v != q and len(b) == len(a))[:5]
+            want += [(q, n + 1, v, -s) for n, (s, v) in enumerate(best)]
+    got = top_k(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert by_id(got) == by_id(want)
+    assert top_k(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# 9
+
+
+def test_decontamination(spark):
+    from boxlake.llm.decontaminate import leaks, shingles, without_leaks, words_of
+
+    rng = random.Random(18)
+    items = [(i, prose(500 + i, rng.choice([1, 3, 5, 9, 30, 70]), 4000)) for i in range(25)] + [(90, None), (91, ""), (3, "again other words here now then")]
+    texts = list(ODD)
+    for i in range(40):
+        words = items[i % 25][1].upper().split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(len(words))] = "cut"
+        texts.append((200 + i, prose(700 + i, rng.randint(0, 800), 4000) + "\n" + " ".join(words) + " " + prose(800 + i, 20, 4000)))
+    want = set()
+    for item_id, t in items:
+        w = words_of(t, lower=True)
+        own = set(shingles(w))
+        for d, text in texts:
+            mine = set(shingles(words_of(text, lower=True), min(len(w), 5))) if len(words_of(text)) >= min(len(w), 5) else set()
+            if own and len(own & mine) >= 0.8 * len(own) - 1e-9:
+                want.add((d, item_id, len(own & mine), len(own)))
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    docs = frame(spark, texts)
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in leaks(docs, bench).collect()}
+    assert got == want and len(want) > 15
+    kept = without_leaks(docs, bench)
+    assert kept.columns == docs.columns and by_id(kept.select("doc_id").collect()) == by_id((d,) for d, _ in texts if d not in {w[0] for w in want})
+    assert without_leaks(docs, bench.limit(0)).count() == len(texts) and leaks(frame(spark, []), bench).count() == 0
+
+
+def test_items_in_blocks(spark):
+    from boxlake.llm.decontaminate import item_blocks
+
+    bench = spark.createDataFrame([(i, prose(i, 50)) for i in range(40)], "item_id long, text string")
+    blocks = item_blocks(bench, block=500)
+    assert len(blocks) > 2 and sorted(i for b in blocks for i, _ in b) == list(range(40))
+
+
+# 10
+
+
+def test_line_templates(spark):
+    from boxlake.llm.line_templates import digest, drop_recurring_lines
+
+    letters = lambda i: "".join(random.Random(i).choice("abcdefgh") for _ in range(9))
+    texts = [(i, f"unique {letters(i)} {letters(i + 50)} of {letters(i + 90)}\nlog entry user {i * 37} failed at 12:{i}\n\nwelcome to the site of {['anna', 'bob', 'carl'][i % 3]} and friends everywhere today") for i in range(12)]
+    texts += [*ODD, (50, "log entry user 5 failed at 9"), (51, "rare line here\nrare line here")]
+    docs = frame(spark, texts)
+    out = drop_recurring_lines(docs)
+    rows = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
+    assert out.columns[: len(docs.columns)] == docs.columns and out.count() == len(texts)
+    for i in range(10, 12):
+        assert rows[i].text == texts[i][1].split("\n")[0] + "\n" and rows[i]._n_removed == 2
+    assert rows[50].text == "" and rows[51]._n_removed == 0 and rows[1].text is None and rows[2].text == "" and rows[6].text == "x" * 50_000
+    assert sorted(r.n_lines for r in digest(out).where("doc_id = 1").collect()) == [0, 4]
+    assert drop_recurring_lines(frame(spark, [])).count() == 0
+    assert not any("Python" in x or "Arrow" in x for x in [out._jdf.queryExecution().executedPlan().toString()])
