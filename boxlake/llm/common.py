@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +26,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package within reach of the Python workers.
+
+    Workers start with the driver's PYTHONPATH or in its folder; where neither
+    leads to the package, it is sent along once, as ``--py-files`` would.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    package = Path(__file__).resolve().parents[1]
+    near = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if sc.applicationId not in _SENT and not any(p and Path(p).resolve() == package.parent for p in near):
+        _SENT.add(sc.applicationId)
+        archive = Path(tempfile.mkdtemp(prefix="py-files-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+
+
+_SENT: set[str] = set()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most :data:`BATCH_ROWS` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -54,15 +80,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder, as a URI, below the shared checkpoint folder."""
-    import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WORD_GAP, words_of
+from .common import WORD_GAP, prepare, words_of
 from .simhash import shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -135,7 +135,7 @@ def contained_items(text: Column, items: list[tuple[int, str]], threshold: float
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every contained item."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(docs.sparkSession)
     out: DataFrame | None = None
     for block in item_blocks(items):
         found = docs.select("doc_id", F.explode(contained_items(F.col("text"), block, threshold)).alias("f"))
@@ -146,7 +146,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(docs.sparkSession)
     for block in item_blocks(items):
         docs = docs.where(F.size(contained_items(docs["text"], block, threshold)) == 0)
     return docs

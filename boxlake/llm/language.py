@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, held_out
+from .common import held_out, prepare
 from .sampling import labelled_sample
 
 PER_LANGUAGE = 500
@@ -126,6 +126,6 @@ def language_of(text: Column, model: LanguageModel) -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(docs.sparkSession)
     found = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), language_of(F.col("text"), model).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")

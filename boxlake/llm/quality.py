@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, held_out
+from .common import held_out, prepare
 from .sampling import labelled_sample
 
 PER_CLASS = 2000
@@ -128,6 +128,6 @@ def quality_score(text: Column, model: QualityModel) -> Column:
 
 def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(docs.sparkSession)
     out = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), quality_score(F.col("text"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
