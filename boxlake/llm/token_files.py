@@ -40,13 +40,13 @@ from .common import checkpointed, map_batches, shared_dir
 SKIPPABLE, SEEK_TABLE, SEEKABLE, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: A frame is closed at so many ids or documents.
 FRAME_IDS, FRAME_DOCS = 1 << 18, 512
-#: White-space delimited strings whose ids a worker remembers, twice, and the longest.
-MEMO_ENTRIES, MEMO_BYTES = 200_000, 64
+#: Pieces whose ids a worker remembers, twice, and the longest of them that it keeps.
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
 NO_ID = -(1 << 63)
 
 
-#: Words whose pieces this module can tell itself: printable ASCII and Latin-1 letters.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+#: Texts and words whose pieces this module can tell itself: ASCII and Latin-1 letters.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z")
 # Fixed value: the tokenizer's pattern for pieces, over lower-case plain words.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
@@ -71,7 +71,7 @@ class Memo:
 
 
 class WordEncoder:
-    """The library's ids of a text, put together from the ids of its words and their pieces.
+    """The library's ids of a text, put together from the ids of its pieces.
 
     Only for tokenizers whose pieces never cross white space, whose normalizer
     treats words alike wherever they stand, and whose last token of each piece
@@ -88,8 +88,8 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.pieces = Memo(), Memo()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Memo()
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -107,29 +107,28 @@ class WordEncoder:
             self.pieces.new[piece] = packed[at:cut]
             at = cut
 
-    def encode(self, text: bytes) -> bytes:
-        """Packed ids of a UTF-8 text."""
-        words = text.split()
+    def _packed(self, pieces: list[str]) -> bytes:
+        missing = self.pieces.missing(set(pieces))
+        self._new_pieces(missing)
+        packed = b"".join(map(self.pieces.new.__getitem__, pieces))
+        for p in missing:
+            if len(p) > MEMO_CHARS:
+                del self.pieces.new[p]
+        return packed
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text."""
         special = any(t in text for t in self.special)
-        long: dict[bytes, bytes] = {}
-        missing = self.words.missing(set(words))
-        if missing:
-            known, plain, other = self.words.new, [], []
-            for w in missing:
-                word = w.decode("utf-8")
-                if PLAIN.match(word) and not (special and any(t in w for t in self.special)):
-                    plain.append((w, PIECE.findall(word.lower())))
-                else:
-                    other.append((w, word))
-            self._new_pieces(self.pieces.missing({p for _, pieces in plain for p in pieces}))
-            piece = self.pieces.new.__getitem__
-            for w, pieces in plain:
-                (known if len(w) <= MEMO_BYTES else long)[w] = b"".join(map(piece, pieces))
-            for (w, _), packed in zip(other, self._whole([word for _, word in other])):
-                (known if len(w) <= MEMO_BYTES else long)[w] = packed
-        if long:
-            return b"".join([long[w] if w in long else self.words.new[w] for w in words])
-        return b"".join(map(self.words.new.__getitem__, words))
+        if not special and PLAIN.match(text):
+            return self._packed(PIECE.findall(text.lower()))
+        out, run = [], []
+        for word in re.split(r"[\x20\x09-\x0D]+", text):
+            if PLAIN.match(word) and not (special and any(t in word for t in self.special)):
+                run += PIECE.findall(word.lower())
+            else:
+                out += [self._packed(run), *self._whole([word])]
+                run = []
+        return b"".join([*out, self._packed(run)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,7 +239,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, doc_id:
                 if writer is None:
                     sink = fs.open_output_stream(own)
                     writer = TokenFileWriter(sink)
-                writer.add(d, encoder.encode(t or b"") + end)
+                writer.add(d, encoder.encode(t or "") + end)
         if writer is not None:
             writer.close()
             sink.close()
@@ -250,7 +249,6 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, doc_id:
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-        .select("doc_id", F.col("text").cast("binary"))
     )
     files = checkpointed(map_batches(ordered, write, "part int, file string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
