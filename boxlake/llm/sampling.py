@@ -9,6 +9,8 @@ from .common import held_out
 
 #: Longest text that a model is fitted on; longer ones are scored whole.
 SAMPLE_CHARS = 50_000
+#: So many of the most frequent labels are thinned out before their rows meet.
+FREQUENT = 10_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, per_class: int, max_chars: int = SAMPLE_CHARS) -> list[tuple]:
@@ -24,7 +26,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, per_c
         rows = known.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label"))
     else:
         rows = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label")).join(known.select("doc_id"), "doc_id", "left_semi")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # Rows far beyond the place that is wanted go before the window: a frequent label sends it about four times per_class rows.
+    counts = rows.groupBy("label").count().where(F.col("count") > 4 * per_class).orderBy(F.desc("count")).limit(FREQUENT)
+    hash_ = F.xxhash64("doc_id")
+    far = hash_.cast("double") > (F.lit(4.0 * per_class) / F.col("count") - 0.5) * 2.0**64
+    rows = rows.join(F.broadcast(counts), "label", "left").where(F.col("count").isNull() | ~far).drop("count")
+    order = Window.partitionBy("label").orderBy(hash_, "doc_id")
     chosen = rows.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select("doc_id", "label", "place")
     picked = chosen.collect()  # per_class rows for each label
     spark = docs.sparkSession
