@@ -77,7 +77,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float = AG
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float = AGREE) -> DataFrame:
     """``docs`` with recurring lines cut from ``text``; adds ``_n_lines`` and ``_n_removed``."""
-    places = recurring_lines(docs, min_docs, agree)
+    places = checkpointed(recurring_lines(docs, min_docs, agree))  # so that Spark can split a text with many copies in the join
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_places", i))
     # All columns travel in one, so that their names can't clash with ours.
