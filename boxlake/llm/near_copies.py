@@ -10,11 +10,13 @@ Every candidate is verified on the whole shingle sets, and groups are the
 connected components of what holds.
 
 Classes that meet in a band are compared pairwise up to :data:`SMALL` of
-them. In a larger meeting each class is compared with the :data:`HUBS`
-classes that agree most with the whole, which are the texts the others were
-made from, and with the :data:`NEAREST` classes that agree most with itself;
-meetings of more than :data:`MEETING` classes are dealt out by a salt first
-and joined by their hubs.
+them. In a larger meeting a first round compares each class with the
+:data:`HUBS` classes that agree most with the whole and with the
+:data:`NEAREST` classes that agree most with itself, by parts if there are
+more than :data:`MEETING`. This only shrinks the work: a second round finds
+every pair of such classes that is similar enough and not yet in one
+component, by a prefix-filter join (:func:`prefix_candidates`), which loses
+nothing.
 
 Texts without words are one class. Rows that repeat a doc_id are one
 document: they stay or go together. A row without doc_id always stays.
@@ -39,6 +41,10 @@ from .simhash import links, majority, shingle_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 SMALL, HUBS, NEAREST, MEETING = 48, 12, 12, 4096
+#: The second round deals out the classes of one shingle in parts of about so many.
+BLOCK = 1024
+#: Shingles are put in order by their counts in about so many classes, as far as the most frequent go.
+SAMPLE_CLASSES, SAMPLE_SHINGLES = 20_000, 500_000
 #: Keys of wanted classes are broadcast up to so many rows (some MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 _RANDOM = np.random.default_rng(11)
@@ -88,22 +94,33 @@ def _meeting(members: list[int], sketches: list[bytes]) -> tuple[set[tuple[int,
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs as (a, b, null, null); hubs of dealt-out meetings as (null, hub, sketch, meeting)."""
+    """Pairs as (a, b, null, null), classes of large meetings as (a, null, null, null), hubs of dealt-out meetings as (null, b, sketch, meeting)."""
+
+    def batch_of(a: list, b: list, sketch: list, at: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.binary()), pa.array(at, pa.int64())], names=["a", "b", "sketch", "meeting"])
+
+    a, b, sketch, at = [], [], [], []
     for batch in batches:
-        a, b, sketch, at = [], [], [], []
-        for meeting, dealt, classes, sketches in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for i in range(batch.num_rows):
+            meeting, dealt, classes, sketches = (batch.column(c)[i].as_py() for c in range(4))
             pairs, hubs = _meeting(classes, sketches)
             for x, y in pairs:
                 a.append(x), b.append(y), sketch.append(None), at.append(None)
+            if dealt or len(classes) > SMALL:
+                for x in classes:
+                    a.append(x), b.append(None), sketch.append(None), at.append(None)
             if dealt:
                 for h in hubs:
                     a.append(None), b.append(classes[h]), sketch.append(sketches[h]), at.append(meeting)
-        if b:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.binary()), pa.array(at, pa.int64())], names=["a", "b", "sketch", "meeting"])
+            if len(b) > 50_000:
+                yield batch_of(a, b, sketch, at)
+                a, b, sketch, at = [], [], [], []
+    if b:
+        yield batch_of(a, b, sketch, at)
 
 
-def band_candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that meet in a band."""
+def band_candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): classes that meet in a band; and ``class``: those of meetings that were not compared pair by pair."""
     sketch = F.unhex(F.concat(*(F.lpad(F.hex(F.pmod(F.col("bands")[i], F.lit(256))), 2, "0") for i in range(BANDS))))
     wide = classes.where(F.size("bands") == BANDS).select("class", sketch.alias("sketch"), F.posexplode("bands").alias("band", "value"))
     rows = wide.select("class", "sketch", F.xxhash64("band", "value").alias("meeting"))
@@ -113,16 +130,26 @@ def band_candidates(classes: DataFrame) -> DataFrame:
 
     def gathered(df: DataFrame, keys: list[str], dealt) -> DataFrame:
         groups = df.groupBy(*keys).agg(F.collect_list("class").alias("classes"), F.collect_list("sketch").alias("sketches"), dealt.alias("dealt"))
-        return map_batches(groups.where(F.size("classes") > 1).select("meeting", "dealt", "classes", "sketches"), _meet, schema)
+        return map_batches(groups.where((F.size("classes") > 1) | F.col("dealt")).select("meeting", "dealt", "classes", "sketches"), _meet, schema)
 
     found = checkpointed(gathered(met, ["meeting", "salt"], F.max(F.col("n") > MEETING)))
     hubs = found.where(F.col("a").isNull()).select(F.col("b").alias("class"), "sketch", "meeting")
     joined = gathered(hubs, ["meeting"], F.lit(False))
-    return found.unionByName(joined).where(F.col("a").isNotNull()).select("a", "b")
+    crowded = found.where(F.col("b").isNull()).select(F.col("a").alias("class")).distinct()
+    return found.unionByName(joined).where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b"), crowded
+
+
+def shingle_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class, shingles of the classes in ``pairs``; no other sets are moved."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = checkpointed(classes.join(ends, "class", "left_semi").select("class", F.col("first").alias("doc_id")))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return checkpointed(rows.select("class", "doc_id", "shingles").join(wanted, ["class", "doc_id"], "left_semi").select("class", "shingles").dropDuplicates(["class"]))
 
 
-def similar_links(rows: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs whose shingle sets are similar enough; only sets of candidates are moved."""
+def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs whose shingle sets are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -136,17 +163,69 @@ def similar_links(rows: DataFrame, classes: DataFrame, candidates: DataFrame, si
             out.append(shared >= similarity * (m + n - shared) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    pairs = checkpointed(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = checkpointed(classes.join(ends, "class", "left_semi").select("class", F.col("first").alias("doc_id")))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = checkpointed(rows.select("class", "doc_id", "shingles").join(wanted, ["class", "doc_id"], "left_semi").select("class", "shingles").dropDuplicates(["class"]))
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").where(similar("x", "y")).select("a", "b")
 
 
+def _prefixes(frequent: np.ndarray, counts: np.ndarray, similarity: float):
+    """Of each set the shingles that a similar set of its size or less shares one of: the rarest, in one order for all sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, ns, sizes = [], [], []
+            for raw in b.column(2).to_pylist():
+                own = np.frombuffer(raw, np.uint32)
+                n = len(own)
+                count = np.zeros(n, np.int64)
+                if len(frequent) and n:
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    count = np.where(frequent[at] == own, counts[at], 0)
+                first = np.lexsort((own, count))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+                tokens.append(own[first]), ns.append(len(first)), sizes.append(n)
+            if sum(ns):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens).view(np.int32)), *(pa.array(np.repeat(b.column(i).to_numpy(), ns)) for i in range(2)),
+                     pa.array(np.repeat(np.array(sizes, np.int32), ns)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in ns]))],
+                    names=["token", "class", "label", "size", "at"])
+
+    return run
+
+
+def prefix_candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of different labels that can be similar enough; ``sets`` has class, label, shingles.
+
+    Sets of sizes m <= n with similarity t share t (m + n) / (1 + t) shingles
+    or more. So in any common order of all shingles, some shingle is among the
+    first m - 2 t m / (1 + t) + 1 of the smaller and the first n - t n + 1 of
+    the larger set. The order, rare ones first by a sample, only bears on how
+    many pairs come up. A shingle's classes are dealt out so that every two
+    still meet in one part.
+    """
+    n = sets.count()
+    sample = sets.where(F.pmod(F.xxhash64("class"), F.lit(-(-n // SAMPLE_CLASSES) or 1)) == 0).select("shingles")
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()] or [np.zeros(0, np.int32)]))], names=["token"])
+
+    seen = map_batches(sample, exploded, "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    known = seen.orderBy(F.desc("n"), "token").limit(SAMPLE_SHINGLES).toPandas()
+    frequent, counts = known["token"].to_numpy(np.int32).view(np.uint32), known["n"].to_numpy(np.int64)
+    order = np.argsort(frequent)
+    rows = map_batches(sets.select("class", "label", "shingles"), _prefixes(frequent[order], counts[order], similarity), "token int, class long, label long, size int, at int")
+    shared = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
+    met = checkpointed(rows.join(shared.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    small = met.where(F.col("at") <= F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-6))
+    small = small.select("token", part.cast("int").alias("part"), F.col("class").alias("a"), F.col("label").alias("la"), F.col("size").alias("m"), F.col("at").alias("i"))
+    large = met.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("size").alias("n"), F.col("at").alias("j"))
+    ordered = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    most = F.least("i", "j") + 1 + F.least(F.col("m") - 1 - F.col("i"), F.col("n") - 1 - F.col("j"))
+    enough = (F.col("m") >= similarity * F.col("n") - 1e-6) & (most >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-6)
+    return small.join(large, ["token", "part"]).where((F.col("la") != F.col("lb")) & ordered & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (smallest doc_id of the group) of every document with an id."""
     rows = checkpointed(map_batches(
@@ -157,9 +236,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     near = links(by_fp.select("fp"))
     ends = near.join(by_fp.select(F.col("fp").alias("a"), F.col("class").alias("ca")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("class").alias("cb")), "b")
     equal = classes.select("class", "fp").join(by_fp.withColumnRenamed("class", "cb"), "fp").select(F.col("class").alias("a"), F.col("cb").alias("b"))
-    candidates = ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(equal).unionByName(band_candidates(classes))
-    labels = connected_components(similar_links(rows, classes, candidates, similarity))
-    member = classes.select("class", "first").join(labels.withColumnRenamed("v", "class"), "class", "left").select("class", "first", F.coalesce("label", "class").alias("label"))
+    banded, crowded = band_candidates(classes)
+    candidates = ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(equal).unionByName(banded)
+    pairs = checkpointed(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
+    sets = shingle_sets(rows, classes, pairs)
+    labels = connected_components(similar_links(pairs, sets, similarity)).withColumnRenamed("v", "class")
+    crowded = checkpointed(crowded.join(labels, "class", "left").select("class", F.coalesce("label", "class").alias("label")))
+    n_crowded = crowded.count()
+    member = classes.select("class", "first").join(labels, "class", "left").select("class", "first", F.coalesce("label", "class").alias("label"))
+    if n_crowded:
+        more = checkpointed(prefix_candidates(sets.join(F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded, "class"), similarity))
+        a, b = (crowded.select(F.col("class").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        met = similar_links(more, sets, similarity).join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        joined = connected_components(met).select(F.col("v").alias("label"), F.col("label").alias("least"))
+        member = member.join(joined, "label", "left").select("class", "first", F.coalesce("least", "label").alias("label"))
     least = member.groupBy("label").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "class").join(member.join(least, "label").select("class", "component_id"), "class").select("doc_id", "component_id")
 

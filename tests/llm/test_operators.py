@@ -249,6 +249,20 @@ def test_large_meetings_keep_their_original(spark):
     assert {r.component_id for r in near_copies(frame(spark, texts)).collect()} == {0}
 
 
+def family(n, common, tail, shared, pairs):
+    """Texts with ``common`` words of all and ``tail`` of their own; the first 2 * ``pairs`` share ``shared`` of these two by two."""
+    base = [f"c{i}" for i in range(common)]
+    return [(i, " ".join(base + [f"t{i // 2 if i < 2 * pairs and k < shared else n + i}k{k}" for k in range(tail)])) for i in range(n)]
+
+
+def test_pairs_in_a_family_of_strangers(spark):
+    from boxlake.llm.near_copies import near_copies
+
+    texts = family(600, 170, 30, 10, 60)  # 0.734 to each other, 0.815 in pairs
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 if i < 120 else i for i in range(600)}
+
+
 # 6, 7
 
 
