@@ -263,6 +263,15 @@ def test_pairs_in_a_family_of_strangers(spark):
     assert got == {i: i - i % 2 if i < 120 else i for i in range(600)}
 
 
+def test_pairs_parted_by_the_salt(spark, monkeypatch):
+    from boxlake.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "MEETING", 100)
+    texts = family(600, 170, 30, 10, 60)  # 0.734 to each other, 0.815 in pairs
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 if i < 120 else i for i in range(600)}
+
+
 # 6, 7
 
 
