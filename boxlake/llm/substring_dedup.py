@@ -10,6 +10,10 @@ to their documents and merge into maximal removal intervals.
 A window that repeats inside one batch of a map task is settled there and
 shuffled once, so a passage that a third of all documents share costs its
 bucket one entry for each batch of a map task, not one for each document.
+Windows that differ but share a frequent phrase have one key: keys that, by a
+sample of rows, have more than :data:`HOT_WINDOWS` windows are replaced by the
+window's own hash in every task, so equal windows still meet and no key fills
+a bucket.
 
 Words are runs of characters other than ASCII white space, unchanged. Null
 and empty texts, and texts of fewer than 35 words, lose nothing. Repeated
@@ -33,6 +37,8 @@ WINDOW, KEY_WORDS = 35, 6
 #: A map task hashes so many bytes at a time and sends after so many windows.
 HASH_BYTES, SEND_WINDOWS = 1 << 20, 1_200_000
 BUCKETS_PER_PARTITION = 4
+#: Keys of more windows are dealt out by the windows' hashes; judged by about so many rows.
+HOT_WINDOWS, SAMPLE_ROWS = 500_000, 20_000
 
 _U = np.uint64
 _BASE_BYTES, _BASE_WORDS = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)  # odd, so that they have inverses
@@ -140,8 +146,9 @@ def _intervals(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch | None:
 class _Sender:
     """Collects the windows of a map task and packs them by bucket."""
 
-    def __init__(self, n_buckets: int, window: int):
+    def __init__(self, n_buckets: int, window: int, hot: np.ndarray | None = None):
         self.n_buckets, self.window = n_buckets, window
+        self.hot = np.zeros(0, _U) if hot is None else hot
         self.words, self.of_words = RollingHash(_BASE_BYTES), RollingHash(_BASE_WORDS)
         self.parts: list[tuple] = []
         self.held = 0
@@ -173,6 +180,9 @@ class _Sender:
         keep = np.ones(len(x), bool)
         keep[order[again]] = False
         keys, hashes, rows, starts = keys[keep], hashes[keep], rows[keep], starts[keep]
+        if len(self.hot):
+            many = self.hot[np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)] == keys
+            keys[many] = mixed(keys[many] ^ mixed(hashes[many]))
         at, n = _runs(keys, rows, starts.astype(np.int64) - np.arange(len(starts)))
         over = np.flatnonzero(n > 65535)  # counts have two bytes
         if len(over):
@@ -194,9 +204,9 @@ class _Sender:
                 yield (first + i // max(step, 4096)) % self.n_buckets, b"D" + b"".join(np.ascontiguousarray(c.to_numpy()).tobytes() for c in part.columns)
 
 
-def _send(n_buckets: int, window: int):
+def _send(n_buckets: int, window: int, hot: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(n_buckets, window)
+        sender = _Sender(n_buckets, window, hot)
 
         def out():
             for bucket, payload in sender.packed():
@@ -257,11 +267,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counted(held)
 
 
+def hot_keys(rows: DataFrame, window: int = WINDOW) -> np.ndarray:
+    """Sorted keys of more than :data:`HOT_WINDOWS` windows, by a sample; any set of keys gives the same result."""
+    step = -(-rows.select("row").count() // SAMPLE_ROWS) or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_bytes, of_words = RollingHash(_BASE_BYTES), RollingHash(_BASE_WORDS)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = words_of(text)
+                if len(words) >= window:
+                    keys, n = np.unique(windows(word_hashes(words, of_bytes), of_words, window)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    found = map_batches(rows.where(F.pmod(F.col("row"), F.lit(step)) == 0).select("text"), run, "key long, n long")
+    many = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * step > HOT_WINDOWS).select("key").collect()
+    return np.sort(np.array([r.key for r in many], np.int64).view(_U))
+
+
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """``rows`` has row (long) and text; gives runs (row, start, n) of repeated windows."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = map_batches(rows.select("row", "text"), _send(parts * BUCKETS_PER_PARTITION, window), "bucket int, payload binary")
+    sent = map_batches(rows.select("row", "text"), _send(parts * BUCKETS_PER_PARTITION, window, hot_keys(rows, window)), "bucket int, payload binary")
     dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return map_batches(dealt, _count, "row long, start int, n int")
 

@@ -175,6 +175,31 @@ def test_substring_dedup(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_windows_of_a_frequent_phrase_are_dealt_out(spark, monkeypatch):
+    from boxlake.llm import substring_dedup as sd
+
+    def gram(p):
+        h = sd.word_hashes(p.encode().split(), sd.RollingHash(sd._BASE_BYTES))
+        of_words = sd.RollingHash(sd._BASE_WORDS)
+        return int(of_words.spans(of_words.prefix(h), np.array([0]), np.array([6]))[0])
+
+    phrase = min((prose(s, 6, 10**6) for s in range(2000)), key=gram)
+    texts = [(i, f"{prose(i, 40, 10**6)} {phrase} {prose(1000 + i, 40, 10**6)}") for i in range(100)]
+    texts += [(200 + i, texts[i][1]) for i in range(5)]
+    monkeypatch.setattr(sd, "HOT_WINDOWS", 500, raising=False)
+    unpack = sd._unpack
+    sent = sd.map_batches
+    seen = []
+    monkeypatch.setattr(sd, "map_batches", lambda df, fn, schema: seen.append(out := sent(df, fn, schema)) or out)
+    got = sd.digest(sd.substring_dedup(frame(spark, texts).repartition(3))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert by_id(got) == by_id((i, *r) for (i, _), r in zip(texts, sd.brute_force([t for _, t in texts])))
+    held = {}
+    for r in next(d for d in seen if d.columns == ["bucket", "payload"]).collect():
+        if r.payload[:1] == b"W":
+            held[r.bucket] = held.get(r.bucket, 0) + len(unpack(bytes(r.payload[1:]))[4])
+    assert max(held.values()) < 0.2 * sum(held.values())  # over half of all windows hold the phrase
+
+
 # 5
 
 
