@@ -2,9 +2,9 @@
 
 Fixed patterns give the base spans. Beside them every candidate string is
 read through a sliding window whose Shannon entropy is kept by incremental
-counts, one window length and threshold for each character class; windows
-above the threshold merge into ``entropy`` spans unless the allow-list
-explains the string.
+counts, with a threshold for each character class of a window; windows above
+the threshold merge into ``entropy`` spans unless the allow-list explains the
+whole string, or a part of it that the window holds.
 
 Null and empty texts have no spans. Very long texts are scanned whole, in
 time linear in their length. Repeated rows are scanned again, each row gives
@@ -33,18 +33,21 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Candidate strings of the entropy scan.
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{WINDOW},}}={{0,2}}")
-#: Character class -> least entropy in bits of a window of WINDOW characters.
+#: Least entropy in bits of a window of WINDOW characters: all hex, others, without digits.
 #: Uniform draws give about 3.5 bits (16 symbols) and 4.0 bits (64 symbols).
-CLASSES = ((re.compile(r"[0-9a-fA-F]+\Z"), 3.0), (re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 3.6))
+#: Windows without digits need more bits and CASE_LEAST letters of either case, which names in code rarely have.
+HEX_BITS, MIXED_BITS, LETTER_BITS, CASE_LEAST = 3.0, 3.6, 3.9, 5
+_HEX = frozenset("0123456789abcdefABCDEF")
 #: Strings that look random but are public by nature.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z"),  # UUID
     re.compile(r"[0-9_=+/-]+\Z"),  # numbers, dates
-    re.compile(r"sha(256|384|512)-", re.I),  # subresource integrity
     re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/=+](?:[A-Za-z]+|[0-9]+))+\Z"),  # slugs and paths of plain words and numbers
-    re.compile(r"example|placeholder|changeme|xxxx|0123456789|abcdefgh", re.I),
 )
-_CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+#: Parts of strings that explain the windows that hold them, and a digest that explains those inside it.
+ALLOW_PART = re.compile(r"example|placeholder|changeme|xxxx|0123456789|abcdefgh", re.I)
+INTEGRITY = re.compile(r"sha(256|384|512)-[A-Za-z0-9+/]+={0,2}", re.I)  # subresource integrity
+_CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,17 +58,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def window_spans(string: str, least: float) -> list[tuple[int, int]]:
-    """Merged windows of ``string`` with ``least`` bits and both a letter and a digit."""
-    bound = math.log2(WINDOW) - least  # entropy >= least  <=>  sum(c log c) <= WINDOW * bound
+def window_spans(string: str, least: float | None = None) -> list[tuple[int, int]]:
+    """Merged windows of ``string`` with ``least`` bits and both a letter and a digit.
+
+    Without ``least`` the window's own class decides, and windows that the
+    allow-list explains are left out.
+    """
+    skip: set[int] = set()
+    if least is None:
+        for m in ALLOW_PART.finditer(string):
+            skip.update(range(max(0, m.end() - WINDOW), m.start() + 1))
+        for m in INTEGRITY.finditer(string):
+            skip.update(range(m.start(), max(m.start(), m.end() - WINDOW) + 1))
+    # entropy >= least  <=>  sum(c log c) <= WINDOW * (log2(WINDOW) - least)
+    most = [WINDOW * (math.log2(WINDOW) - x) + 1e-9 for x in ((HEX_BITS, MIXED_BITS, LETTER_BITS) if least is None else (least,) * 3)]
     counts: dict[str, int] = {}
-    total, letters, digits, out = 0.0, 0, 0, []
+    total, letters, digits, upper, lower, other, out = 0.0, 0, 0, 0, 0, 0, []
     for i, ch in enumerate(string):
         c = counts.get(ch, 0)
         counts[ch] = c + 1
         total += _CLOGC[c + 1] - _CLOGC[c]
         letters += ch.isalpha()
         digits += ch.isdigit()
+        upper += ch.isupper()
+        lower += ch.islower()
+        other += ch not in _HEX
         if i >= WINDOW:
             old = string[i - WINDOW]
             c = counts[old]
@@ -73,8 +90,13 @@ def window_spans(string: str, least: float) -> list[tuple[int, int]]:
             total += _CLOGC[c - 1] - _CLOGC[c]
             letters -= old.isalpha()
             digits -= old.isdigit()
-        if i >= WINDOW - 1 and letters and digits and total <= WINDOW * bound + 1e-9:
-            start = i - WINDOW + 1
+            upper -= old.isupper()
+            lower -= old.islower()
+            other -= old not in _HEX
+        start = i - WINDOW + 1
+        if start < 0 or start in skip:
+            continue
+        if (letters and total <= most[other > 0]) if digits else (least is None and upper >= CASE_LEAST and lower >= CASE_LEAST and total <= most[2]):
             if out and start <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -82,17 +104,12 @@ def window_spans(string: str, least: float) -> list[tuple[int, int]]:
     return out
 
 
-_DIGIT = re.compile(r"[0-9]")
-
-
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         string = m.group()
-        if not _DIGIT.search(string) or any(a.match(string) for a in ALLOW[:-1]) or ALLOW[-1].search(string):
-            continue
-        least = next(bits for chars, bits in CLASSES if chars.match(string))
-        out += [(m.start() + a, 3, m.start() + b) for a, b in window_spans(string, least)]
+        if not any(a.match(string) for a in ALLOW):
+            out += [(m.start() + a, 3, m.start() + b) for a, b in window_spans(string)]
     return out
 
 
