@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +23,20 @@ def season_average_baseline(df: DataFrame, stat: str, played: Column, train: Col
     return out.withColumns({"pred": F.coalesce("_own", "_last", "_pos"), "tier": tier}).drop("_own", "_last", "_pos")
 
 
-def _features(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def _features(df: DataFrame, features: Sequence[str], invalid: str = "skip") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=invalid).transform(df)
+
+
+def _fitted(model, rows: DataFrame, label: str, weight: str | None, features: Sequence[str]):
+    """Rows with a null feature teach nothing. What the iterations read is computed once, and spills to disk."""
+    cols = ["features", label] + ([weight] if weight else [])
+    rows = _features(rows, features).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return model.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def fit_poisson(train: DataFrame, stat: str, features: Sequence[str], reg: float = 0.0):
@@ -33,7 +44,7 @@ def fit_poisson(train: DataFrame, stat: str, features: Sequence[str], reg: float
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol=stat, featuresCol="features", predictionCol="pred", regParam=reg, maxIter=50, tol=1e-10)
-    return glm.fit(_features(train.where(F.col(stat).isNotNull()), features))
+    return _fitted(glm, train.where(F.col(stat).isNotNull()), stat, None, features)
 
 
 def fit_rate(train: DataFrame, made: str, attempted: str, features: Sequence[str], kind: str = "binomial"):
@@ -45,11 +56,13 @@ def fit_rate(train: DataFrame, made: str, attempted: str, features: Sequence[str
         model = LinearRegression(labelCol="_rate", weightCol="_w", predictionCol="pred", regParam=0.1, elasticNetParam=0.0)
     else:
         model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="_rate", weightCol="_w", predictionCol="pred", maxIter=50, tol=1e-10)
-    return model.fit(_features(rows, features))
+    return _fitted(model, rows, "_rate", "_w", features)
 
 
 def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return model.transform(_features(df, features)).drop("features")
+    """Adds ``pred`` to every row; null where a feature is null."""
+    known = F.forall(F.array(*[F.col(f).cast("double").isNotNull() for f in features]), lambda x: x)
+    return model.transform(_features(df, features, "keep")).withColumn("pred", F.when(known, F.col("pred"))).drop("features")
 
 
 def save_model(model, path: str) -> None:
@@ -115,9 +128,14 @@ def null_policy(df: DataFrame, cols: Sequence[str], strategy: str = "keep", grou
     """keep leaves nulls; zero and mean fill them and add ``<col>_missing``."""
     if strategy == "keep":
         return df
-    by = Window.partitionBy(*group) if group else None
-    fill = lambda c: F.lit(0) if strategy == "zero" else F.avg(c).over(by)
-    if strategy == "mean" and by is None:
+    fill = lambda c: F.lit(0)
+    out = df
+    if strategy == "mean" and group:  # one row for each group is joined; null groups are a group
+        means = df.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
+        same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+        out, fill = df.join(means, same, "left"), lambda c: F.col(f"_m_{c}")
+    elif strategy == "mean":
         means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
         fill = lambda c: F.lit(means[c])
-    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols} | {c: F.coalesce(c, fill(c)) for c in cols})
+    flags = [F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in cols]
+    return out.select(*[F.coalesce(c, fill(c)).alias(c) if c in cols else c for c in df.columns], *flags)

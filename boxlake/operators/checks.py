@@ -15,7 +15,8 @@ def box_checks(counts: Sequence[str] = COUNTS, minutes: str = "minutes", dnp: st
     c = F.col
     checks = {
         "fgm_le_fga": c("fgm") > c("fga"), "tpm_le_tpa": c("tpm") > c("tpa"), "ftm_le_fta": c("ftm") > c("fta"), "tpm_le_fgm": c("tpm") > c("fgm"), "tpa_le_fga": c("tpa") > c("fga"),
-        "reb_sum": c("oreb") + c("dreb") != c("reb"), "non_negative": F.least(*counts, minutes) < 0}
+        "reb_sum": c("oreb") + c("dreb") != c("reb"), "non_negative": F.least(*counts, minutes) < 0,
+        "integral": F.exists(F.array(*[c(n).cast("double") for n in counts]), lambda x: x != F.floor(x))}
     if dnp:
         checks["dnp_minutes"] = c(dnp) != (c(minutes) == 0)
     if points:
@@ -23,6 +24,16 @@ def box_checks(counts: Sequence[str] = COUNTS, minutes: str = "minutes", dnp: st
     return checks
 
 
+def team_checks(counts: Sequence[str] = COUNTS, minutes: str = "minutes", points: bool = False) -> dict[str, Column]:
+    """The checks of team rows: those of player rows but for absence."""
+    return box_checks(counts, minutes, None, points)
+
+
+def absence_checks(dnp: str = "dnp", minutes: str = "minutes") -> dict[str, Column]:
+    """Players who did not play have no minutes."""
+    return {"absent_minutes": F.col(dnp) & (F.col(minutes) != 0)}
+
+
 def with_violations(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Adds ``violations``, the names of the checks that a row fails."""
     return df.withColumn("violations", F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull()))

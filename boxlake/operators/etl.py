@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import five_positions, parse_mmss, season_from_id
-from ..schemas import COUNTS, RAW_COUNTS
+from ..schemas import RAW_COUNTS
 
 
 def build_games(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,5 +140,12 @@ def fill_gaps(primary: DataFrame, fallback: DataFrame, keys: Sequence[str], cols
     return primary.select(*keys, *cols).join(other, list(keys), "full_outer").select(*keys, *[F.coalesce(c, f"_f_{c}").alias(c) for c in cols])
 
 
-def totals(df: DataFrame, keys: Sequence[str], cols: Sequence[str] = COUNTS) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
+def usage_share(players: DataFrame, keys: Sequence[str] = ("game_id", "team_id"), minutes: str = "minutes") -> DataFrame:
+    """Adds ``usage_ppm``: a player's share of the team's plays while on the floor, in millionths, rounded down.
+
+    Whole numbers keep later sums exact; null without minutes or team plays.
+    """
+    plays = 100 * F.col("fga") + 44 * F.col("fta") + 100 * F.col("tov")
+    team = Window.partitionBy(*keys)
+    out = players.withColumns({"_own": (plays * F.sum(minutes).over(team) * 1_000_000).cast("long"), "_all": (5 * F.col(minutes) * F.sum(plays).over(team)).cast("long")})
+    return out.withColumn("usage_ppm", F.when(F.col("_all") > 0, F.expr("_own div _all"))).drop("_own", "_all")

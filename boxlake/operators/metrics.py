@@ -26,8 +26,17 @@ def interval_coverage(df: DataFrame, y: str, low: str, high: str, target: float
     return df.agg(inside.alias("coverage"), F.count(y).alias("n")).withColumn("met", F.col("coverage") >= target)
 
 
-def reliability_bins(cells: DataFrame, n: int = 10) -> DataFrame:
-    """By stat and equal-width bin of the prediction: mean prediction and mean outcome. One row for each stat is joined."""
+def reliability_bins(cells: DataFrame, n: int = 10, kind: str = "width", exact: bool = True) -> DataFrame:
+    """By stat and bin of the prediction: mean prediction and mean outcome. One row for each stat is joined.
+
+    Bins have equal width or, with ``kind="quantile"``, are cut at the
+    prediction's quantiles; ``exact=False`` estimates these in bounded state.
+    """
+    if kind == "quantile":
+        at = [i / n for i in range(1, n)]
+        edges = (F.percentile("p", at) if exact else F.percentile_approx("p", at, 10_000)).alias("edges")
+        place = (F.size(F.filter("edges", lambda e: e < F.col("p"))) + 1).cast("int")
+        return cells.join(cells.groupBy("stat").agg(edges), "stat").groupBy("stat", place.alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
     span = cells.groupBy("stat").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     width = F.col("hi") - F.col("lo")
     at = F.when(width > 0, F.least(F.floor((F.col("p") - F.col("lo")) * n / width) + 1, F.lit(n))).otherwise(F.lit(1)).cast("int")

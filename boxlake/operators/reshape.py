@@ -104,7 +104,3 @@ def explode_game_rows(rows: DataFrame, keys: Sequence[str], fields: Sequence[str
     """The inverse; padding goes."""
     flat = rows.select(*keys, F.posexplode(F.arrays_zip("players", "mask")).alias("slot", "_x")).where("_x.mask")
     return flat.select(*keys, "slot", *[F.col(f"_x.players.{f}").alias(f) for f in fields])
-
-
-def day_of(date: str) -> Column:
-    return epoch_day(date)

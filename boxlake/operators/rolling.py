@@ -30,12 +30,15 @@ def trailing_sums(df: DataFrame, entity: Sequence[str], date: str, tiebreak: Seq
     return df.withColumn("_state", F.when(F.col("_played"), F.struct(*fields))).drop(*values)
 
 
-def prior_rolling(df: DataFrame, entity: Sequence[str], date: str, tiebreak: Sequence[str], sums: Mapping[str, Column], windows: Sequence[int], played: Column | None = None, keep_date: bool = False) -> DataFrame:
+def prior_rolling(df: DataFrame, entity: Sequence[str], date: str, tiebreak: Sequence[str], sums: Mapping[str, Column], windows: Sequence[int], played: Column | None = None, keep_date: bool = False, reset_by: Sequence[str] = ()) -> DataFrame:
     """Adds ``n_N`` and ``<name>_sum_N`` over the last N played rows of an earlier date, null without any.
 
+    Windows reach over seasons; with ``reset_by`` they start anew in each of its values.
+
     The newest earlier state is the greatest struct, whose leading fields are
     the day and the tiebreak, so the result does not depend on row order.
     """
+    entity = [*entity, *reset_by]
     marked = trailing_sums(df, entity, date, tiebreak, sums, windows, played)
     before = Window.partitionBy(*entity).orderBy("_day").rangeBetween(*_BEFORE)
     prior = marked.withColumn("_prior", F.max("_state").over(before))

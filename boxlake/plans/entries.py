@@ -71,11 +71,12 @@ def src2_conform(spark, sf_dir):
     return raw.conform(view(spark, sf_dir, "raw_player"), schemas.RAW_PLAYER_BOX).select("gameId", "points", "fieldGoalsMade", "plusMinusPoints")
 
 
-@query("select 'games' as endpoint, cast(1 as bigint) as files, cast(count(*) as bigint) as rows, true as has_bytes from raw_game")
+@query("select 'games' as endpoint, true as all_files, cast(count(*) as bigint) as rows, true as has_bytes from raw_game")
 def src3_raw_inventory(spark, sf_dir):
     root = raw.work_dir(spark, "inventory")
-    view(spark, sf_dir, "raw_game").coalesce(1).write.parquet(f"{root}/games")
-    return raw.raw_inventory(spark.read.parquet(f"{root}/games")).select("endpoint", "files", "rows", (F.col("bytes") > 0).alias("has_bytes"))
+    view(spark, sf_dir, "raw_game").write.parquet(f"{root}/games")
+    written = spark.read.parquet(f"{root}/games")
+    return raw.raw_inventory(written).select("endpoint", (F.col("files") == len(written.inputFiles())).alias("all_files"), "rows", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query("""select user_id, event_type, event_id, value from (
@@ -300,9 +301,39 @@ def ck10_team_totals(spark, sf_dir):
     return out.select("game_id", "team_id", F.concat_ws(",", "violations").alias("violations"))
 
 
-@query("select cast(count(*) as bigint) as n_dnp, cast(count(*) filter (where secs <> 0) as bigint) as n_bad from pbox where minutes_raw = ''")
+@query("select cast(count(*) as bigint) as n_dnp, cast(count(*) filter (where secs + game_id % 29 // 28 <> 0) as bigint) as n_bad from pbox where minutes_raw = ''")
 def ck11_dnp_minutes(spark, sf_dir):
-    return view(spark, sf_dir, "pbox").where("minutes_raw = ''").agg(F.count("*").alias("n_dnp"), F.count_if(F.col("secs") != 0).alias("n_bad"))
+    """With a minute too many in every 29th game."""
+    box = _box(spark, sf_dir).withColumn("secs", F.col("secs") + F.when(F.col("game_id") % 29 == 28, 1).otherwise(0))
+    marked = checks.with_violations(box.where("dnp"), checks.absence_checks(minutes="secs"))
+    return marked.agg(F.count("*").alias("n_dnp"), F.count_if(F.size("violations") > 0).alias("n_bad"))
+
+
+_SPOILT = """select game_id, player_id, team_id, fgm, fga, tpm, case when game_id % 17 = 0 then tpm - 1 when game_id % 19 = 0 then fga + 1 else tpa end as tpa, ftm, fta, oreb, dreb, reb,
+    case when game_id % 23 = 0 then ast + cast(0.5 as double) else cast(ast as double) end as ast, stl, blk, tov, pf, secs, minutes_raw from pbox"""
+_NAMES = """concat_ws(',', case when fgm > fga then 'fgm_le_fga' end, case when tpm > tpa then 'tpm_le_tpa' end, case when ftm > fta then 'ftm_le_fta' end, case when tpm > fgm then 'tpm_le_fgm' end,
+    case when tpa > fga then 'tpa_le_fga' end, case when oreb + dreb <> reb then 'reb_sum' end, case when tpa < 0 then 'non_negative' end, case when ast <> floor(ast) then 'integral' end{0})"""
+
+
+def _spoilt(spark, sf_dir) -> DataFrame:
+    """Box lines that break the checks which the views' own lines keep."""
+    g = F.col("game_id")
+    tpa = F.when(g % 17 == 0, F.col("tpm") - 1).when(g % 19 == 0, F.col("fga") + 1).otherwise(F.col("tpa"))
+    return _box(spark, sf_dir).withColumns({"tpa": tpa, "ast": F.col("ast").cast("double") + F.when(g % 23 == 0, 0.5).otherwise(0.0)})
+
+
+@query(f"with s as ({_SPOILT}), v as (select game_id, player_id, {_NAMES.format("")} as violations from s) select * from v where violations <> ''")
+def ck2_5_8_rejected(spark, sf_dir):
+    _, rejected = checks.validate(_spoilt(spark, sf_dir), _box_checks())
+    return rejected.select("game_id", "player_id", F.concat_ws(",", "violations").alias("violations"))
+
+
+@query(f"""with s as ({_SPOILT}), t as (select game_id, team_id, {", ".join(f"sum({c}) as {c}" for c in _BOX_COUNTS)} from s group by game_id, team_id),
+  v as (select game_id, team_id, {_NAMES.format("")} as violations from t) select * from v where violations <> ''""")
+def ck_team_rejected(spark, sf_dir):
+    teams = reshape.team_rollup(_spoilt(spark, sf_dir), ["game_id", "team_id"], [*_BOX_COUNTS, "secs"])
+    _, rejected = checks.validate(teams, checks.team_checks(_BOX_COUNTS, "secs"))
+    return rejected.select("game_id", "team_id", F.concat_ws(",", "violations").alias("violations"))
 
 
 @query("""with u as (select game_id, max(case when ftm > fta then 1 else 0 end) as f, max(case when oreb + dreb <> reb then 1 else 0 end) as r from pbox group by game_id),
@@ -359,6 +390,28 @@ def rol1_player_means(spark, sf_dir):
     return rounded(out, *out.columns[2:])
 
 
+@query(_last("ps", "(select *, player_id * 10000 + season as ps from pbox)", {"min": "secs"}, (5,), "secs > 0") + " select game_id, player_id, n_5, min_sum_5 from res")
+def rol0_reset_by_season(spark, sf_dir):
+    out = rolling.prior_rolling(view(spark, sf_dir, "pbox"), ["player_id"], "game_date", ["game_id"], {"min": F.col("secs")}, (5,), played(), reset_by=["season"])
+    return out.select("game_id", "player_id", "n_5", "min_sum_5")
+
+
+_USAGE = """us as (select *, sum(secs) over w as ts, sum(100 * fga + 44 * fta + 100 * tov) over w as tp from pbox window w as (partition by game_id, team_id)),
+  up as (select * exclude (ts, tp), case when 5 * secs * tp > 0 then cast(((100 * fga + 44 * fta + 100 * tov) * ts * 1000000) // (5 * secs * tp) as bigint) end as usage_ppm from us)"""
+
+
+@query(f"with {_USAGE} select game_id, player_id, usage_ppm from up")
+def etl8_usage_share(spark, sf_dir):
+    return etl.usage_share(view(spark, sf_dir, "pbox"), minutes="secs").select("game_id", "player_id", "usage_ppm")
+
+
+@query(f"with {_USAGE}, " + _last("player_id", "up", {"usage": "usage_ppm"}, _N, "secs > 0")[5:] + " select game_id, player_id, " + ", ".join(f"round(usage_sum_{n} / 1000000.0 / n_{n}, 10) as p_usage_avg_{n}" for n in _N) + " from res")
+def rol1_usage_means(spark, sf_dir):
+    out = rolling.prior_rolling(etl.usage_share(view(spark, sf_dir, "pbox"), minutes="secs"), ["player_id"], "game_date", ["game_id"], {"usage": F.col("usage_ppm")}, _N, played())
+    out = out.select("game_id", "player_id", *[F.try_divide(F.col(f"usage_sum_{n}") / F.lit(1000000.0), F.col(f"n_{n}")).alias(f"p_usage_avg_{n}") for n in _N])
+    return rounded(out, *out.columns[2:], digits=10)
+
+
 @query(_p(["min", "pts"]) + " select game_id, player_id, " + ", ".join(f"round(case when min_sum_{n} > 0 then pts_sum_{n} * 60.0 / min_sum_{n} end, 6) as p_pts_per_min_{n}" for n in _N) + " from res")
 def rol2_points_per_minute(spark, sf_dir):
     out = _player_prior(spark, sf_dir, ["min", "pts"]).select("game_id", "player_id", *rolling.rates(["pts"], "min", _N, "p_", 60.0))
@@ -394,6 +447,33 @@ def rol4_team_means(spark, sf_dir):
     return rounded(out, *out.columns[2:])
 
 
+_POSS = "100 * {0}fga + 44 * {0}fta - 100 * {0}oreb + 100 * {0}tov"
+_T_POSS = f"""with tm as (select a.*, {_POSS.format("a.")} as poss100, b.pts as opp_pts, {_POSS.format("b.")} as opp_poss100 from tbox a left join tbox b on a.game_id = b.game_id and a.team_id <> b.team_id), """
+_T_RATINGS = _T_POSS + _last("team_id", "tm", {"poss100": "poss100", "opts": "opp_pts", "oposs": "opp_poss100"}, (5, 10))[5:]
+
+
+def _ratings(spark, sf_dir) -> DataFrame:
+    """Rolling pace and defensive rating of each team: what opponents scored for each hundred of their possessions."""
+    t = view(spark, sf_dir, "tbox").withColumn("poss100", F.expr(_POSS.format("")))
+    other = t.select(F.col("game_id").alias("_g"), F.col("team_id").alias("_o"), F.col("pts").alias("opp_pts"), F.col("poss100").alias("opp_poss100"))
+    both = t.join(other, (t["game_id"] == other["_g"]) & (t["team_id"] != other["_o"]), "left").drop("_g", "_o")
+    out = rolling.prior_rolling(both, ["team_id"], "game_date", ["game_id"], {"poss100": F.col("poss100"), "opts": F.col("opp_pts"), "oposs": F.col("opp_poss100")}, (5, 10))
+    cols = [c for n in (5, 10) for c in (F.try_divide(F.lit(10000.0) * F.col(f"opts_sum_{n}"), F.col(f"oposs_sum_{n}")).alias(f"def_rtg_{n}"), F.try_divide(F.col(f"poss100_sum_{n}") / 100.0, F.col(f"n_{n}")).alias(f"pace_{n}"))]
+    return out.select("game_id", "team_id", *cols)
+
+
+@query(_T_RATINGS + " select game_id, team_id, " + ", ".join(f"round(case when oposs_sum_{n} <> 0 then 10000.0 * opts_sum_{n} / oposs_sum_{n} end, 6) as t_def_rtg_{n}" for n in (5, 10)) + " from res")
+def rol4_defensive_rating(spark, sf_dir):
+    return rounded(_ratings(spark, sf_dir).select("game_id", "team_id", *[F.col(f"def_rtg_{n}").alias(f"t_def_rtg_{n}") for n in (5, 10)]), "t_def_rtg_5", "t_def_rtg_10")
+
+
+@query(_T_RATINGS + """ select p.game_id, p.player_id, round(case when oposs_sum_10 <> 0 then 10000.0 * opts_sum_10 / oposs_sum_10 end, 6) as opp_def_rtg_10, round(case when n_10 > 0 then poss100_sum_10 / 100.0 / n_10 end, 6) as opp_pace_10
+  from pbox p left join res r on p.game_id = r.game_id and p.opp_id = r.team_id""")
+def mat1_opponent_ratings(spark, sf_dir):
+    out = matchup.add_matchup(view(spark, sf_dir, "pbox"), _ratings(spark, sf_dir), ["def_rtg_10", "pace_10"])
+    return rounded(out.select("game_id", "player_id", "opp_def_rtg_10", "opp_pace_10"), "opp_def_rtg_10", "opp_pace_10")
+
+
 @query(_T_MARGIN + _last("team_id", "tm", {"win": "case when margin > 0 then 1 else 0 end"}, (10,))[5:] + " select game_id, team_id, round(case when n_10 > 0 then win_sum_10 * 1.0 / n_10 end, 6) as t_win_pct_10 from res")
 def rol5_win_share(spark, sf_dir):
     out = rolling.prior_rolling(_teams(spark, sf_dir), ["team_id"], "game_date", ["game_id"], {"win": (F.col("margin") > 0).cast("int")}, (10,))
@@ -651,6 +731,14 @@ def agg2_residual_segments(spark, sf_dir):
     return rounded(reshape.residuals_by_segment(p.withColumns({"ast": F.col("ast") - 5, "reb": F.col("reb") - 4}), ["ast", "reb"], ["season_phase", "is_home"]), "mean_residual")
 
 
+@query(_LOAD + """, l as (select 'ast' as stat, cast(gap is not null and gap = 1 as int) as b2b, p.ast - 5 as r from pbox p join load using (game_id, team_id) union all
+  select 'reb', cast(gap is not null and gap = 1 as int), p.reb - 4 from pbox p join load using (game_id, team_id))
+  select stat, 'b2b' as segment, cast(b2b as varchar) as level, round(sum(r) * 1.0 / count(*), 6) as mean_residual, cast(count(*) as bigint) as n from l group by stat, b2b""")
+def agg2_residuals_b2b(spark, sf_dir):
+    p = view(spark, sf_dir, "pbox").join(_load(spark, sf_dir).select("game_id", "team_id", "b2b"), ["game_id", "team_id"])
+    return rounded(reshape.residuals_by_segment(p.withColumns({"ast": F.col("ast") - 5, "reb": F.col("reb") - 4}), ["ast", "reb"], ["b2b"]), "mean_residual")
+
+
 @query("select position, round(sum(ast) * 1.0 / count(*), 6) as ast_mean, cast(count(*) as bigint) as n from pbox where secs > 0 group by position")
 def agg3_positional_mean(spark, sf_dir):
     return rounded(reshape.group_means(view(spark, sf_dir, "pbox").where(played()), ["position"], ["ast"]), "ast_mean")
@@ -666,10 +754,10 @@ def agg5_distinct(spark, sf_dir):
     return view(spark, sf_dir, "pbox").groupBy("season").agg(F.countDistinct("player_id").alias("players"), F.countDistinct("game_id").alias("games"))
 
 
-@query("select game_id, season, case when season = 1996 then home_team end as home_team from game where season in (1995, 1996)")
+@query("select game_id, season, case when season = 2000 then home_team end as home_team from game")
 def set1_union_seasons(spark, sf_dir):
     g = view(spark, sf_dir, "game")
-    return reshape.union_seasons([g.where("season = 1995").select("game_id", "season"), g.where("season = 1996").select("game_id", "season", "home_team")])
+    return reshape.union_seasons([g.where("season < 2000").select("game_id", "season"), g.where("season = 2000").select("game_id", "season", "home_team"), g.where("season > 2000").select("season", "game_id")])
 
 
 @query("select season, cast(count(distinct game_id % 2) as bigint) as n_splits from game group by season having count(distinct game_id % 2) > 1")
@@ -757,6 +845,25 @@ def bas2_poisson(spark, sf_dir):
     return _scored(spark, sf_dir).agg(F.round(F.sum("pts"), 0).cast("double").alias("sum_y"), F.round(F.sum("pred"), 0).alias("sum_mu"))
 
 
+@query("select cast(sum(fgm) as double) as sum_made, cast(sum(fgm) as double) as sum_expected, cast(count(*) as bigint) as n from pbox where secs > 0 and season <= 1999 and fga > 0")
+def bas3_rate_totals(spark, sf_dir):
+    """The score equation of the intercept: attempts weighted by the fitted rate add up to what was made."""
+    rows = _model_rows(spark, sf_dir).where(train())
+    scored = baseline.predict(baseline.fit_rate(rows, "fgm", "fga", _FEATURES), rows.where("fga > 0"), _FEATURES)
+    return scored.agg(F.round(F.sum("fgm"), 0).cast("double").alias("sum_made"), F.round(F.sum(F.col("fga") * F.col("pred")), 0).alias("sum_expected"), F.count("pred").alias("n"))
+
+
+@query("select season, cast(sum(2 * fgm + tpm + ftm) as double) as sum_y, true as same from pbox where secs > 0 and season <= 1999 group by season")
+def bas7_saved_model_rows(spark, sf_dir):
+    """A model read back gives every row the prediction of the one that was saved."""
+    rows = _model_rows(spark, sf_dir).where(train())
+    path = raw.work_dir(spark, "model")
+    model = baseline.fit_poisson(rows, "pts", _FEATURES)
+    baseline.save_model(model, path)
+    both = baseline.predict(baseline.load_model(path), baseline.predict(model, rows, _FEATURES).withColumnRenamed("pred", "first"), _FEATURES)
+    return both.groupBy("season").agg(F.sum("pts").alias("sum_y"), F.every(F.col("first").eqNullSafe(F.col("pred")) & F.col("pred").isNotNull()).alias("same"))
+
+
 @query()
 def bas3_rate(spark, sf_dir):
     rows = _model_rows(spark, sf_dir).where(train())
@@ -854,6 +961,14 @@ def met4_reliability(spark, sf_dir):
     return rounded(metrics.reliability_bins(cells), "mean_p", "mean_y")
 
 
+@query("""with c as (select cast(fga as double) as p, cast(fgm as double) as y from pbox where secs > 0), s as (select quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as e from c)
+  select 'fgm' as stat, cast(len(list_filter(e, lambda x: x < p)) + 1 as int) as bin, round(avg(p), 6) as mean_p, round(avg(y), 6) as mean_y, cast(count(*) as bigint) as n from c, s group by 2""")
+def met4_quantile_bins(spark, sf_dir):
+    p = view(spark, sf_dir, "pbox").where(played()).select("game_id", "player_id", "fgm", "fga")
+    cells = metrics.paired(p.select("game_id", "player_id", "fgm"), p.select("game_id", "player_id", F.col("fga").alias("fgm")), ["game_id", "player_id"], ["fgm"])
+    return rounded(metrics.reliability_bins(cells, kind="quantile"), "mean_p", "mean_y")
+
+
 @query(_BASE1 + " , t as (select game_id, team_id, sum(y) as y, sum(pred) as p from b1 where secs > 0 and pred is not null group by 1, 2) select round(avg(abs(y - p)), 4) as team_pts_mae, cast(count(*) as bigint) as n from t")
 def met5_team_mae(spark, sf_dir):
     rows = _predicted(spark, sf_dir).where(played() & F.col("pred").isNotNull())
@@ -902,9 +1017,9 @@ def str2_refresh(spark, sf_dir):
     """Features built without one season's rows, then refreshed when these arrive, equal those built at once."""
     from ..streaming.ingest import merge_batch, refresh_affected
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or raw.work_dir(spark, "lineage"))
     top = raw.work_dir(spark, "refresh")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(raw.shared_folder(spark))
     rows = view(spark, sf_dir, "pbox").select("season", "game_id", "game_date", "player_id", "secs")
     build = lambda df: rolling.prior_rolling(df, ["player_id"], "game_date", ["game_id"], {"min": F.col("secs")}, (5,), played())
     keys = ["player_id", "game_date", "game_id"]

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,20 @@ from pyspark.sql import types as T
 DATASETS = {("boxscoretraditional", "player"): 0, ("boxscoretraditional", "team"): 2, ("boxscoreadvanced", "player"): 0, ("boxscoreadvanced", "team"): 1}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set and all runs on one machine, as in tests."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder; machine-local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-work-")
+    """A fresh folder below the shared one."""
+    base = shared_folder(spark)
     base = base if re.match(r"[a-z0-9]+:", base) else f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -65,8 +76,12 @@ def latest_snapshot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def write_interim(df: DataFrame, path: str, partition: str = "season") -> None:
-    """Idempotent: each partition that ``df`` holds is replaced whole, others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Idempotent: each partition that ``df`` holds is replaced whole, others stay.
+
+    Rows meet by partition before they are written, so that tasks do not each
+    write a file into every partition; large partitions are split again.
+    """
+    df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -76,11 +91,3 @@ def write_splits(df: DataFrame, path: str) -> None:
 def upsert_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` and those of ``old`` that have no successor."""
     return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
-
-
-def newest_first(order: Sequence[str]) -> list[Column]:
-    return [F.desc(c) for c in order]
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= k).drop("_place")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.raw import upsert_by_key, write_interim
+from ..sources.raw import latest_snapshot, shared_folder, upsert_by_key, write_interim
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -20,14 +20,16 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if fs.exists(at) else None
 
 
-def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], partition: str) -> None:
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], partition: str, order: Sequence[str] = ()) -> None:
     """Upsert a batch into the partitions that it touches; the others are neither read nor written.
 
-    A dynamic overwrite replaces a partition whole, so its old rows join in
-    first, cut from their files by a checkpoint before those are replaced.
+    If the batch repeats a key, its row of the greatest ``order`` counts (by
+    default, and on ties, the greatest row). A dynamic overwrite replaces a
+    partition whole, so its old rows join in first, cut from their files by a
+    checkpoint before those are replaced.
     """
     spark = batch.sparkSession
-    batch = batch.dropDuplicates(list(keys)).persist()
+    batch = latest_snapshot(batch, keys, [*order, *[c for c in batch.columns if c not in (*keys, *order)]]).persist()
     try:
         old = _existing(spark, path)
         if old is None:
@@ -40,15 +42,15 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], partition: str
         batch.unpersist()
 
 
-def ingest_incremental(spark: SparkSession, source: str, out: str, checkpoint: str, schema: T.StructType, transform: Transform, keys: Sequence[str], partition: str = "season", glob: str = "*.parquet", after: Callable[[DataFrame], None] | None = None) -> None:
+def ingest_incremental(spark: SparkSession, source: str, out: str, checkpoint: str, schema: T.StructType, transform: Transform, keys: Sequence[str], partition: str = "season", glob: str = "*.parquet", after: Callable[[DataFrame], None] | None = None, order: Sequence[str] = ()) -> None:
     """Take all files not seen before, then stop; a run without new files changes nothing."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{checkpoint}-lineage")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     files = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source)
 
     def each(batch: DataFrame, _: int) -> None:
         rows = transform(batch)
-        merge_batch(rows, out, keys, partition)
+        merge_batch(rows, out, keys, partition, order)
         if after is not None:
             after(rows)
 

@@ -132,6 +132,49 @@ def test_saved_model_predicts_the_same(spark, tmp_path):
     assert one == pytest.approx(two) and one == pytest.approx(df.agg(F.sum("y")).first()[0], rel=1e-6)
 
 
+def test_prediction_keeps_rows_with_nulls(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(float(rng.randrange(9)), rng.random(), rng.random()) for _ in range(60)], "y double, a double, b double")
+    odd = df.unionByName(spark.createDataFrame([(1.0, None, 0.5), (None, 0.2, 0.1)], df.schema))
+    out = baseline.predict(baseline.fit_poisson(odd, "y", ["a", "b"]), odd, ["a", "b"])
+    assert out.count() == 62 and out.where("pred is null").select("a").collect() == [(None,)]
+    assert out.where("y is not null and a is not null").agg(F.sum("pred") - F.sum("y")).first()[0] == pytest.approx(0, abs=1e-6)
+
+
+def test_group_means_fill_nulls(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", 3.0), ("x", None), (None, None), (None, 5.0), ("z", None)], "g string, v double")
+    out = baseline.null_policy(df, ["v"], "mean", ["g"])
+    assert out.columns == ["g", "v", "v_missing"]
+    assert sorted(((r.g or "", r.v or 0, r.v_missing) for r in out.collect())) == [("", 5.0, 0), ("", 5.0, 1), ("x", 1.0, 0), ("x", 2.0, 1), ("x", 3.0, 0), ("z", 0, 1)]
+
+
+def test_repeated_key_in_a_batch(spark, tmp_path):
+    from boxlake.streaming.ingest import merge_batch
+
+    rows = [(1, 2020, 5, 9), (1, 2020, 7, 2), (1, 2020, 7, 1), (2, 2020, 1, 1)]
+    for n, some in enumerate((rows, rows[::-1])):
+        df = spark.createDataFrame(some, "game_id long, season int, at int, v int")
+        merge_batch(df, str(tmp_path / f"o{n}"), ["game_id"], "season", order=["at"])
+        assert sorted((r.game_id, r["at"], r.v) for r in spark.read.parquet(str(tmp_path / f"o{n}")).collect()) == [(1, 7, 2), (2, 1, 1)]
+
+
+def test_few_files_for_each_partition(spark, tmp_path):
+    from boxlake.sources.raw import write_interim
+
+    write_interim(spark.range(4000).selectExpr("id", "cast(id % 5 as int) as season").repartition(16), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("season=*/*.parquet"))) == 5
+
+
+def test_shared_folder_is_not_guessed_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from boxlake.sources.raw import shared_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+
+
 def test_ingest_twice_and_backfill(spark, tmp_path):
     from boxlake.streaming.ingest import ingest_incremental
 
