@@ -9,30 +9,39 @@ enough for; each hit names an item, whose containment is then counted over
 exact shingles of the whole document. No leak at or above the threshold is
 lost, whatever the document's length.
 
-Items go round in blocks of at most :data:`BLOCK_SHINGLES` shingles, each
-sent to all tasks in turn, so what is broadcast has a fixed bound.
+Items of up to :data:`INDEX_WORDS` words together are sent to all tasks as one
+index, and documents are read once. Beyond, nothing is broadcast: documents'
+shingle hashes are joined with the sketches, and the candidates' texts with
+each other; documents are then read twice, however many items there are. Both
+ways give the same rows.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased.
 An item of one to four words is one shingle of that length. Null and empty
-items match nothing, null and empty documents hold nothing. An item larger
-than a block makes a block of its own. Repeated rows on either side give
-repeated results. Other columns are ignored or kept (:func:`is_clean`).
+items match nothing, null and empty documents hold nothing. Very long
+documents and items are taken whole. Repeated rows on either side give
+repeated results; a null id stays null. With an empty table on either side
+nothing leaks. Other columns are ignored by :func:`leaks` and kept by
+:func:`without_leaks`, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, prepare, words_of
-from .simhash import shingle_hashes
+from .common import WORD_GAP, checkpointed, free_name, map_batches, prepare, words_of
+from .simhash import SEED, shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-BLOCK_SHINGLES = 500_000
+#: Words of all items up to which they are one index in every task (some MB).
+INDEX_WORDS = 500_000
 _FOUND = "array<struct<item_id: bigint, n_shared: int, n_item: int>>"
 
 
@@ -47,8 +56,14 @@ def needed(size: int, threshold: float) -> int:
     return max(1, int(np.ceil(threshold * size - 1e-9)))
 
 
+def sketch(own: frozenset[bytes], threshold: float) -> list[int]:
+    """The item's least hashes, so many that its size group's largest item could not miss them all."""
+    upper = 1 << (len(own) - 1).bit_length()
+    return sorted(xxhash.xxh64_intdigest(s, SEED) for s in own)[: upper - needed(upper, threshold) + 1]
+
+
 class ItemIndex:
-    """Sketches of a block of items, by shingle length and size group."""
+    """Sketches of items, by shingle length and size group."""
 
     def __init__(self, items: list[tuple[int, str | None]], threshold: float):
         self.threshold = threshold
@@ -61,20 +76,16 @@ class ItemIndex:
             own = frozenset(shingles(words))
             groups[min(len(words), SHINGLE), (len(own) - 1).bit_length()].append(len(self.sets))
             self.sets.append((item_id, own))
-        import xxhash
-
         self.groups = []
-        for (k, size_class), members in sorted(groups.items()):
-            upper, sketch, every = 1 << size_class, defaultdict(list), set()
-            length = upper - needed(upper, threshold) + 1
+        for (k, _), members in sorted(groups.items()):
+            held, every = defaultdict(list), set()
             least = min(needed(len(self.sets[i][1]), threshold) for i in members)
             for i in members:
-                hashes = sorted(xxhash.xxh64_intdigest(s, 42) for s in self.sets[i][1])
-                every.update(hashes)
-                for h in hashes[:length]:
-                    sketch[h].append(i)
-            keys = np.array(sorted(sketch), np.uint64)
-            self.groups.append((k, least, keys, [sketch[int(h)] for h in keys], np.array(sorted(every), np.uint64)))
+                every.update(xxhash.xxh64_intdigest(s, SEED) for s in self.sets[i][1])
+                for h in sketch(self.sets[i][1], threshold):
+                    held[h].append(i)
+            keys = np.array(sorted(held), np.uint64)
+            self.groups.append((k, least, keys, [held[int(h)] for h in keys], np.array(sorted(every), np.uint64)))
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, shared, size) of all items contained in ``text``."""
@@ -111,17 +122,14 @@ def _found(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at[keys[at] == x]
 
 
-def item_blocks(items: DataFrame, block: int = BLOCK_SHINGLES) -> list[list[tuple[int, str]]]:
-    """Items as (item_id, text), in blocks of about ``block`` shingles; a block at a time passes the driver."""
+def _items(items: DataFrame) -> tuple[DataFrame, int]:
+    """item_id and text of the items with words, and how many words they have."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    total = items.agg(F.sum(F.size(F.split("text", WORD_GAP)))).first()[0] or 0
-    n = max(1, -(-2 * total // block)) if total > block else 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in items.where(part == i).orderBy("item_id", "text").collect()] for i in range(n)]
+    return items, items.agg(F.sum(F.size(F.split("text", WORD_GAP)).cast("long"))).first()[0] or 0
 
 
 def contained_items(text: Column, items: list[tuple[int, str]], threshold: float = THRESHOLD) -> Column:
-    """Array of the items of one block that a text contains."""
+    """Array of those of the given items that a text contains."""
     index: list[ItemIndex] = []
 
     @F.pandas_udf(_FOUND)
@@ -133,23 +141,82 @@ def contained_items(text: Column, items: list[tuple[int, str]], threshold: float
     return search(text)
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+
+
+def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, key and the found items, by a join of shingle hashes with sketches."""
+    items = checkpointed(items.withColumn("item", F.monotonically_increasing_id()))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text, lower=True)
+                if words:
+                    held = np.array(sketch(frozenset(shingles(words)), threshold), np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([min(len(words), SHINGLE)] * len(held), pa.int32()), pa.array(held), pa.array([item] * len(held), pa.int64())], names=["k", "hash", "item"])
+
+    asked = checkpointed(map_batches(items.select("item", "text"), sketches, "k int, hash long, item long"))
+    lengths = sorted(r.k for r in asked.select("k").distinct().collect())  # 1 to 5
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text, lower=True)
+                for k in lengths:
+                    if len(words) >= k:
+                        own = np.unique(shingle_hashes(words, k)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array([k] * len(own), pa.int32()), pa.array(own)], names=["key", "k", "hash"])
+
+    held = map_batches(_keyed(docs).select("key", "text"), hashed, "key long, k int, hash long")
+    pairs = checkpointed(held.join(asked, ["k", "hash"]).select("key", "item").distinct())
+    wanted = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("key", "item_id", "item_text")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words, own = None, [], {}
+        for b in batches:
+            out = []
+            for doc_id, key, item_id, item_text, text in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if key != last:
+                    last, words, own = key, words_of(text, lower=True), {}
+                item = words_of(item_text, lower=True)
+                k, item = min(len(item), SHINGLE), frozenset(shingles(item))
+                if k not in own:
+                    own[k] = frozenset(shingles(words, k)) if len(words) >= k else frozenset()
+                shared = len(item & own[k])
+                if shared >= needed(len(item), threshold):
+                    out.append((doc_id, key, item_id, shared, len(item)))
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["doc_id", "key", "item_id", "n_shared", "n_item"])
+
+    met = _keyed(docs, "doc_id").join(wanted, "key").select(F.col("doc_id").cast("long"), "key", "item_id", "item_text", "text")
+    return map_batches(met, verified, "doc_id long, key long, item_id long, n_shared int, n_item int")
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every contained item."""
     prepare(docs.sparkSession)
-    out: DataFrame | None = None
-    for block in item_blocks(items):
-        found = docs.select("doc_id", F.explode(contained_items(F.col("text"), block, threshold)).alias("f"))
-        part = found.select("doc_id", "f.item_id", "f.n_shared", "f.n_item", (F.col("f.n_shared") / F.col("f.n_item")).alias("containment"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    items, words = _items(items)
+    if words <= index_words:
+        rows = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]
+        found = docs.select("doc_id", F.explode(contained_items(F.col("text"), rows, threshold)).alias("f")).select("doc_id", "f.*")
+    else:
+        found = _joined(docs, items, threshold)
+    return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, index_words: int = INDEX_WORDS) -> DataFrame:
     """The documents that contain no item, with all their columns."""
     prepare(docs.sparkSession)
-    for block in item_blocks(items):
-        docs = docs.where(F.size(contained_items(docs["text"], block, threshold)) == 0)
-    return docs
+    items, words = _items(items)
+    if words <= index_words:
+        rows = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]
+        return docs.where(F.size(contained_items(docs["text"], rows, threshold)) == 0)
+    name = free_name("_key", docs.columns)
+    gone = _joined(docs, items, threshold).select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(gone, name, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
