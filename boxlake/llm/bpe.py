@@ -1,14 +1,20 @@
 """Operator 2: byte-level BPE as a streaming transducer with bounded lookahead.
 
 How far to the right a merge decision can depend on bytes not yet seen is a
-property of the merge list alone (:func:`sufficient_lookahead`). A buffer is
-merged by rank; a token is emitted once it ends further than that from the
-buffer's end, so what is held is bounded by the lookahead, however long the
-text is. Decoding feeds token bytes to an incremental UTF-8 state machine.
+property of the merge list alone (:func:`sufficient_lookahead`). Every piece
+of a text, whatever its length, passes one buffer, which is merged by rank; a
+token is emitted once it ends further than the lookahead from the buffer's
+end, or once the piece ends. So what is held is bounded by the lookahead,
+however long text and pieces are; ids go to their digest and to the decoder as
+they come. Decoding feeds token bytes to an incremental UTF-8 state machine.
+Behind the transducer, a memo of bounded bytes keeps the merges of buffer
+contents that come again.
 
 Null and empty texts give no tokens and decode to the empty string. Special
 tokens that occur in a text become their own id, as in the tokenizers
-library. Each input row gives one output row; other columns are ignored.
+library. Each input row gives one output row, repeated rows equal ones, an
+empty table none; very long texts take longer, but no more memory. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +23,6 @@ import codecs
 import functools
 import hashlib
 import heapq
-import itertools
 import json
 import struct
 from collections.abc import Iterable, Iterator
@@ -33,10 +38,11 @@ from .common import map_batches
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Pieces whose ids a worker remembers, twice, and the longest such piece.
-MEMO_ENTRIES, MEMO_BYTES = 250_000, 64
-#: Ids that are given to the decoder at a time.
-DECODE_STEP = 4096
+#: Texts are split into pieces a slab of about so many characters at a time. A slab ends before a single space
+#: between other characters: a piece always begins there, and none that ends there looks further.
+SLAB, SLAB_END = 1 << 14, regex.compile(r"\P{White_Space}(?= \P{White_Space})")
+#: Bytes of buffer contents with their ids that a worker remembers, twice; what an entry costs besides.
+MEMO_BYTES, ENTRY_BYTES = 40 << 20, 160
 
 
 def byte_symbols() -> dict[str, int]:
@@ -98,19 +104,31 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Transducer:
-    """Bytes in, stable tokens out; holds at most about three lookaheads of bytes."""
+class Merged(dict):
+    """Content of a buffer -> packed ids after all merges: least rank first, leftmost on ties.
+
+    Remembers contents of :data:`MEMO_BYTES` in all, twice: when it is full it
+    becomes the old one, and what is found there again moves back.
+    """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.buffer = vocab, bytearray()
-        self.room = 3 * vocab.lookahead
+        self.vocab, self.old, self.size = vocab, {}, 0
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Ids after all merges of ``data``: least rank first, leftmost on ties."""
+    def __missing__(self, data: bytes) -> bytes:
+        packed = self.old.get(data)
+        if packed is None:
+            ids = list(map(self.vocab.byte.__getitem__, data))
+            ids = self._by_heap(ids) if len(ids) > 64 else self._by_scan(ids)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self.size += len(data) + len(packed) + ENTRY_BYTES
+        if self.size > MEMO_BYTES:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[data] = packed
+        return packed
+
+    def _by_scan(self, ids: list[int]) -> list[int]:
         v = self.vocab
-        ids = list(map(v.byte.__getitem__, data))
-        if len(ids) > 64:
-            return self._merged_long(ids)
         get, made, none = v.rank.get, v.made, v.none
         ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks and (least := min(ranks)) != none:
@@ -123,8 +141,8 @@ class Transducer:
                 ranks[i] = get(new << 32 | ids[i + 1], none)
         return ids
 
-    def _merged_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap, for long pieces: n log n."""
+    def _by_heap(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps, for long contents."""
         v, n = self.vocab, len(ids)
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), list(ids)
         rank = lambda i: v.rank.get(alive[i] << 32 | alive[after[i]]) if alive[i] >= 0 and after[i] < n else None
@@ -143,61 +161,88 @@ class Transducer:
                     heapq.heappush(heap, (s, k))
         return [x for x in alive if x >= 0]
 
+
+class Transducer:
+    """Bytes in, stable tokens out; holds at most three lookaheads of bytes between calls.
+
+    Inside a piece a token is stable once it ends further than the lookahead
+    from the end of what is held; at the end of a piece all tokens are. No
+    merge crosses the end of a stable token, so what lies before it is merged
+    alone, whatever follows.
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.buffer, self.merged = vocab, b"", Merged(vocab)
+        self.room = 3 * vocab.lookahead
+
+    def contents(self, data: bytes, ends: bool = True) -> Iterator[bytes]:
+        """What is held after ``data``, cut at ends of stable tokens; the rest waits unless the piece ends."""
+        held, self.buffer = self.buffer + data, b""
+        while len(held) > self.room:
+            end, limit = 0, self.room - self.vocab.lookahead
+            for i in memoryview(self.merged[held[: self.room]]).cast("I"):
+                if end + len(self.vocab.token[i]) > limit:
+                    break
+                end += len(self.vocab.token[i])
+            yield held[:end]
+            held = held[end:]
+        if ends:
+            yield held
+        else:
+            self.buffer = held
+
+    def push(self, data: bytes, ends: bool) -> bytes:
+        """Packed ids that become stable by ``data``."""
+        return b"".join(map(self.merged.__getitem__, self.contents(data, ends)))
+
     def feed(self, data: bytes) -> Iterator[int]:
+        """Ids that become stable by more bytes of a piece."""
         for at in range(0, len(data), self.room):
-            self.buffer += data[at : at + self.room]
-            if len(self.buffer) > self.room:
-                stable, end = len(self.buffer) - self.vocab.lookahead, 0
-                for part in self._merged(bytes(self.buffer)):
-                    if end + len(self.vocab.token[part]) > stable:
-                        break
-                    end += len(self.vocab.token[part])
-                    yield part
-                del self.buffer[:end]
+            yield from memoryview(self.push(data[at : at + self.room], False)).cast("I")
 
     def finish(self) -> Iterator[int]:
-        yield from self._merged(bytes(self.buffer))
-        self.buffer.clear()
+        """The rest of the piece's ids."""
+        yield from memoryview(self.push(b"", True)).cast("I")
 
+    def run(self, pieces: list[str]) -> bytes:
+        """Packed ids of whole pieces."""
+        held = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        if max(map(len, held), default=0) > self.room:  # else each piece's end is its only cut
+            held = [c for data in held for c in self.contents(data)]
+        return b"".join(map(self.merged.__getitem__, held))
 
-class Encoder(dict):
-    """Piece -> packed ids; a bounded memo in front of the transducer.
 
-    When the memo is full it becomes the old one; pieces found there again
-    move back, so that frequent pieces stay.
-    """
+class Encoder:
+    """Texts in, packed ids out, in steps of bounded size."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.transducer = Transducer(self.vocab)
-        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.old.get(piece)
-        if packed is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            if len(data) <= MEMO_BYTES:
-                ids = self.transducer._merged(data)
+    def steps(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers."""
+        v = self.vocab
+        for part in v.split.split(text) if v.split is not None and any(s in text for s in v.special) else [text]:
+            if part in v.special:
+                yield struct.pack("<I", v.special[part])
             else:
-                ids = [*self.transducer.feed(data), *self.transducer.finish()]
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-            if len(data) > MEMO_BYTES:
-                return packed
-        if len(self) >= MEMO_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = packed
-        return packed
+                yield from self._steps(part)
+
+    def _steps(self, text: str) -> Iterator[bytes]:
+        at, t = 0, self.transducer
+        while at < len(text):
+            cut = SLAB_END.search(text, at + SLAB)
+            end = cut.start() + 1 if cut else len(text)
+            if end - at <= 4 * SLAB:
+                yield t.run(PIECES.findall(text, at, end))
+            else:  # hardly any place to cut: pieces may be as long as the text, and are never held whole
+                for m in PIECES.finditer(text, at, end):
+                    for i in range(m.start(), m.end(), t.room):
+                        yield t.push(text[i : min(i + t.room, m.end())].encode("utf-8", "surrogatepass"), i + t.room >= m.end())
+            at = end
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        v = self.vocab
-        if v.split is None or not any(s in text for s in v.special):
-            return b"".join(map(self.__getitem__, PIECES.findall(text)))
-        return b"".join(
-            struct.pack("<I", v.special[part]) if part in v.special else b"".join(map(self.__getitem__, PIECES.findall(part)))
-            for part in v.split.split(text)
-        )
+        return b"".join(self.steps(text))
 
 
 @functools.lru_cache(maxsize=2)
@@ -205,22 +250,28 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def decoded(ids: Iterable[int], vocab: Vocabulary) -> Iterator[str]:
-    """Text of the ids, piece by piece; bytes that are no UTF-8 become U+FFFD."""
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    rest, token = iter(ids), vocab.token.__getitem__
-    while step := b"".join(map(token, itertools.islice(rest, DECODE_STEP))):
-        yield machine.decode(step)
+def decoded(steps: Iterable[Iterable[int]], vocab: Vocabulary) -> Iterator[str]:
+    """Text of the ids, step by step; bytes that are no UTF-8 become U+FFFD."""
+    machine, token = codecs.getincrementaldecoder("utf-8")("replace"), vocab.token.__getitem__
+    for ids in steps:
+        yield machine.decode(b"".join(map(token, ids)))
     yield machine.decode(b"", final=True)
 
 
 def round_trip(text: str | None, enc: Encoder) -> tuple[int, str, str]:
-    packed = enc.encode(text or "")
-    ids = memoryview(packed).cast("I") if packed else ()
-    out = hashlib.sha256()
-    for part in decoded(ids, enc.vocab):
-        out.update(part.encode("utf-8"))
-    return len(packed) // 4, hashlib.sha256(packed).hexdigest(), out.hexdigest()
+    """Number of ids, digest of the ids, digest of the text decoded from them, without holding either whole."""
+    n, digest, back = 0, hashlib.sha256(), hashlib.sha256()
+
+    def ids() -> Iterator[memoryview]:
+        nonlocal n
+        for packed in enc.steps(text or ""):
+            n += len(packed) // 4
+            digest.update(packed)
+            yield memoryview(packed).cast("I")
+
+    for part in decoded(ids(), enc.vocab):
+        back.update(part.encode("utf-8"))
+    return n, digest.hexdigest(), back.hexdigest()
 
 
 def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +280,7 @@ def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            ids = [memoryview(p).cast("I").tolist() if (p := enc.encode(t or "")) else [] for t in b.column(1).to_pylist()]
+            ids = [memoryview(enc.encode(t or "")).cast("I").tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string")), run, "doc_id long, ids array<int>")
@@ -241,7 +292,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for b in batches:
-            texts = ["".join(decoded(ids or (), vocab)) for ids in b.column(1).to_pylist()]
+            texts = ["".join(decoded([ids or ()], vocab)) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
