@@ -1,11 +1,13 @@
 """Operator 3: removal of repeated token windows.
 
-Every window of 35 words gets a Rabin-Karp hash. Windows are dealt to buckets
-by a key of their own content, the least hash of the six-word runs inside
-them, so that neighbouring windows mostly stay together and travel as one
-run: key, document, start, and six bytes for each window. A bucket's windows
-are counted by (key, hash), over 100 bits together; those seen twice go back
-to their documents and merge into maximal removal intervals.
+Every window of 35 words gets a Rabin-Karp hash over keyed hashes of its
+words. Windows are dealt to buckets by a key of their own content, the least
+hash of the six-word runs inside them, so that neighbouring windows mostly
+stay together and travel as one run: key, document, start, and six bytes for
+each window. A bucket's windows are counted by (key, hash), 112 bits together;
+those seen twice go back to their documents and merge into maximal removal
+intervals. Words are not compared again: key and bases are drawn anew for each
+result, so no input can be made to collide (:class:`Hasher`).
 
 A window that repeats inside one batch of a map task is settled there and
 shuffled once, so a passage that a third of all documents share costs its
@@ -17,13 +19,15 @@ a bucket.
 
 Words are runs of characters other than ASCII white space, unchanged. Null
 and empty texts, and texts of fewer than 35 words, lose nothing. Repeated
-rows repeat each other's windows, so both are cut. Other columns are ignored;
-a null doc_id stays null.
+rows repeat each other's windows, so both are cut. An empty table gives an
+empty result. Very long texts are taken whole, in memory of one text's
+windows. Other columns are ignored; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,17 +45,10 @@ BUCKETS_PER_PARTITION = 4
 HOT_WINDOWS, SAMPLE_ROWS = 500_000, 20_000
 
 _U = np.uint64
-_BASE_BYTES, _BASE_WORDS = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)  # odd, so that they have inverses
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _inverse(x: np.uint64) -> np.uint64:
-    return _U(pow(int(x), -1, 1 << 64))
+#: Prime of the windows' two polynomial hashes.
+PRIME = (1 << 31) - 1
+#: Words whose hashes a worker remembers, and the longest of them in bytes.
+MEMO_WORDS, MEMO_BYTES = 300_000, 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,29 +61,81 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class RollingHash:
-    """Prefix sums of a polynomial modulo 2**64, with its tables."""
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A value below 2**32 that is ``x`` modulo :data:`PRIME`, for ``x`` below 2**63."""
+    return (x & _U(PRIME)) + (x >> _U(31))
+
 
-    def __init__(self, base: np.uint64):
-        self.base, self.power, self.back = base, _powers(base, 1024), _powers(_inverse(base), 1024)
+class Polynomial:
+    """Rabin-Karp hash by prefix sums, with its tables of powers; modulo 2**64, or modulo :data:`PRIME`."""
+
+    def __init__(self, base: int, prime: bool):
+        self.prime, self.base, self.inverse = prime, base, pow(base, -1, PRIME if prime else 1 << 64)
+        self.power = self.back = np.ones(1, _U)
+
+    def _grown(self, table: np.ndarray, base: int, n: int) -> np.ndarray:
+        while len(table) < n:
+            step = table * _U(pow(base, len(table), PRIME if self.prime else 1 << 64))
+            table = np.concatenate([table, _folded(_folded(step)) if self.prime else step])
+        return table
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        if len(values) >= len(self.power):
-            n = 2 * len(values)
-            self.power, self.back = _powers(self.base, n), _powers(_inverse(self.base), n)
+        self.power, self.back = self._grown(self.power, self.base, len(values)), self._grown(self.back, self.inverse, len(values) + 1)
         out = np.zeros(len(values) + 1, _U)
-        np.cumsum(values * self.power[: len(values)], out=out[1:])
+        terms = values * self.power[: len(values)]
+        np.cumsum(_folded(_folded(terms)) if self.prime else terms, out=out[1:])
         return out
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((prefix[ends] - prefix[starts]) * self.back[starts])
+    def spans(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        """Hash of every ``width`` neighbours, whatever their place."""
+        sums = prefix[width:] - prefix[:-width]
+        if not self.prime:
+            return mixed(sums * self.back[: len(sums)])
+        x = _folded(_folded(_folded(_folded(sums)) * self.back[: len(sums)]))
+        return np.where(x >= PRIME, x - _U(PRIME), x)
+
+
+class Hasher(dict):
+    """Word -> keyed 64-bit hash, and hashes of word runs; every base is drawn from the seed.
+
+    Two different windows agree in their window hash with a chance of 2**-48
+    whatever their words are, as neither the words' key nor the bases are
+    known beforehand; beside it they would have to agree in their key.
+    """
 
+    def __init__(self, seed: bytes, window: int):
+        self.seed, self.window = seed, window
+        draw = np.random.default_rng(int.from_bytes(seed, "little"))
+        self.runs, self.deal = (Polynomial(int(draw.integers(1 << 62)) * 2 + 1, False) for _ in range(2))
+        self.fields = [Polynomial(int(draw.integers(2, PRIME)), True) for _ in range(2)]
 
-def word_hashes(words: list[bytes], rolling: RollingHash) -> np.ndarray:
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    data = np.frombuffer(b" ".join(words), np.uint8).astype(_U) + _U(1)
-    return rolling.spans(rolling.prefix(data), ends - lengths, ends)
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.seed).digest(), "little")
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), _U, len(words))
+
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        """Least hash of the six-word runs inside every window."""
+        return sliding_min(self.runs.spans(self.runs.prefix(words), KEY_WORDS), self.window - KEY_WORDS + 1)
+
+    def windows(self, words: np.ndarray) -> np.ndarray:
+        """Hash of every window: 62 bits modulo a prime, spread over 64."""
+        a, b = (f.spans(f.prefix(words >> _U(shift) & _U(PRIME)), self.window) for f, shift in zip(self.fields, (0, 32)))
+        return mixed(a | b << _U(31))
+
+    def dealt(self, words: np.ndarray) -> np.ndarray:
+        """Another hash of every window, by which windows of frequent keys are dealt out."""
+        return self.deal.spans(self.deal.prefix(words), self.window)
+
+
+def fresh_seed() -> bytes:
+    return os.urandom(16)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -99,14 +148,6 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-more], out[more:]) if more else out
 
 
-def windows(hashes: np.ndarray, rolling: RollingHash, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key and hash of every window of one document's word hashes."""
-    prefix, n = rolling.prefix(hashes), len(hashes) - window + 1
-    at = np.arange(len(hashes) + 1)
-    grams = rolling.spans(prefix, at[: len(hashes) - KEY_WORDS + 1], at[KEY_WORDS:])
-    return sliding_min(grams, window - KEY_WORDS + 1), rolling.spans(prefix, at[:n], at[window:])
-
-
 def _runs(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of maximal runs over which all arrays stay as they are."""
     n = len(same[0])
@@ -146,20 +187,24 @@ def _intervals(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch | None:
 class _Sender:
     """Collects the windows of a map task and packs them by bucket."""
 
-    def __init__(self, n_buckets: int, window: int, hot: np.ndarray | None = None):
-        self.n_buckets, self.window = n_buckets, window
-        self.hot = np.zeros(0, _U) if hot is None else hot
-        self.words, self.of_words = RollingHash(_BASE_BYTES), RollingHash(_BASE_WORDS)
+    def __init__(self, n_buckets: int, hasher: Hasher, hot: np.ndarray):
+        self.n_buckets, self.hasher, self.hot = n_buckets, hasher, hot
         self.parts: list[tuple] = []
         self.held = 0
 
     def add(self, texts: list[tuple[int, list[bytes]]]) -> None:
-        hashes = word_hashes([w for _, words in texts for w in words], self.words)
+        h = self.hasher
+        hashes = h.words([w for _, words in texts for w in words])
         at = 0
         for row, words in texts:
-            keys, windows_ = windows(hashes[at : at + len(words)], self.of_words, self.window)
+            own = hashes[at : at + len(words)]
             at += len(words)
-            self.parts.append((keys, windows_, row, len(keys)))
+            keys, found = h.keys(own), h.windows(own)
+            if len(self.hot):
+                many = self.hot[np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)] == keys
+                if many.any():
+                    keys[many] = mixed(keys[many] ^ h.dealt(own)[many])
+            self.parts.append((keys, found, row, len(keys)))
             self.held += len(keys)
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
@@ -180,9 +225,6 @@ class _Sender:
         keep = np.ones(len(x), bool)
         keep[order[again]] = False
         keys, hashes, rows, starts = keys[keep], hashes[keep], rows[keep], starts[keep]
-        if len(self.hot):
-            many = self.hot[np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)] == keys
-            keys[many] = mixed(keys[many] ^ mixed(hashes[many]))
         at, n = _runs(keys, rows, starts.astype(np.int64) - np.arange(len(starts)))
         over = np.flatnonzero(n > 65535)  # counts have two bytes
         if len(over):
@@ -204,9 +246,9 @@ class _Sender:
                 yield (first + i // max(step, 4096)) % self.n_buckets, b"D" + b"".join(np.ascontiguousarray(c.to_numpy()).tobytes() for c in part.columns)
 
 
-def _send(n_buckets: int, window: int, hot: np.ndarray | None = None):
+def _send(n_buckets: int, window: int, seed: bytes, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(n_buckets, window, hot)
+        sender = _Sender(n_buckets, Hasher(seed, window), hot)
 
         def out():
             for bucket, payload in sender.packed():
@@ -267,17 +309,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counted(held)
 
 
-def hot_keys(rows: DataFrame, window: int = WINDOW) -> np.ndarray:
+def hot_keys(rows: DataFrame, window: int, seed: bytes) -> np.ndarray:
     """Sorted keys of more than :data:`HOT_WINDOWS` windows, by a sample; any set of keys gives the same result."""
     step = -(-rows.select("row").count() // SAMPLE_ROWS) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_bytes, of_words = RollingHash(_BASE_BYTES), RollingHash(_BASE_WORDS)
+        hasher = Hasher(seed, window)
         for b in batches:
             for text in b.column(0).to_pylist():
                 words = words_of(text)
                 if len(words) >= window:
-                    keys, n = np.unique(windows(word_hashes(words, of_bytes), of_words, window)[0], return_counts=True)
+                    keys, n = np.unique(hasher.keys(hasher.words(words)), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     found = map_batches(rows.where(F.pmod(F.col("row"), F.lit(step)) == 0).select("text"), run, "key long, n long")
@@ -285,11 +327,15 @@ def hot_keys(rows: DataFrame, window: int = WINDOW) -> np.ndarray:
     return np.sort(np.array([r.key for r in many], np.int64).view(_U))
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``rows`` has row (long) and text; gives runs (row, start, n) of repeated windows."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW, seed: bytes | None = None) -> DataFrame:
+    """``rows`` has row (long) and text; gives runs (row, start, n) of repeated windows.
+
+    Without ``seed`` the hashes are drawn anew; all tasks of this result share them.
+    """
     spark = rows.sparkSession
+    seed = seed or fresh_seed()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = map_batches(rows.select("row", "text"), _send(parts * BUCKETS_PER_PARTITION, window, hot_keys(rows, window)), "bucket int, payload binary")
+    sent = map_batches(rows.select("row", "text"), _send(parts * BUCKETS_PER_PARTITION, window, seed, hot_keys(rows, window, seed)), "bucket int, payload binary")
     dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return map_batches(dealt, _count, "row long, start int, n int")
 
@@ -326,9 +372,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    # Bounded by the windows of one document.
-    found = repeated_windows(rows, window).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    return map_batches(rows.join(found, "row", "left").select("doc_id", "text", "starts", "ns"), run, "doc_id long, n_words long, n_removed long, kept string, removed array<array<int>>")
+    # A set: equal rows share their runs. So it's bounded by the windows of one document.
+    found = repeated_windows(rows, window).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    return map_batches(rows.join(found, "row", "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns")), run, "doc_id long, n_words long, n_removed long, kept string, removed array<array<int>>")
 
 
 def digest(cut: DataFrame) -> DataFrame:
