@@ -3,38 +3,50 @@
 Every language has a codeword. For each bit a linear classifier over hashed
 character n-grams (one to three letters, logarithmic counts, unit length)
 says on which side a text lies. Decoding adds up, for every language, the
-loss of each bit, weighted by how reliable the bit was on the training rows;
-the least loss wins, and a text is ambiguous if the runner-up is close.
+loss of each bit, weighted by how reliable the bit is on rows that its
+classifier has not seen; the least loss wins, and a text is ambiguous if the
+runner-up is close.
 
 Up to six languages get all distinct splits as bits, more get a random code
-with the best least distance of many draws. Fitted on at most
-:data:`PER_LANGUAGE` rows of each language outside the held-out fold.
-
-Null texts and texts without a letter are ``und`` with score 0; so is
-everything if no language was learned. Very long texts are read whole, in
-slices. Repeated rows get equal results, ties go to the language first in
-alphabetical order.
+with the best least distance of many draws. A bit's classifier is the least
+squares fit to the codeword bits given each language's mean features and the
+n-grams' mean variance within languages, so fitting needs sums over rows only:
+it gathers no rows, and solves systems of the size of the languages. Learned
+are the :data:`LANGUAGES` most frequent values of ``lang``, each from about
+:data:`PER_LANGUAGE` rows, drawn by a hash of doc_id, outside the held-out
+fold. Reliability is cross-fitted over two halves of these rows; the model
+itself takes both.
+
+Null texts and texts without a letter are ``und`` with score 0, and are not
+learned from; everything is ``und`` if no language was learned. Rows with a
+null ``lang`` or doc_id are not learned from, but identified. Very long texts
+are read whole, in slices. Repeated rows get equal results, ties go to the
+language first in alphabetical order. An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare
-from .sampling import labelled_sample
+from .common import checkpointed, held_out, map_batches, prepare
+from .sampling import thinned
 
-PER_LANGUAGE = 500
-FEATURES, RIDGE, SHARPNESS = 4096, 0.3, 4.0
+LANGUAGES, PER_LANGUAGE = 64, 500
+#: Features; variance added to every feature's own; sharpness of the score.
+FEATURES, RIDGE, SHARPNESS = 4096, 1e-5, 4.0
 #: Least lead, in units of one bit's loss, of a text that is not ambiguous.
 MARGIN = 0.1
 SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
@@ -96,24 +108,89 @@ class LanguageModel:
         return out
 
 
+@dataclass(frozen=True)
+class Sums:
+    """Of one language's rows: how many, sum and sum of squares of their features."""
+
+    n: int
+    x: np.ndarray
+    xx: np.ndarray
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.n + other.n, self.x + other.x, self.xx + other.xx)
+
+
+def bit_classifiers(sums: list[Sums], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x bits) and offset, all languages counting alike."""
+    means = np.array([s.x / s.n for s in sums])
+    spread = np.mean([s.xx / s.n - m * m for s, m in zip(sums, means)], axis=0).clip(0) + RIDGE
+    mean, offset = means.mean(0), code.mean(0)
+    m = means - mean
+    weights = (m / spread).T @ np.linalg.solve(len(m) * np.eye(len(m)) + (m / spread) @ m.T, code - offset)
+    return weights, offset - mean @ weights
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by language and half; the rows come sorted by them."""
+    key, n, x, xx = None, 0, None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()]), pa.array([xx.tobytes()])], names=["lang", "half", "n", "x", "xx"])
+
+    for b in batches:
+        for lang, half, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if not _LETTER.search(text):
+                continue
+            if (lang, half) != key:
+                if key is not None:
+                    yield out()
+                key, n, x, xx = (lang, half), 0, np.zeros(FEATURES), np.zeros(FEATURES)
+            f = features(text)
+            n, x, xx = n + 1, x + f, xx + f * f
+    if key is not None:
+        yield out()
+
+
 def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    rows = [r for r in labelled_sample(docs, None, "lang", per_language) if _LETTER.search(r[1])]
-    languages = sorted({lang for lang, _ in rows})
+    known = docs.where(~held_out(F.col("doc_id")) & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    rows, _ = thinned(known, "lang", per_language, LANGUAGES)
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), half, "text", "doc_id").repartition("lang", "half").sortWithinPartitions("lang", "half", "doc_id", "text")
+    rows = checkpointed(rows.select("lang", "half", "text"))  # about per_language texts of each language
+    halves: dict[str, dict[int, Sums]] = {}
+    for r in map_batches(rows, _sums, "lang string, half int, n long, x binary, xx binary").collect():
+        halves.setdefault(r.lang, {})[r.half] = Sums(r.n, np.frombuffer(r.x), np.frombuffer(r.xx))
+    languages = sorted(halves)
     code = codewords(len(languages))
     if not languages:
         return LanguageModel((), code, np.zeros((FEATURES, 1)), np.zeros(1), np.ones(1))
-    at = {lang: i for i, lang in enumerate(languages)}
-    x, y = np.array([features(t) for _, t in rows]), code[[at[lang] for lang, _ in rows]]
-    mean, offset = x.mean(0), y.mean(0)
-    centred = x - mean
-    dual = np.linalg.solve(centred @ centred.T + RIDGE * np.eye(len(x)), y - offset)
-    weights = centred.T @ dual
-    offset = offset - mean @ weights
-    right = ((x @ weights + offset) * y > 0).mean(0)
-    trust = np.maximum(right - 0.5, 1e-3)
+    weights, offset = bit_classifiers([sum(list(halves[lang].values())[1:], list(halves[lang].values())[0]) for lang in languages], code)
+    trust = np.ones(code.shape[1])
+    crossed = [lang for lang in languages if len(halves[lang]) == 2]
+    if len(crossed) > 1:
+        own = code[[languages.index(lang) for lang in crossed]]
+        models = {h: bit_classifiers([halves[lang][1 - h] for lang in crossed], own) for h in (0, 1)}
+
+        def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lang, half, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    if lang in crossed and _LETTER.search(text):
+                        w, c = models[half]
+                        sides = (features(text) @ w + c) * own[crossed.index(lang)] > 0
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sides)), pa.array(range(len(sides)), pa.int32()), pa.array(sides.astype(np.int32))], names=["lang", "bit", "ok"])
+
+        by_language = map_batches(rows, right, "lang string, bit int, ok int").groupBy("bit", "lang").agg(F.avg("ok").alias("ok"), F.count("*").alias("n"))
+        for r in by_language.groupBy("bit").agg(F.avg("ok").alias("ok"), F.sum("n").alias("n")).collect():
+            trust[r.bit] = reliability(r.ok, r.n)
     return LanguageModel(tuple(languages), code, weights, offset, trust / trust.sum())
 
 
+def reliability(right: float, rows: int) -> float:
+    """A bit's weight: half the log odds of being right, as far as so many rows can tell."""
+    least = 1 / (rows + 2)
+    return max(0.5 * float(np.log((right + least) / (1 - right + least))), 1e-3)
+
+
 def language_of(text: Column, model: LanguageModel) -> Column:
     """Struct of lang_pred, score and ambiguous."""
 

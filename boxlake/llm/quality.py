@@ -1,47 +1,75 @@
 """Operator 6: quality classifier by compression.
 
-Two zstandard dictionaries are built from well and badly labelled text, and
-two more from the shape of these texts (letters, capitals and digits each
-mapped to one symbol). Every text is compressed in short pieces with both
-dictionaries of a pair; the normalised difference of the compressed sizes,
-``(bad - good) / (bad + good)``, is the evidence. A logistic curve, fitted on
-labelled rows that no dictionary has seen, turns it into a score; how well
-the text compresses at all and its length join in, since repetition
-compresses alike with any dictionary and short texts give little evidence.
-
-Fitted on at most :data:`PER_CLASS` labelled rows of each class, half for the
-dictionaries and half for the curve. With no row of a class the score is the
-share of label 1 (0.5 without rows). Null and empty texts get the curve's
-value for no evidence. Very long texts are scored whole. Repeated rows get
-equal scores.
+Two zstandard dictionaries, from well and from badly labelled text, are built
+for each of three views of a text: the text itself, its shape (letters,
+capitals and digits each mapped to one symbol), and its recurrence (a symbol
+for each word by how far back the same word stood last). Every view is
+compressed in short pieces with both dictionaries; the normalised difference
+of the compressed sizes, ``(bad - good) / (bad + good)``, is all that a score
+depends on. :data:`PSEUDO` bytes of the training rows' mean difference are
+added to each, so that short texts, which tell little, lie near the mean. A
+logistic curve, fitted on labelled rows that no dictionary has seen,
+calibrates the three differences.
+
+Fitted on about :data:`PER_CLASS` labelled rows of each class, drawn by a hash
+of doc_id, two thirds for the dictionaries and a third for the curve. A dictionary is
+trained on :data:`SAMPLE_PIECES` pieces at most, drawn by hash from the whole
+of its texts. With no row of a class the score is the share of label 1 (0.5
+without rows).
+
+Null and empty texts get the curve's value for the mean difference; in fitting
+they are left out, as are labels other than 0 and 1 and rows without doc_id.
+Very long texts are scored and learned whole. Repeated rows get equal scores,
+a repeated doc_id in fitting counts once for each of its rows. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare
-from .sampling import labelled_sample
+from .common import checkpointed, held_out, map_batches, prepare
+from .sampling import thinned
 
-PER_CLASS = 2000
-PIECE, LEVEL, DICTIONARY = 512, 3, 32768
+PER_CLASS, SAMPLE_PIECES, PSEUDO = 2000, 8000, 128
+LEVEL, DICTIONARY = 3, 32768
 THRESHOLD = 0.3
 
 _SHAPE = bytes(97 if x >= 128 or 97 <= x <= 122 else 65 if 65 <= x <= 90 else 48 if 48 <= x <= 57 else x for x in range(256))
+#: Symbols of words: the word before, two or three back, up to seven back, and so on; n for a new word.
+_BACK, _NEW, _LINE = b"abcdefgh", ord("n"), ord(".")
+#: Bytes of a piece of each view.
+VIEWS = (512, 512, 16)
 
 
-def _pieces(data: bytes) -> list[bytes]:
-    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+def recurrence(data: bytes) -> bytes:
+    out, last, k = bytearray(), {}, 0
+    for line in data.split(b"\n"):
+        for w in line.split():
+            back = k - last.get(w, k)
+            out.append(_BACK[min(back.bit_length(), 8) - 1] if back else _NEW)
+            last[w] = k
+            k += 1
+        out.append(_LINE)
+    return bytes(out)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    samples = [p for t in texts for p in _pieces(t)[:20]]
+def pieces(text: str | None) -> list[list[bytes]]:
+    """Pieces of each view of a text."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    views = (data, data.translate(_SHAPE), recurrence(data) if data else b"")
+    return [[v[i : i + n] for i in range(0, len(v), n)] for v, n in zip(views, VIEWS)]
+
+
+def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: their text itself serves
@@ -50,11 +78,10 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Dictionaries good, bad, good shape, bad shape; weights of the curve."""
+    """Dictionaries, good and bad by view; mean difference by view; the curve's offset and weight of each view."""
 
     dictionaries: tuple[bytes, ...]
     mean: tuple[float, ...]
-    spread: tuple[float, ...]
     weights: tuple[float, ...]
 
     def compressors(self) -> list:
@@ -69,51 +96,85 @@ class QualityModel:
         if not self.dictionaries:
             return np.full(len(texts), self.weights[0])
         compressors = self.compressors()
-        x = np.array([evidence((t or "").encode("utf-8", "surrogatepass"), compressors) for t in texts]).reshape(-1, len(self.mean))
-        z = self.weights[0] + ((x - self.mean) / self.spread) @ np.array(self.weights[1:])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        x = differences(np.array([sizes(t, compressors) for t in texts]).reshape(-1, len(VIEWS), 2), self.mean)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -30, 30)))
+
 
+def sizes(text: str | None, compressors: list) -> list[list[int]]:
+    """Compressed sizes by view: with the good and with the bad dictionary."""
+    return [[sum(len(c(p)) for p in view) for c in compressors[2 * i : 2 * i + 2]] for i, view in enumerate(pieces(text))]
 
-def evidence(data: bytes, compressors: list) -> list[float]:
-    good, bad, good_shape, bad_shape = compressors
-    a = b = c = d = 0
-    for p in _pieces(data):
-        shape = p.translate(_SHAPE)
-        a, b, c, d = a + len(good(p)), b + len(bad(p)), c + len(good_shape(shape)), d + len(bad_shape(shape))
-    raw, formed = (b - a) / max(a + b, 1), (d - c) / max(c + d, 1)
-    n = len(data) + 1
-    return [raw, formed, a / n, c / n, np.log(n), raw * np.log(n), formed * np.log(n)]
+
+def differences(sizes: np.ndarray, mean: tuple[float, ...] | None = None) -> np.ndarray:
+    """Normalised differences by row and view, with :data:`PSEUDO` bytes of the mean, if given."""
+    good, bad = sizes[..., 0].astype(float), sizes[..., 1].astype(float)
+    if mean is None:
+        return (bad - good) / np.maximum(bad + good, 1)
+    return (bad - good + PSEUDO * np.array(mean)) / (bad + good + PSEUDO)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     """Ridge logistic regression by Newton steps, classes weighted to their true shares."""
     w = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    x, beta, ridge = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1), 1e-2
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    x, beta, ridge = np.c_[np.ones(len(x)), (x - mean) / spread], np.zeros(x.shape[1] + 1), 1e-2
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), x.T @ (w * (y - p)) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return beta
+    weights = beta[1:] / spread
+    return np.r_[beta[0] - mean @ weights, weights]
+
+
+def _samples(texts: DataFrame, n: int = SAMPLE_PIECES) -> dict[tuple[int, int], list[bytes]]:
+    """(label, view) -> ``n`` pieces of these texts at most, those of the least hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, label, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for view, own in enumerate(pieces(text)):
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id] * n, pa.int64()), pa.array([label] * n, pa.int32()), pa.array([view] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(own, pa.binary())],
+                        names=["doc_id", "label", "view", "at", "piece"])
+
+    found = map_batches(texts.select(F.col("doc_id").cast("long"), "label", "text"), run, "doc_id long, label int, view int, at int, piece binary")
+    hash_ = F.xxhash64("doc_id", "at")
+    place = F.row_number().over(Window.partitionBy("label", "view").orderBy(hash_, "piece"))
+    out: dict = {(q, v): [] for q in (0, 1) for v in range(len(VIEWS))}
+    for r in found.withColumn("place", place).where(F.col("place") <= n).orderBy("label", "view", "place").collect():
+        out[r.label, r.view].append(bytes(r.piece))
+    return out
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    counts = {r.quality: r["count"] for r in labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
-    prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    rows = labelled_sample(docs, labels.where(F.col("quality").isin(0, 1)), "quality", per_class)
-    texts = {q: [t.encode("utf-8", "surrogatepass") for label, t in rows if label == q] for q in (0, 1)}
-    if min(len(texts[0]), len(texts[1])) < 2:
-        return QualityModel((), (), (), (prior,))
-    for_dictionary = {q: t[::2] for q, t in texts.items()}
-    shapes = {q: [x.translate(_SHAPE) for x in t] for q, t in for_dictionary.items()}
-    dictionaries = (_dictionary(for_dictionary[1]), _dictionary(for_dictionary[0]), _dictionary(shapes[1]), _dictionary(shapes[0]))
-    compressors = QualityModel(dictionaries, (), (), ()).compressors()
-    seen = [(x, q) for q in (0, 1) for x in texts[q][1::2]]
-    x, y = np.array([evidence(t, compressors) for t, _ in seen]), np.array([q for _, q in seen])
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    beta = _curve((x - mean) / spread, y, min(max(prior, 1e-3), 1 - 1e-3))
-    return QualityModel(dictionaries, tuple(mean), tuple(spread), tuple(beta))
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
+    chosen, counts = thinned(known, "label", per_class, 2)
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    part = (F.xxhash64("doc_id", F.lit("part")) % 3 != 0).alias("first")
+    # The sample: about 2 * per_class texts.
+    texts = checkpointed(docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", part))
+    samples = _samples(texts.where("first"))
+    if not all(samples.values()):
+        return QualityModel((), (), (prior,))
+    model = QualityModel(tuple(_dictionary(samples[q, v]) for v in range(len(VIEWS)) for q in (1, 0)), (), ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for b in batches:
+            found = [np.ravel(sizes(t, compressors)).tolist() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "sizes"])
+
+    seen = map_batches(texts.where("not first").select("label", "text"), run, "label int, sizes array<long>")
+    rows = sorted((r.label, r.sizes) for r in seen.collect())  # about per_class, a few numbers each
+    y = np.array([q for q, _ in rows])
+    if len(set(y.tolist())) < 2:
+        return QualityModel((), (), (prior,))
+    found = np.array([s for _, s in rows]).reshape(-1, len(VIEWS), 2)
+    mean = tuple(differences(found).mean(0).tolist())
+    return QualityModel(model.dictionaries, mean, tuple(_curve(differences(found, mean), y, prior).tolist()))
 
 
 def quality_score(text: Column, model: QualityModel) -> Column:

@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
 
-#: Longest text that a model is fitted on; longer ones are scored whole.
-SAMPLE_CHARS = 50_000
-#: So many of the most frequent labels are thinned out before their rows meet.
-FREQUENT = 10_000
+def thinned(rows: DataFrame, label: str, per_class: int, classes: int) -> tuple[DataFrame, dict]:
+    """About ``per_class`` rows of each of the ``classes`` most frequent values of ``label`` (ties: least value), and the values' counts.
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, per_class: int, max_chars: int = SAMPLE_CHARS) -> list[tuple]:
-    """At most ``per_class`` (label, text) rows for each value of ``label``, outside the held-out fold.
-
-    Which rows they are depends on a hash of doc_id alone. The label comes
-    from ``labels`` by doc_id, or from ``docs`` itself. Each map task passes
-    on at most ``per_class`` rows of a value, and only their ids; the texts
-    are fetched for the chosen ids.
+    Which rows they are depends on a hash of doc_id alone; rows of a less
+    frequent value are all kept. Rows are thinned out where they lie, before
+    any of them meet.
     """
-    known = docs.where(~held_out(F.col("doc_id")) & (F.length("text") > 0) & (F.length("text") <= max_chars))
-    if labels is None:
-        rows = known.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label"))
-    else:
-        rows = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label")).join(known.select("doc_id"), "doc_id", "left_semi")
-    # Rows far beyond the place that is wanted go before the window: a frequent label sends it about four times per_class rows.
-    counts = rows.groupBy("label").count().where(F.col("count") > 4 * per_class).orderBy(F.desc("count")).limit(FREQUENT)
-    hash_ = F.xxhash64("doc_id")
-    far = hash_.cast("double") > (F.lit(4.0 * per_class) / F.col("count") - 0.5) * 2.0**64
-    rows = rows.join(F.broadcast(counts), "label", "left").where(F.col("count").isNull() | ~far).drop("count")
-    order = Window.partitionBy("label").orderBy(hash_, "doc_id")
-    chosen = rows.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select("doc_id", "label", "place")
-    picked = chosen.collect()  # per_class rows for each label
-    spark = docs.sparkSession
-    if not picked:
-        return []
-    small = F.broadcast(spark.createDataFrame(picked, chosen.schema))
-    found = known.select("doc_id", "text").join(small, "doc_id").select("label", "place", "text").collect()
-    return [(r.label, r.text) for r in sorted(found, key=lambda r: (str(r.label), r.place, r.text))]
+    rows = rows.where(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()}
+    if not counts:
+        return rows.limit(0), counts
+    share = rows.sparkSession.createDataFrame([(v, per_class / n) for v, n in counts.items()], f"{label} {rows.schema[label].dataType.simpleString()}, _share double")
+    kept = rows.join(F.broadcast(share), label).where(F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 < F.col("_share"))
+    return kept.drop("_share"), counts
