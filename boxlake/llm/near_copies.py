@@ -1,12 +1,12 @@
-"""Near-duplicate groups by SimHash links and exact verification.
+"""Near-duplicate groups by SimHash links and verification on whole shingle sets.
 
 The pipeline's form of operator 5: groups of documents whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more. Texts with equal
-shingle sets are one class. Between classes, candidates are the links of the
+five-word shingles, as XXH64 hashes, have a Jaccard similarity of 0.8 or more.
+Texts with equal shingle sets are one class. Between classes, candidates are the links of the
 binary-trie self-join over SimHash fingerprints. Pairs at 0.8 differ in about
 nine of 64 bits, which no trie walk can afford to allow for, so MinHash bands
 add candidates (24 bands of 6: a pair at 0.8 is missed once in 1,400 times).
-Every candidate is verified on the whole shingle sets, and groups are the
+Every candidate is verified on the whole sets of hashes, and groups are the
 connected components of what holds.
 
 Classes that meet in a band are compared pairwise up to :data:`SMALL` of
@@ -18,8 +18,11 @@ every pair of such classes that is similar enough and not yet in one
 component, by a prefix-filter join (:func:`prefix_candidates`), which loses
 nothing.
 
-Texts without words are one class. Rows that repeat a doc_id are one
-document: they stay or go together. A row without doc_id always stays.
+Texts without words, null ones included, are one class. Groups are of rows:
+rows that repeat a doc_id with different texts may lie in different groups,
+and each group keeps its row of the smallest doc_id. Rows that repeat doc_id
+and text stay or go together. A row without doc_id always stays. Very long
+texts are compared whole. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, words_of
+from .common import checkpointed, free_name, map_batches, words_of
 from .components import connected_components
 from .simhash import links, majority, shingle_hashes
 
@@ -64,16 +67,16 @@ def signature(hashes: np.ndarray) -> list[bytes]:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         same, fps, bands, sets = [], [], [], []
-        for t in b.column(1).to_pylist():
+        for t in b.column(2).to_pylist():
             hashes = shingle_hashes(words_of(t, lower=True), SHINGLE)
             distinct = np.unique(hashes)
             same.append(int.from_bytes(hashlib.blake2b(distinct.tobytes(), digest_size=8).digest(), "little", signed=True))
             fps.append(np.uint64(majority(hashes)).astype(np.int64))
             bands.append([int.from_bytes(x, "little", signed=True) for x in signature(distinct)] if len(distinct) else [])
-            sets.append(np.unique((distinct >> np.uint64(16)).astype(np.uint32)).tobytes())
+            sets.append(distinct.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(same, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-            names=["doc_id", "class", "fp", "bands", "shingles"])
+            [b.column(0), b.column(1), pa.array(same, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+            names=["doc_id", "key", "class", "fp", "bands", "shingles"])
 
 
 def _meeting(members: list[int], sketches: list[bytes]) -> tuple[set[tuple[int, int]], list[int]]:
@@ -155,11 +158,11 @@ def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
-            m, n = len(p) // 4, len(q) // 4
+            m, n = len(p) // 8, len(q) // 8
             if min(m, n) < similarity * max(m, n):
                 out.append(False)
                 continue
-            shared = len(np.intersect1d(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), assume_unique=True))
+            shared = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
             out.append(shared >= similarity * (m + n - shared) - 1e-9)
         return pd.Series(out, dtype=bool)
 
@@ -175,7 +178,7 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, similarity: float):
         for b in batches:
             tokens, ns, sizes = [], [], []
             for raw in b.column(2).to_pylist():
-                own = np.frombuffer(raw, np.uint32)
+                own = np.frombuffer(raw, np.uint64)
                 n = len(own)
                 count = np.zeros(n, np.int64)
                 if len(frequent) and n:
@@ -185,7 +188,7 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, similarity: float):
                 tokens.append(own[first]), ns.append(len(first)), sizes.append(n)
             if sum(ns):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int32)), *(pa.array(np.repeat(b.column(i).to_numpy(), ns)) for i in range(2)),
+                    [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.repeat(b.column(i).to_numpy(), ns)) for i in range(2)),
                      pa.array(np.repeat(np.array(sizes, np.int32), ns)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in ns]))],
                     names=["token", "class", "label", "size", "at"])
 
@@ -207,13 +210,13 @@ def prefix_candidates(sets: DataFrame, similarity: float) -> DataFrame:
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()] or [np.zeros(0, np.int32)]))], names=["token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()] or [np.zeros(0, np.int64)]))], names=["token"])
 
-    seen = map_batches(sample, exploded, "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    seen = map_batches(sample, exploded, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     known = seen.orderBy(F.desc("n"), "token").limit(SAMPLE_SHINGLES).toPandas()
-    frequent, counts = known["token"].to_numpy(np.int32).view(np.uint32), known["n"].to_numpy(np.int64)
+    frequent, counts = known["token"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)
     order = np.argsort(frequent)
-    rows = map_batches(sets.select("class", "label", "shingles"), _prefixes(frequent[order], counts[order], similarity), "token int, class long, label long, size int, at int")
+    rows = map_batches(sets.select("class", "label", "shingles"), _prefixes(frequent[order], counts[order], similarity), "token long, class long, label long, size int, at int")
     shared = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
     met = checkpointed(rows.join(shared.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token"))
     part = F.pmod(F.xxhash64("class"), F.col("parts"))
@@ -226,11 +229,11 @@ def prefix_candidates(sets: DataFrame, similarity: float) -> DataFrame:
     return small.join(large, ["token", "part"]).where((F.col("la") != F.col("lb")) & ordered & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of the group) of every document with an id."""
+def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, key (a hash of the text) and component_id (smallest doc_id of the row's group) of every row with an id."""
     rows = checkpointed(map_batches(
-        docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-        _describe, "doc_id long, class long, fp long, bands array<long>, shingles binary"))
+        docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")),
+        _describe, "doc_id long, key long, class long, fp long, bands array<long>, shingles binary"))
     classes = checkpointed(rows.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     by_fp = classes.groupBy("fp").agg(F.min("class").alias("class"))
     near = links(by_fp.select("fp"))
@@ -251,10 +254,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         joined = connected_components(met).select(F.col("v").alias("label"), F.col("label").alias("least"))
         member = member.join(joined, "label", "left").select("class", "first", F.coalesce("least", "label").alias("label"))
     least = member.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "class").join(member.join(least, "label").select("class", "component_id"), "class").select("doc_id", "component_id")
+    return rows.select("doc_id", "key", "class").join(member.join(least, "label").select("class", "component_id"), "class").select("doc_id", "key", "component_id")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id of every row with an id."""
+    return groups(docs, similarity).drop("key")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The first document of every group, with all its columns."""
-    gone = near_copies(docs, similarity).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = free_name("_key", docs.columns)
+    gone = groups(docs, similarity).where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("text")).join(gone, ["doc_id", key], "left_anti").select(*docs.columns)
