@@ -8,7 +8,8 @@ whole string, or a part of it that the window holds.
 
 Null and empty texts have no spans. Very long texts are scanned whole, in
 time linear in their length. Repeated rows are scanned again, each row gives
-one result. Other columns of the input are ignored.
+one result, an empty table none; a null doc_id stays null. Other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
