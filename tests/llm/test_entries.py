@@ -25,6 +25,7 @@ def test_pipeline_equals_brute_force(spark):
     """Each stage from plain Python over the stage before; only the fitted classifier is shared."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import re
+    from collections import Counter
 
     from boxlake.llm.bpe import encoder, round_trip
     from boxlake.llm.common import tokenizer, words_of
@@ -36,26 +37,38 @@ def test_pipeline_equals_brute_force(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     rows = {d: t for d, s, t in zip(rows, model.scores(list(rows.values())), rows.values()) if s >= THRESHOLD}
 
-    def mask(line):
-        return tuple("<*>" if re.search("[0-9]", w) else w for w in re.split(r"[\x20\x09-\x0d]+", line) if w)
+    def parsed(line):
+        raw = tuple(w for w in re.split(r"[\x20\x09-\x0d]+", line) if w)
+        masked = tuple("<*>" if re.search("[0-9]", w) else w for w in raw)
+        return masked, (raw if set(masked) <= {"<*>"} else masked), (len(raw), masked[:3])
 
-    lines = [(t, i, mask(line)) for t in set(rows.values()) for i, line in enumerate(t.split("\n"))]
-    lines = [(t, i, m, (len(m), m[:3])) for t, i, m in lines if m]
+    lines = [(t, i, *parsed(line)) for t in set(rows.values()) for i, line in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[2]]
     leaves: dict = {}
-    for t, _, m, leaf in lines:
-        leaves.setdefault(leaf, (set(), set()))[0].add(t)
-        leaves[leaf][1].add(m)
+    for t, _, masked, own, leaf in lines:
+        texts, templates = leaves.setdefault(leaf, (set(), {}))
+        texts.add(t)
+        templates[own] = [(p, w) for p, w in enumerate(masked) if p >= 3 and w != "<*>"]
     group = {}
     for leaf, (texts, templates) in leaves.items():
-        if len(texts) >= 10:
-            fixed = {p: w for p in range(leaf[0]) for w in {m[p] for m in templates} if 2 * sum(m[p] == w for m in templates) > len(templates)}
-            for m in templates:
-                group[m] = (leaf, None if sum(m[p] == w for p, w in fixed.items()) >= 0.6 * leaf[0] else m)
+        if len(texts) < 10:
+            continue
+        votes = Counter(x for spots in templates.values() for x in spots)
+        families: dict = {}
+        for own, spots in templates.items():
+            group[leaf, own] = (leaf, own)
+            if spots:
+                families.setdefault(max(spots, key=lambda x: (votes[x], -x[0])), []).append(own)
+        for anchor, members in families.items():
+            votes_ = Counter(x for own in members for x in templates[own])
+            for own in members:
+                if sum(2 * votes_[x] > len(members) for x in templates[own]) >= 0.6 * (leaf[0] - 3) - 1e-9:
+                    group[leaf, own] = (leaf, "family", anchor)
     seen: dict = {}
-    for t, _, m, _leaf in lines:
-        if m in group:
-            seen.setdefault(group[m], set()).add(t)
-    gone = {(t, i) for t, i, m, _ in lines if m in group and len(seen[group[m]]) >= 10}
+    for t, _, _, own, leaf in lines:
+        if (leaf, own) in group:
+            seen.setdefault(group[leaf, own], set()).add(t)
+    gone = {(t, i) for t, i, _, own, leaf in lines if (leaf, own) in group and len(seen[group[leaf, own]]) >= 10}
     rows = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (t, i) not in gone) for d, t in rows.items()}
 
     sets = {d: frozenset(shingles(words_of(t, lower=True))) for d, t in rows.items()}
@@ -79,3 +92,18 @@ def test_pipeline_equals_brute_force(spark):
     rows = {d: t for d, t in rows.items() if not any(len(i & sets[d]) >= 0.8 * len(i) - 1e-9 for i in items)}
     want = {(d, *round_trip(t, encoder(tokenizer("byte_bpe_50k.json")))) for d, t in rows.items()}
     assert {tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls, empties, repeats, clashing columns and empty tables pass all stages; columns stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6, None, None, None, None), (None, "no id", "en", "x", 5), (10**6 + 1, "", "en", "x", 0), (10**6 + 1, "word " * 30000, "en", "x", 150000)], docs.schema)
+    wide = docs.unionByName(odd).selectExpr("*", "1 as _n_lines", "'k' as _key", "2 as _places", "3 as label", "4 as row", "5 as score")
+    for table in (wide, wide.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SMALL)
+            assert out.columns == wide.columns, name
+            rows = out.collect()
+            assert {(r._n_lines, r._key, r._places) for r in rows} <= {(1, "k", 2)} and (rows or table is not wide), name
+        assert corpus_pipeline.STAGES[-1][1](spark, table, SMALL).count() == table.count()
