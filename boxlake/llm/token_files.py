@@ -6,14 +6,16 @@ skippable frame with sizes and the low 32 bits of each frame's XXH64). A
 reader needs the table, the directory and the frames that hold the documents
 it wants; every frame is checked before use.
 
-Documents are dealt by ranges of doc_id, each task sorts its range and writes
-one file, so files in name order hold ascending ids. A file is written under
+Documents are dealt by ranges of doc_id (and of how their texts begin, so that
+rows without or with one id can be split), each task sorts its range by doc_id
+and text and writes one file, so files in name order hold ascending ids. A file is written under
 a name of its own attempt and then renamed: a task that runs again after an
 executor was lost replaces the file by an equal one.
 
 Null and empty texts hold the end id alone. A null doc_id sorts first and
 stays null. Repeated doc_ids are ordered by text and kept as rows of their
-own. An empty table gives no file and no row. Other columns are ignored.
+own. An empty table gives no file and no row. Very long texts are encoded
+whole, each in memory of its ids. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ FRAME_IDS, FRAME_DOCS = 1 << 18, 512
 #: Pieces whose ids a worker remembers, twice, and the longest of them that it keeps.
 MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
 NO_ID = -(1 << 63)
+#: Rows of one doc_id are split between files by so many first characters of their texts.
+SPLIT_CHARS = 48
 
 
 #: Texts and words whose pieces this module can tell itself: ASCII and Latin-1 letters.
@@ -248,7 +252,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, doc_id:
 
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        .repartitionByRange(n, "doc_id", F.substring("text", 1, SPLIT_CHARS)).sortWithinPartitions("doc_id", "text")
     )
     files = checkpointed(map_batches(ordered, write, "part int, file string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
