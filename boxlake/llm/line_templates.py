@@ -1,17 +1,19 @@
 """Operator 10: line dedup by a log-template tree, in DataFrame functions alone.
 
 A line's path in the tree is its token count, its three leading tokens, and
-then its anchor: of its further tokens the one, with its position, that most
-distinct lines of the leaf have. Tokens with a digit are the variable field
-``<*>`` and are never an anchor. So a family of lines is judged among its own
-kind, however many others share its start. In a family a token that more than
-half of the distinct lines have at a position is constant, other positions
-are variable fields. A line that agrees with the constants in 60 % of its
-positions after the lead belongs to the family's template; the lead itself
-counts for nothing there, as all lines of a leaf share it. Any other line is a
-template of its own, and a line of variable fields alone stands for itself
-with its digits. Templates found in ten or more different texts recur; their
-lines are dropped.
+then an anchor: of its further tokens one, with its position, that most
+distinct lines of the leaf have. A line goes to the families of its three
+best anchors (a variable field may hold a word that is frequent elsewhere in
+the leaf), so a family of lines is judged among its own kind, however many
+others share its start. Tokens with a digit are the variable field ``<*>`` and
+are never an anchor. In a family a token that more than half of the distinct
+lines have at a position is constant, other positions are variable fields. A
+line that agrees with the constants in 60 % of its positions after the lead
+belongs to the family's template; the lead itself counts for nothing there, as
+all lines of a leaf share it. Every line is a template of its own besides; a
+line of variable fields alone stands for itself with its digits. Templates
+found in ten or more different texts recur; the lines of any that recurs are
+dropped.
 
 Lines travel as numbers; only templates in leaves seen in ten texts are looked
 at again, each through one of its lines. Exact copies of a text count once.
@@ -26,12 +28,12 @@ lines times the dropped lines of one text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_name
 
-MIN_DOCS, LEAD, AGREE, FIELD = 10, 3, 0.6, "<*>"
+MIN_DOCS, LEAD, ANCHORS, AGREE, FIELD = 10, 3, 3, 0.6, "<*>"
 #: Tables of keys are broadcast up to so many rows (some MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 _TEXT = ["_text_hash", "_text_size"]
@@ -70,25 +72,25 @@ def _further(templates: DataFrame) -> DataFrame:
     return wide.where((F.col("_at") >= LEAD) & (F.col("_word") != FIELD)).withColumn("_token", F.xxhash64("_word")).drop("_word")
 
 
-def grouped(templates: DataFrame, agree: float = AGREE) -> DataFrame:
-    """Leaf, template and ``_group``: the family's key, or the template's own."""
+def families(templates: DataFrame, agree: float = AGREE) -> DataFrame:
+    """Leaf, template and ``_family`` of the lines that agree with a family of two or more."""
+    own = [*_LEAF, "_template"]
     spot = [*_LEAF, "_at", "_token"]
     votes = _small(_further(templates).groupBy(*spot).agg(F.count("*").alias("_votes")))
-    best = F.max_by(F.xxhash64("_at", "_token"), F.struct("_votes", -F.col("_at")))
-    anchors = _further(templates).join(votes, spot).groupBy(*_LEAF, "_template").agg(best.alias("_family"))
-    templates = checkpointed(templates.join(anchors, [*_LEAF, "_template"], "left"))
-    family, tokens = [*_LEAF, "_family"], _further(templates)
-    sizes = templates.where(F.col("_family").isNotNull()).groupBy(*family).agg(F.count("*").alias("_of"))
+    best = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("_votes"), "_at"))
+    anchors = _further(templates).join(votes.where(F.col("_votes") > 1), spot).withColumn("_place", best).where(F.col("_place") <= ANCHORS)
+    anchors = anchors.select(*own, F.xxhash64("_at", "_token").alias("_family"))
+    members = checkpointed(templates.join(anchors, own))
+    family, tokens = [*_LEAF, "_family"], _further(members)
+    sizes = members.groupBy(*family).agg(F.count("*").alias("_of"))
     votes = tokens.groupBy(*family, "_at", "_token").agg(F.count("*").alias("_votes"))
     constants = _small(votes.join(sizes, family).where(F.col("_votes") * 2 > F.col("_of")).select(*family, "_at", "_token"))
-    agreed = tokens.join(constants, [*family, "_at", "_token"], "left_semi").groupBy(*_LEAF, "_template").agg(F.count("*").alias("_agreed"))
-    group = F.when(F.col("_agreed") >= agree * (F.col("_n") - LEAD) - 1e-9, F.struct(F.lit(True).alias("shared"), F.col("_family").alias("key")))
-    own = F.struct(F.lit(False).alias("shared"), F.col("_template").alias("key"))
-    return templates.join(agreed, [*_LEAF, "_template"], "left").select(*_LEAF, "_template", F.coalesce(group, own).alias("_group"))
+    agreed = tokens.join(constants, [*family, "_at", "_token"], "left_semi").groupBy(*own, "_family").agg(F.count("*").alias("_agreed"))
+    return agreed.where(F.col("_agreed") >= agree * (F.col("_n") - LEAD) - 1e-9).drop("_agreed")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float = AGREE) -> DataFrame:
-    """Text key and ``_places``: the places of lines whose template recurs."""
+    """Text key and ``_places``: the places of lines of which a template recurs."""
     lines = checkpointed(template_lines(docs).drop("_tokens"))
     leaves = _small(lines.select(*_LEAF, *_TEXT).distinct().groupBy(*_LEAF).agg(F.count("*").alias("_texts")).where(F.col("_texts") >= min_docs).select(*_LEAF))
     inside = lines.join(leaves, _LEAF, "left_semi")
@@ -97,10 +99,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float = AG
     texts = _small(shown.select(*_TEXT).distinct())
     some = _keyed(docs.select("text")).join(texts, _TEXT, "left_semi").select("text").distinct()
     templates = checkpointed(template_lines(some).select(*_TEXT, "_place", "_tokens").join(shown, [*_TEXT, "_place"]).select(*_LEAF, "_template", "_tokens"))
-    groups = _small(grouped(templates, agree))
-    found = checkpointed(inside.join(groups, [*_LEAF, "_template"]).select(*_TEXT, "_place", *_LEAF, "_group"))
-    counts = _small(found.select(*_LEAF, "_group", *_TEXT).distinct().groupBy(*_LEAF, "_group").agg(F.count("*").alias("_texts")).where(F.col("_texts") >= min_docs))
-    return found.join(counts, [*_LEAF, "_group"], "left_semi").groupBy(*_TEXT).agg(F.collect_set("_place").alias("_places"))
+    shared = _small(families(templates, agree))
+    pairs = checkpointed(inside.select(*_LEAF, "_template", *_TEXT).distinct())
+    many = F.count("*") >= min_docs
+    alone = pairs.groupBy(*_LEAF, "_template").agg(many.alias("_many")).where("_many").drop("_many")
+    by_family = pairs.join(shared, [*_LEAF, "_template"]).select(*_LEAF, "_family", *_TEXT).distinct()
+    common = by_family.groupBy(*_LEAF, "_family").agg(many.alias("_many")).where("_many").drop("_many")
+    gone = _small(alone.unionByName(shared.join(common, [*_LEAF, "_family"], "left_semi").drop("_family")).distinct())
+    return inside.join(gone, [*_LEAF, "_template"], "left_semi").groupBy(*_TEXT).agg(F.collect_set("_place").alias("_places"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float = AGREE) -> DataFrame:
@@ -139,17 +145,16 @@ tm as (select distinct n, leaf, k, m from ins),
 tok as (select * from (select n, leaf, k, unnest(m[4:]) as tok, unnest(range(4, n + 1)) as p from tm where n > 3) where tok <> '<*>'),
 votes as (select n, leaf, p, tok, count(*) as votes from tok group by n, leaf, p, tok),
 fam as (select n, leaf, k, p as fp, tok as ft
-        from (select *, row_number() over (partition by n, leaf, k order by votes desc, p) as r from tok join votes using (n, leaf, p, tok)) where r = 1),
+        from (select *, row_number() over (partition by n, leaf, k order by votes desc, p) as r from tok join votes using (n, leaf, p, tok)) where r <= 3),
 sizes as (select n, leaf, fp, ft, count(*) as total from fam group by n, leaf, fp, ft),
 ftok as (select * from tok join fam using (n, leaf, k)),
 con as (select n, leaf, fp, ft, p, tok from ftok join sizes using (n, leaf, fp, ft) group by n, leaf, fp, ft, p, tok, total having 2 * count(*) > total),
 hit as (select n, leaf, k, fp, ft, count(*) as agreed from ftok join con using (n, leaf, fp, ft, p, tok) group by n, leaf, k, fp, ft),
-grp as (select tm.n, tm.leaf, tm.k, coalesce(agreed >= 0.6 * (tm.n - 3) - 1e-9, false) as shared,
-               case when agreed >= 0.6 * (tm.n - 3) - 1e-9 then [cast(fp as varchar), ft] else tm.k end as g
-        from tm left join hit using (n, leaf, k)),
-found as (select text, place, n, leaf, shared, g from ins join grp using (n, leaf, k)),
-rec as (select n, leaf, shared, g from found group by n, leaf, shared, g having count(distinct text) >= 10),
-gone as (select text, place from found semi join rec using (n, leaf, shared, g)),
+grp as (select n, leaf, k, 0 as fp, k as g from tm union all
+        select n, leaf, k, fp, [ft] as g from hit where agreed >= 0.6 * (n - 3) - 1e-9),
+found as (select text, place, n, leaf, fp, g from ins join grp using (n, leaf, k)),
+rec as (select n, leaf, fp, g from found group by n, leaf, fp, g having count(distinct text) >= 10),
+gone as (select distinct text, place from found semi join rec using (n, leaf, fp, g)),
 kept as (select text, string_agg(line, chr(10) order by place) as kept from l0 anti join gone using (text, place) group by text),
 cnt as (select text, count(*) as n_removed from gone group by text)
 select d.doc_id, cast(case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as bigint) as n_lines,

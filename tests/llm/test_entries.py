@@ -56,19 +56,19 @@ def test_pipeline_equals_brute_force(spark):
         votes = Counter(x for spots in templates.values() for x in spots)
         families: dict = {}
         for own, spots in templates.items():
-            group[leaf, own] = (leaf, own)
-            if spots:
-                families.setdefault(max(spots, key=lambda x: (votes[x], -x[0])), []).append(own)
+            group[leaf, own] = [(leaf, own)]
+            for x in sorted(spots, key=lambda x: (-votes[x], x[0]))[:3]:
+                families.setdefault(x, []).append(own)
         for anchor, members in families.items():
             votes_ = Counter(x for own in members for x in templates[own])
             for own in members:
                 if sum(2 * votes_[x] > len(members) for x in templates[own]) >= 0.6 * (leaf[0] - 3) - 1e-9:
-                    group[leaf, own] = (leaf, "family", anchor)
+                    group[leaf, own].append((leaf, "family", anchor))
     seen: dict = {}
     for t, _, _, own, leaf in lines:
-        if (leaf, own) in group:
-            seen.setdefault(group[leaf, own], set()).add(t)
-    gone = {(t, i) for t, i, _, own, leaf in lines if (leaf, own) in group and len(seen[group[leaf, own]]) >= 10}
+        for g in group.get((leaf, own), []):
+            seen.setdefault(g, set()).add(t)
+    gone = {(t, i) for t, i, _, own, leaf in lines if any(len(seen[g]) >= 10 for g in group.get((leaf, own), []))}
     rows = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (t, i) not in gone) for d, t in rows.items()}
 
     sets = {d: frozenset(shingles(words_of(t, lower=True))) for d, t in rows.items()}

@@ -266,6 +266,17 @@ def test_token_files(spark, tmp_path):
     assert read_token_files(write_token_files(frame(spark, []), path, f"{out}2", 1), f"{out}2").count() == 0
 
 
+def test_rows_of_one_id_are_split_between_files(spark, tmp_path):
+    from boxlake.llm.token_files import read_token_files, write_token_files
+
+    texts = [(None, prose(i, 30)) for i in range(200)] + [(4, "x"), (4, None)]
+    files = write_token_files(frame(spark, texts).repartition(3), tokenizer("word_bpe_49k.json"), f"file://{tmp_path}/t", 1)
+    assert files.count() > 2
+    rows = sorted((r.start, r.doc_id, r.n_tokens) for r in read_token_files(files, f"file://{tmp_path}/t").collect())
+    want = [len(_reference_ids("word_bpe_49k.json", t)) + 1 for _, t in sorted(texts, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or ""))]
+    assert [n for _, _, n in rows] == want and [s for s, _, _ in rows] == [sum(want[:i]) for i in range(len(want))]
+
+
 def test_token_file_reads_only_wanted_frames_and_checks_them(tmp_path):
     import io
 
@@ -696,13 +707,13 @@ def test_line_templates(spark):
 def test_lines_that_share_only_little_stay(spark):
     from boxlake.llm.line_templates import digest, drop_recurring_lines
 
-    word = lambda i: "".join(random.Random(i).choice("abcdefgh") for _ in range(9))
+    word = lambda i: "abcdefgh"[i % 8] + "abcdefgh"[i // 8 % 8] + "".join(random.Random(i).choices("abcdefgh", k=6))
     texts = [(i, f"{1900 + i}\n{i} {i * 3}\nIt was a {word(i)}\nIt was a {word(i + 50)} {word(i + 90)}\n1234 5678") for i in range(12)]
     rows = {r.doc_id: r.text.split("\n") for r in drop_recurring_lines(frame(spark, texts)).collect()}
     assert all(rows[i] == t.split("\n")[:4] for i, t in texts)  # numbers alone and short starts are no templates; the same numbers recur
     # A family in a crowded leaf is judged among its own lines.
-    crowd = [(100 + i, " ".join(["Posted in the", *(word(1000 + 50 * i + j) for j in range(8))])) for i in range(200)]
-    family = [(400 + i, f"Posted in the category {word(i)} by our {word(i + 20)} team of editors") for i in range(12)]
+    crowd = [(100 + i, " ".join(["Posted in the", *(word(random.Random(50 * i + j).randrange(20)) for j in range(8))])) for i in range(200)]
+    family = [(400 + i, f"Posted in the category {word(i)} by our {word(i + 8)} team of editors") for i in range(12)]
     docs = frame(spark, crowd + family).withColumns({"_n_lines": F.lit(5), "_N_REMOVED": F.lit(6), "_row": F.lit(7)})
     out = drop_recurring_lines(docs)
     assert out.columns == [*docs.columns, "__n_lines", "__n_removed"]
