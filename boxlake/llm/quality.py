@@ -13,8 +13,8 @@ calibrates the three differences.
 
 Fitted on about :data:`PER_CLASS` labelled rows of each class, drawn by a hash
 of doc_id, two thirds for the dictionaries and a third for the curve. A dictionary is
-trained on :data:`SAMPLE_PIECES` pieces at most, drawn by hash from the whole
-of its texts. With no row of a class the score is the share of label 1 (0.5
+trained on about :data:`SAMPLE_PIECES` pieces, drawn by hash from the whole of
+its texts. With no row of a class the score is the share of label 1 (0.5
 without rows).
 
 Null and empty texts get the curve's value for the mean difference; in fitting
@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, held_out, map_batches, prepare
@@ -129,7 +129,7 @@ def _curve(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
 
 
 def _samples(texts: DataFrame, n: int = SAMPLE_PIECES) -> dict[tuple[int, int], list[bytes]]:
-    """(label, view) -> ``n`` pieces of these texts at most, those of the least hashes."""
+    """(label, view) -> about ``n`` pieces of these texts, drawn by a hash of their document and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,10 +141,12 @@ def _samples(texts: DataFrame, n: int = SAMPLE_PIECES) -> dict[tuple[int, int],
                         names=["doc_id", "label", "view", "at", "piece"])
 
     found = map_batches(texts.select(F.col("doc_id").cast("long"), "label", "text"), run, "doc_id long, label int, view int, at int, piece binary")
-    hash_ = F.xxhash64("doc_id", "at")
-    place = F.row_number().over(Window.partitionBy("label", "view").orderBy(hash_, "piece"))
     out: dict = {(q, v): [] for q in (0, 1) for v in range(len(VIEWS))}
-    for r in found.withColumn("place", place).where(F.col("place") <= n).orderBy("label", "view", "place").collect():
+    counts = {(r.label, r.view): r["count"] for r in found.groupBy("label", "view").count().collect()}
+    share = F.coalesce(*[F.when((F.col("label") == q) & (F.col("view") == v), F.lit(n / c)) for (q, v), c in counts.items()], F.lit(0.0))
+    hash_ = F.xxhash64("doc_id", "at")
+    drawn = found.where(hash_.cast("double") / 2.0**64 + 0.5 < share).withColumn("hash", hash_)
+    for r in sorted(drawn.collect(), key=lambda r: (r.label, r.view, r.hash, r.piece)):  # about n of each
         out[r.label, r.view].append(bytes(r.piece))
     return out
 
