@@ -166,8 +166,10 @@ def _pack(n: int, seeds: list | None, k: int):
                 held.setdefault(d, []).append(part)
                 if sum(len(ids) for ids, _ in held[d]) >= n:
                     ids, rows = (np.concatenate([p[i] for p in held[d]]) for i in (0, 1))
-                    yield pack(d, ids[:n], rows[:n], at)
-                    held[d], at = [(ids[n:], rows[n:])], at + 1
+                    while len(ids) >= n:
+                        yield pack(d, ids[:n], rows[:n], at)
+                        ids, rows, at = ids[n:], rows[n:], at + 1
+                    held[d] = [(ids, rows)]
         for d, parts in held.items():
             ids, rows = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             if len(ids):
