@@ -193,19 +193,20 @@ class _Sender:
         self.held = 0
 
     def add(self, texts: list[tuple[int, list[bytes]]]) -> None:
+        """Texts of a window or more; hashes run over all of them at once, those across two texts are left out."""
         h = self.hasher
         hashes = h.words([w for _, words in texts for w in words])
+        keys, found = h.keys(hashes), h.windows(hashes)
+        if len(self.hot):
+            many = self.hot[np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)] == keys
+            if many.any():
+                keys[many] = mixed(keys[many] ^ h.dealt(hashes)[many])
         at = 0
         for row, words in texts:
-            own = hashes[at : at + len(words)]
+            n = len(words) - h.window + 1
+            self.parts.append((keys[at : at + n], found[at : at + n], row, n))
+            self.held += n
             at += len(words)
-            keys, found = h.keys(own), h.windows(own)
-            if len(self.hot):
-                many = self.hot[np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)] == keys
-                if many.any():
-                    keys[many] = mixed(keys[many] ^ h.dealt(own)[many])
-            self.parts.append((keys, found, row, len(keys)))
-            self.held += len(keys)
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
         if not self.parts:
