@@ -82,8 +82,9 @@ def families(templates: DataFrame, agree: float = AGREE) -> DataFrame:
     anchors = anchors.select(*own, F.xxhash64("_at", "_token").alias("_family"))
     members = checkpointed(templates.join(anchors, own))
     family, tokens = [*_LEAF, "_family"], _further(members)
-    sizes = members.groupBy(*family).agg(F.count("*").alias("_of"))
-    votes = tokens.groupBy(*family, "_at", "_token").agg(F.count("*").alias("_votes"))
+    # A family of one is its line's own template; in a larger one no constant has a single vote.
+    sizes = members.groupBy(*family).agg(F.count("*").alias("_of")).where(F.col("_of") > 1)
+    votes = tokens.groupBy(*family, "_at", "_token").agg(F.count("*").alias("_votes")).where(F.col("_votes") > 1)
     constants = _small(votes.join(sizes, family).where(F.col("_votes") * 2 > F.col("_of")).select(*family, "_at", "_token"))
     agreed = tokens.join(constants, [*family, "_at", "_token"], "left_semi").groupBy(*own, "_family").agg(F.count("*").alias("_agreed"))
     return agreed.where(F.col("_agreed") >= agree * (F.col("_n") - LEAD) - 1e-9).drop("_agreed")
