@@ -45,6 +45,8 @@ FRAME_IDS, FRAME_DOCS = 1 << 18, 512
 #: Pieces whose ids a worker remembers, twice, and the longest of them that it keeps.
 MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
 NO_ID = -(1 << 63)
+#: Texts whose pieces are learned together have so many characters.
+GROUP_CHARS = 1 << 19
 #: Rows of one doc_id are split between files by so many first characters of their texts.
 SPLIT_CHARS = 48
 
@@ -111,10 +113,12 @@ class WordEncoder:
             self.pieces.new[piece] = packed[at:cut]
             at = cut
 
-    def _packed(self, pieces: list[str]) -> bytes:
-        missing = self.pieces.missing(set(pieces))
+    def _packed(self, runs: list[list[str]]) -> list[bytes]:
+        """Packed ids of runs of pieces; what is new in any of them is learned in one call."""
+        missing = self.pieces.missing(set().union(*runs))
         self._new_pieces(missing)
-        packed = b"".join(map(self.pieces.new.__getitem__, pieces))
+        known = self.pieces.new.__getitem__
+        packed = [b"".join(map(known, run)) for run in runs]
         for p in missing:
             if len(p) > MEMO_CHARS:
                 del self.pieces.new[p]
@@ -124,15 +128,31 @@ class WordEncoder:
         """Packed ids of a text."""
         special = any(t in text for t in self.special)
         if not special and PLAIN.match(text):
-            return self._packed(PIECE.findall(text.lower()))
+            return self._packed([PIECE.findall(text.lower())])[0]
         out, run = [], []
         for word in re.split(r"[\x20\x09-\x0D]+", text):
             if PLAIN.match(word) and not (special and any(t in word for t in self.special)):
                 run += PIECE.findall(word.lower())
             else:
-                out += [self._packed(run), *self._whole([word])]
+                out += [*self._packed([run]), *self._whole([word])]
                 run = []
-        return b"".join([*out, self._packed(run)])
+        return b"".join([*out, *self._packed([run])])
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text, in order; texts go in groups of :data:`GROUP_CHARS` characters or one text."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        plain = [i for i, t in enumerate(texts) if PLAIN.match(t) and not any(s in t for s in self.special)]
+        out = dict(zip(plain, self._packed([PIECE.findall(texts[i].lower()) for i in plain]))) if plain else {}
+        return [out[i] if i in out else self.encode(t) for i, t in enumerate(texts)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -239,11 +259,11 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, doc_id:
         name, own = f"{top}/part-{part:06d}.zst", f"{top}/.part-{part:06d}-{task.taskAttemptId()}"
         writer = sink = None
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, ids in zip(b.column(0).to_pylist(), encoder.encode_many([t or "" for t in b.column(1).to_pylist()])):
                 if writer is None:
                     sink = fs.open_output_stream(own)
                     writer = TokenFileWriter(sink)
-                writer.add(d, encoder.encode(t or "") + end)
+                writer.add(d, ids + end)
         if writer is not None:
             writer.close()
             sink.close()
