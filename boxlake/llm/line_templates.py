@@ -105,7 +105,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, agree: float = AG
     many = F.count("*") >= min_docs
     alone = pairs.groupBy(*_LEAF, "_template").agg(many.alias("_many")).where("_many").drop("_many")
     by_family = pairs.join(shared, [*_LEAF, "_template"]).select(*_LEAF, "_family", *_TEXT).distinct()
-    common = by_family.groupBy(*_LEAF, "_family").agg(many.alias("_many")).where("_many").drop("_many")
+    common = _small(by_family.groupBy(*_LEAF, "_family").agg(many.alias("_many")).where("_many").drop("_many"))
     gone = _small(alone.unionByName(shared.join(common, [*_LEAF, "_family"], "left_semi").drop("_family")).distinct())
     return inside.join(gone, [*_LEAF, "_template"], "left_semi").groupBy(*_TEXT).agg(F.collect_set("_place").alias("_places"))
 
