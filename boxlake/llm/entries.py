@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_templates, topk
+from . import decontaminate, fill_in_middle, filter_audit, line_templates, topk
 from .common import read, tokenizer
 
 
@@ -74,6 +74,20 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(drop_recurring_lines(read(spark, sf_dir, "documents")))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -82,4 +96,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_topk": topk.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }

@@ -12,7 +12,7 @@ def test_equals_oracle(spark, duck, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 14))
 
 
 def test_registered():

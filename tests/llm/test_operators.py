@@ -722,3 +722,182 @@ def test_lines_that_share_only_little_stay(spark):
     assert {(r.n_lines, r.n_removed) for r in digest(out).collect()} == {(1, 0), (1, 1)}
     many = "\n".join(f"line {word(i)} of {word(i + 1)}" for i in range(3000))
     assert {r.text for r in drop_recurring_lines(frame(spark, [(1, many), (1, many)])).collect()} == {many}
+
+
+# 11
+
+STORY = "<h1>Title here</h1><p>First paragraph with quite a few words, and a second sentence too.</p><p>Short.</p><p>Another long paragraph of the story that goes on &amp; on for a while.</p>"
+STORY_TEXT = "Title here\nFirst paragraph with quite a few words, and a second sentence too.\nShort.\nAnother long paragraph of the story that goes on & on for a while."
+ASIDE = "<div class=sidebar><p>Side text that is rather long, longer than the story itself perhaps, who knows, it goes on and on and on.</p></div><div id='cookie-notice'>We use cookies to give you the best experience today.</div>"
+LINKS = "<div><ul>" + "".join(f"<li><a href=/x{i}>Some link number {i}</a></li>" for i in range(20)) + "</ul></div>"
+REPLIES = "<section id=comments><h2>Comments</h2><article class=comment><p>I think this is a very long comment and it goes on and on and on, far longer than the article.</p></article></section>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{ASIDE}{LINKS}<article>{STORY}</article>{REPLIES}</body>",
+    f"<body>{ASIDE}{LINKS}<div id=content>{STORY}</div>{REPLIES}{LINKS}</body>",
+    f"<body class='has-sidebar home'><div class=page-header-fixed><main><div class=x>{STORY}{REPLIES}</div></main></div>{LINKS}<footer>Foot &copy;</footer></body>",
+    f"<body>{LINKS}<div><h1>Title here</h1><div class=meta></div><div class=post-content>{STORY[19:]}</div></div></body>",
+    f"<form id=aspnet><input name=q><div>{LINKS}<div>{STORY}</div></div></form>",
+    f"<header><h2>Site</h2></header><article class='post sidebar-right ad-free'><header><h1>Title here</h1></header>{STORY[19:]}<aside>Read more</aside><div class=share-buttons>Tweet</div></article>",
+    f"<div class='layout left-sidebar'>{LINKS}<div><h1 id=comments-and-ads>Title here</h1>{STORY[19:]}</div></div>",
+    f"<article><script>var t='</p><p>no'</script>{STORY}<style>p{{}}</style><!-- <p>no</p> --><form><label>Name</label><input></form><p hidden>no</p></article>{ASIDE}",
+    STORY.replace("</p>", "<br>").replace(" ", " \n\t"),
+])
+def test_main_text(page):
+    from boxlake.llm.main_text import main_text
+
+    assert main_text(page)[0] == STORY_TEXT
+
+
+def test_main_text_of_odd_pages():
+    from boxlake.llm.main_text import main_text
+
+    odd = {"": "", "plain &lt; text": "plain < text", "a < b and c <3 d": "a < b and c <3 d", "<p>a<br>b<p>c": "a b\nc", "<!-- x": "", "<a href='x": "", "&am &amp &#233;&nbsp; x": "&am & é x", "<script>x</p>": "", "<p title=it's>it</p>": "it"}
+    assert {k: main_text(k)[0] for k in odd} == odd and main_text(None)[0] == ""
+    for deep in ("<div>" * 20_000 + "x", "<p><b>" * 20_000 + "x", "x" + "<" * 50_000, "<a b='" * 50_000, "<table><tr><td>" * 10_000 + "x", "<p t=\"" * 20_000):
+        assert main_text(deep)[0].strip("<") in ("x", "")
+
+
+def test_density_equals_a_recount():
+    from boxlake.llm.main_text import Page, densities
+
+    page = Page("<body><div><a>menu one</a><a>two</a></div><div><p>some words <a>linked</a> and more</p><p>tail</p></div></body>")
+    density, chars = densities(page, [True] * len(page.tags))
+    at = {t: [i for i, x in enumerate(page.tags) if x == t] for t in ("body", "div", "p")}
+    texts = {"body": (8 + 3 + 10 + 6 + 8 + 4, 7, 8 + 3 + 6, 3), "div": (10 + 6 + 8 + 4, 3, 6, 1), "p": (10 + 6 + 8, 1, 6, 1)}
+    share = 17 / 39
+    for tag, (c, t, lc, lt) in texts.items():
+        i = at[tag][-1 if tag != "p" else 0]
+        want = c / t * np.log(c / lc * t / lt) / np.log(np.log(c / (c - lc) * lc + share * c + np.e))
+        assert chars[i] == c and density[i] == pytest.approx(want)
+
+
+def test_main_text_of_pages(spark):
+    """Whole pages table: exactly the text of the article element, read by a plain pattern; odd rows stay rows."""
+    import html
+    import re
+
+    from boxlake.llm.main_text import extract
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+
+    def plain_text(h):
+        inner = h[h.index("<article>") : h.index("</article>")]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner))
+        return "\n".join(b for b in blocks if b)
+
+    got = {r.page_id: r for r in extract(pages).collect()}
+    want = {r.page_id: (r.url, plain_text(r.html)) for r in pages.collect()}
+    assert {i: (r.url, r.text) for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+    odd = spark.createDataFrame([(1, None, None, "t"), (1, "u", "", "t"), (None, "u", "<p>x" + "y" * 200_000, "t"), (2, "u", "<p>a</p>", "t"), (2, "u", "<p>a</p>", "t")], "page_id long, url string, html string, text string")
+    assert by_id((r.page_id, r.url, r.n_chars) for r in extract(odd).collect()) == by_id([(1, None, 0), (1, "u", 0), (None, "u", 200_001), (2, "u", 1), (2, "u", 1)])
+    assert extract(odd.limit(0)).count() == 0
+
+
+# 12
+
+
+def test_filter_audit(spark):
+    """Against a simulation of every order, on nulls, repeated rows and ids, several labels and clashing columns."""
+    from itertools import permutations
+
+    from boxlake.llm.filter_audit import filter_audit
+
+    rng = random.Random(12)
+    texts = [None, "", "Short Text", prose(1, 80, 900), prose(1, 80, 900) + " $", "A B C " * 30, prose(2, 70, 10), "é漢 " * 60]
+    rows = [(rng.choice([None, *range(60)]), rng.choice(texts), rng.choice([None, "", "s1", "s2"]), 1, 2, True) for _ in range(300)]
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(40)] + [(3, 1, 1), (None, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mask long, own int, good boolean")
+    out = filter_audit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    least: dict = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    failed = []
+    for i, t, s, *_ in rows:
+        t = t or ""
+        w = [x for x in t.replace("\n", " ").split(" ") if x]
+        f = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t), "D": any(c in t for c in "#$%&*|"), "E": i is not None and i > least[t]}
+        failed.append((s or "", i, {k for k, v in f.items() if v}))
+    want = {}
+    for part in {s for s, *_ in failed}:
+        mine = [(i, f) for s, i, f in failed if s == part]
+        shapley = dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = list(range(len(mine)))
+            for step, name in enumerate(order, 1):
+                gone = [j for j in left if name in mine[j][1]]
+                left = [j for j in left if name not in mine[j][1]]
+                shapley[name] += len(gone)
+                fails = sum(name in f for _, f in mine)
+                want[part, "".join(order), step] = [len(left), len(gone), fails - len(gone), sum(f == {name} for _, f in mine), sum(mine[j][0] in good for j in gone), sum(mine[j][0] in toxic for j in gone)]
+        for (p, order, step), v in want.items():
+            if p == part:
+                v.append(shapley[order[step - 1]])
+    assert {(r.part, r.filter_order, r.step): list(r)[3:] for r in out} == want and len(out) == len(want) == 600 * len({s for s, *_ in failed})
+    assert filter_audit(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_packed_counters_do_not_run_over():
+    from boxlake.llm.filter_audit import COUNTERS, packed, unpacked
+
+    most = 2**63 - 1
+    fields = unpacked(5, most * packed(5, 0b10011, True, False))
+    assert fields.shape == (120, 5, len(COUNTERS)) and set(np.unique(fields).tolist()) == {0, most}
+    assert (fields[..., 1].sum(1, dtype=object) == most).all() and (fields[..., 4] == fields[..., 1]).all() and not fields[..., 5].any()
+    mixed = unpacked(5, sum(c * packed(5, m, False, True) for m, c in ((0, 5), (31, 2**62), (1, 7))))
+    assert (mixed[:, -1, 0] == 5).all() and mixed[..., 3].max() == 7 and mixed[0, 0, 1] == 2**62 + 7
+
+
+# 13
+
+
+def test_rank_index_is_exact(monkeypatch):
+    import re
+
+    from boxlake.llm import fill_in_middle as fim
+
+    monkeypatch.setattr(fim, "_STRETCH", 7)
+    rng = random.Random(13)
+    texts = ["", " ", "a", " a ", "\x1c\x85 é漢\v🙂 ", *("".join(rng.choice("ab \n\t漢") for _ in range(rng.randrange(200))) for _ in range(50))]
+    texts += [" ".join("x" * rng.choice([1, 1, 5, 4000]) for _ in range(3000)), "x" * 9000 + " y" * 9000]
+    for text in texts:
+        want = [0, *(m.end() for m in re.finditer(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text))]
+        at = fim.boundaries(text)
+        assert at.tolist() == want
+        index = fim.RankIndex.fit(at)
+        assert [index.offset(k) for k in range(len(want))] == want
+        assert max(abs(index.predict(k) - x) for k, x in enumerate(want)) <= fim.ERROR + 1 and len(index.residuals) == len(want)
+    assert len(fim.RankIndex.fit(np.arange(0, 600_000, 6)).firsts) == 1
+
+
+def test_fill_in_middle(spark):
+    """Against a plain reading of the contract, on odd rows and texts that hold or nearly hold sentinels."""
+    import re
+
+    from boxlake.llm.fill_in_middle import digest, fill_in_middle, restored
+
+    texts = [*ODD, (8, "a <P> b"), (9, "<" * 40), *((i, prose(i, 30) + " <P<S<M" * 3) for i in range(10, 60)), *((i, ">" + " P> S>" * 9) for i in range(60, 90)), (90, prose(9, 60_000))]
+    docs = frame(spark, texts).withColumn("n", F.lit("x")).withColumn("h1", F.lit(1)).withColumn("output", F.lit(2))
+
+    def plain_form(i, t):
+        t = t or ""
+        h = [int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
+        u = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+        if not t or re.search("<[PSM]>", t) or h[2] % 100 >= 50:
+            return i, len(u), "plain", None, None, t
+        a, b = sorted((h[0] % (len(u) + 1), h[1] % (len(u) + 1)))
+        p, m, s = ("".join(x) for x in (u[:a], u[a:b], u[b:]))
+        return (i, len(u), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 80 else (i, len(u), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+    want = [plain_form(i, t) for i, t in texts]
+    got = fill_in_middle(docs)
+    assert by_id(got.drop("n_segments").collect()) == by_id(want) and {w[2] for w in want} == {"plain", "spm", "psm"}
+    assert by_id(got.select("doc_id", restored(F.col("output"), F.col("form"))).collect()) == by_id((i, t or "") for i, t in texts)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert by_id(digest(got).collect()) == by_id((*w[:5], sha(w[5]), sha(t or "")) for w, (_, t) in zip(want, texts))
+    assert fill_in_middle(docs.limit(0)).count() == 0
