@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,41 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, at):
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return _file_system(spark, at).exists(at)
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder holds files or partitions; names in _ and . are not data."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = _file_system(spark, at)
+    return fs.exists(at) and any(f.getPath().getName()[0] not in "_." for f in fs.listStatus(at))
+
+
+def remove(spark: SparkSession, path: str, is_uri: bool = False) -> None:
+    """Delete a folder, given as a path or, as in file metadata, as an escaped URI."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if is_uri else path)
+    _file_system(spark, at).delete(at, True)
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written to a fresh shared folder and read back, which cuts its lineage; the folder goes when the block ends."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
 def read_raw(spark: SparkSession, root: str, endpoint: str, dataset: str, schema: T.StructType) -> DataFrame:
     """Every cached payload of one data set of an endpoint, as one table.
 
@@ -88,6 +125,6 @@ def write_splits(df: DataFrame, path: str) -> None:
     write_interim(df, path, "split")
 
 
-def upsert_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` and those of ``old`` that have no successor."""
-    return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> Column:
+    """Join condition under which null keys equal one another; ``names`` are the keys' names on the right."""
+    return reduce(Column.__and__, [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names or keys)])
