@@ -14,13 +14,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], date: str, c
     """Left rows with the newest right row of an earlier date (or the same one, if not strict).
 
     One exchange on ``by``: both sides are stacked and a range frame looks back.
+    Rows without a date match nothing.
     """
-    value = F.struct(epoch_day(date).alias("_d"), *tiebreak, *cols)
+    right = right.where(F.col(date).isNotNull())
+    value = F.struct(epoch_day(date).alias("_d"), *dict.fromkeys((*tiebreak, *cols)))
     rest = [c for c in left.columns if c not in (*by, date)]
     a = left.select(*by, date, F.struct(*rest).alias("_left"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_right"))
     b = right.select(*by, date, F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), value.alias("_right"))
     before = Window.partitionBy(*by).orderBy(epoch_day(date)).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
-    both = a.unionByName(b).withColumn("_found", F.max("_right").over(before)).where(F.col("_left").isNotNull())
+    both = a.unionByName(b).withColumn("_found", F.when(F.col(date).isNotNull(), F.max("_right").over(before))).where(F.col("_left").isNotNull())
     return both.select(*by, date, *[F.col(f"_left.{c}").alias(c) for c in rest], *[F.col(f"_found.{c}").alias(f"asof_{c}") for c in cols])
 
 

@@ -1,7 +1,8 @@
 """Features of the past: only rows of strictly earlier dates count.
 
 Windows count games played, not days. Two rows of one date never see each
-other, and rows that were not played get features but give none.
+other, and rows that were not played get features but give none. A row
+without a date has no past and is nobody's past.
 """
 
 from __future__ import annotations
@@ -16,11 +17,16 @@ from ..functions.scalar import clipped, epoch_day
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
+def counts(date: str, played: Column | None) -> Column:
+    """Whether a row is part of the past of later ones."""
+    return F.col(date).isNotNull() & (F.lit(True) if played is None else F.coalesce(played, F.lit(False)))
+
+
 def trailing_sums(df: DataFrame, entity: Sequence[str], date: str, tiebreak: Sequence[str], sums: Mapping[str, Column], windows: Sequence[int], played: Column | None = None) -> DataFrame:
     """Adds ``_state``: for played rows the sums over the last N played rows, this one included."""
     df = df.repartition(*entity)  # both windows below then share one exchange
     values = {f"_v_{k}": c for k, c in sums.items()}
-    df = df.withColumns({"_played": F.lit(True) if played is None else F.coalesce(played, F.lit(False)), "_day": epoch_day(date), **values})
+    df = df.withColumns({"_played": counts(date, played), "_day": epoch_day(date), **values})
     own = Window.partitionBy(*entity, "_played").orderBy(date, *tiebreak)
     fields = [F.col("_day"), *map(F.col, tiebreak), F.col(date).alias("_date")]
     for n in windows:
@@ -41,7 +47,7 @@ def prior_rolling(df: DataFrame, entity: Sequence[str], date: str, tiebreak: Seq
     entity = [*entity, *reset_by]
     marked = trailing_sums(df, entity, date, tiebreak, sums, windows, played)
     before = Window.partitionBy(*entity).orderBy("_day").rangeBetween(*_BEFORE)
-    prior = marked.withColumn("_prior", F.max("_state").over(before))
+    prior = marked.withColumn("_prior", F.when(F.col("_day").isNotNull(), F.max("_state").over(before)))
     names = [f"n_{n}" for n in windows] + [f"{k}_sum_{n}" for n in windows for k in sums]
     out = {name: F.coalesce(f"_prior.{name}", F.lit(0)) if name.startswith("n_") else F.col(f"_prior.{name}") for name in names}
     if keep_date:
@@ -62,8 +68,9 @@ def rates(names: Sequence[str], per: str, windows: Sequence[int], prefix: str =
 def season_to_date(df: DataFrame, entity: Sequence[str], season: str, date: str, stats: Sequence[str], played: Column | None = None) -> DataFrame:
     """Adds ``std_n`` and ``std_<stat>``, sums over earlier played games of the season."""
     before = Window.partitionBy(*entity, season).orderBy(epoch_day(date)).rangeBetween(*_BEFORE)
-    on = F.lit(True) if played is None else F.coalesce(played, F.lit(False))
-    return df.withColumns({"std_n": F.count_if(on).over(before), **{f"std_{s}": F.sum(F.when(on, F.col(s))).over(before) for s in stats}})
+    on, dated = counts(date, played), F.col(date).isNotNull()
+    sums = {f"std_{s}": F.when(dated, F.sum(F.when(on, F.col(s))).over(before)) for s in stats}
+    return df.withColumns({"std_n": F.when(dated, F.count_if(on).over(before)).otherwise(F.lit(0)), **sums})
 
 
 def days_since_last(df: DataFrame, entity: Sequence[str], date: str, cap: int | None = 30, played: Column | None = None, name: str = "days_since_last") -> DataFrame:
@@ -79,8 +86,8 @@ def season_role(minutes: Column, starter: float = 24.0, rotation: float = 10.0)
 
 
 def leaks_of(df: DataFrame, date: str, last: str = "last_contributing") -> DataFrame:
-    """Rows to which a date not strictly earlier contributed."""
-    return df.where(F.col(last) >= F.col(date))
+    """Rows to which a date not strictly earlier contributed; to a row without a date none is."""
+    return df.where((F.col(last) >= F.col(date)) | (F.col(date).isNull() & F.col(last).isNotNull()))
 
 
 def assert_no_future(df: DataFrame, date: str, last: str = "last_contributing") -> None:
