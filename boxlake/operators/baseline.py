@@ -18,11 +18,22 @@ def season_average_baseline(df: DataFrame, stat: str, played: Column, train: Col
     std = std.withColumn("_own", F.try_divide(F.col(f"std_{stat}").cast("double"), F.col("std_n"))).drop("std_n", f"std_{stat}")
     last = df.where(played).groupBy("player_id", (F.col("season") + 1).alias("season")).agg((F.sum(stat) / F.count("*")).alias("_last"))
     position = df.where(played & train).groupBy("position").agg((F.sum(stat) / F.count("*")).alias("_pos"))
-    out = std.join(last, ["player_id", "season"], "left").join(position, "position", "left")
+    out = std.join(last, ["player_id", "season"], "left").join(F.broadcast(position), "position", "left")  # one row for each position
     tier = F.when(F.col("_own").isNotNull(), 1).when(F.col("_last").isNotNull(), 2).when(F.col("_pos").isNotNull(), 3)
     return out.withColumns({"pred": F.coalesce("_own", "_last", "_pos"), "tier": tier}).drop("_own", "_last", "_pos")
 
 
+def season_average_predictions(df: DataFrame, stats: Sequence[str], played: Column, train: Column) -> DataFrame:
+    """``pred_<stat>`` of :func:`season_average_baseline` for several stats, with one pass of each step for all of them."""
+    std = season_to_date(df, ["player_id"], "season", "game_date", stats, played)
+    mean = lambda prefix: [(F.sum(s) / F.count("*")).alias(f"{prefix}{s}") for s in stats]
+    last = df.where(played).groupBy("player_id", (F.col("season") + 1).alias("season")).agg(*mean("_last_"))
+    position = df.where(played & train).groupBy("position").agg(*mean("_pos_"))
+    out = std.join(last, ["player_id", "season"], "left").join(F.broadcast(position), "position", "left")
+    preds = {f"pred_{s}": F.coalesce(F.try_divide(F.col(f"std_{s}").cast("double"), F.col("std_n")), f"_last_{s}", f"_pos_{s}") for s in stats}
+    return out.withColumns(preds).select(*df.columns, *preds)
+
+
 def _features(df: DataFrame, features: Sequence[str], invalid: str = "skip") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
@@ -48,10 +59,13 @@ def fit_poisson(train: DataFrame, stat: str, features: Sequence[str], reg: float
 
 
 def fit_rate(train: DataFrame, made: str, attempted: str, features: Sequence[str], kind: str = "binomial"):
-    """Percentage model: binomial weighted by attempts, or ridge."""
+    """Percentage model: binomial weighted by attempts, or ridge. Rows without attempts, or with unknown ones, teach nothing.
+
+    :func:`beta.fit_beta` fits a Beta regression.
+    """
     from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 
-    rows = train.where(F.col(attempted) > 0).withColumns({"_rate": F.least(F.col(made) / F.col(attempted), F.lit(1.0)), "_w": F.col(attempted).cast("double")})
+    rows = train.where((F.col(attempted) > 0) & F.col(made).isNotNull()).withColumns({"_rate": F.least(F.col(made) / F.col(attempted), F.lit(1.0)), "_w": F.col(attempted).cast("double")})
     if kind == "ridge":
         model = LinearRegression(labelCol="_rate", weightCol="_w", predictionCol="pred", regParam=0.1, elasticNetParam=0.0)
     else:
@@ -110,10 +124,17 @@ def role_means(vectors: DataFrame, role: str, vector: str) -> DataFrame:
     return flat.groupBy(role).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_a")).select(role, F.transform("_a", lambda s: s["_m"]).alias("role_vector"))
 
 
+#: Role means are broadcast up to this many roles.
+MOST_ROLES = 10_000
+
+
 def cold_start_fill(wanted: DataFrame, vectors: DataFrame, key: str, role: str, vector: str, default_role: int | str) -> DataFrame:
     """Own vector, else the role's mean, else the default role's mean; with ``tier``."""
     own = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("own_vector"))
     means = role_means(vectors, role, vector)
+    found = means.limit(MOST_ROLES + 1).collect()
+    if len(found) <= MOST_ROLES:
+        means = F.broadcast(means.sparkSession.createDataFrame(found, means.schema))
     fallback = means.where(F.col(role) == F.lit(default_role)).select(F.lit(1).alias("_one"), F.col("role_vector").alias("default_vector"))
     return tiered(wanted.withColumn("_one", F.lit(1)), [(own, [key], "own_vector"), (means, [role], "role_vector"), (fallback, ["_one"], "default_vector")], "vector").drop("_one")
 

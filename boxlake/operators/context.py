@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clipped, epoch_day, great_circle_miles
+from ..sources.raw import work_dir
 
 
 def team_games(games: DataFrame, home: str = "home_team", away: str = "away_team") -> DataFrame:
@@ -17,11 +19,11 @@ def team_games(games: DataFrame, home: str = "home_team", away: str = "away_team
 
 
 def schedule_load(df: DataFrame, entity: Sequence[str] = ("team_id",), date: str = "game_date") -> DataFrame:
-    """rest_days (0 to 5), b2b, three_in_four, four_in_six; the last two count the target date, known from the schedule."""
+    """rest_days (0 to 5), b2b, three_in_four, four_in_six; the last two count the target date, known from the schedule. Without a date: null, 0, 0, 0."""
     day = epoch_day(date)
     by = Window.partitionBy(*entity).orderBy(day)
     gap = day - F.max(day).over(by.rangeBetween(Window.unboundedPreceding, -1))
-    last = lambda n: F.count(F.lit(1)).over(by.rangeBetween(-(n - 1), 0))
+    last = lambda n: F.count(day).over(by.rangeBetween(-(n - 1), 0))
     return df.withColumns({"rest_days": clipped(gap, 0, 5), "b2b": F.coalesce((gap == 1).cast("int"), F.lit(0)), "three_in_four": (last(4) >= 3).cast("int"), "four_in_six": (last(6) >= 4).cast("int")})
 
 
@@ -45,11 +47,11 @@ def with_arena(df: DataFrame, arenas: DataFrame, key: str = "home_team") -> Data
 
 
 def travel_miles(df: DataFrame, entity: Sequence[str] = ("team_id",), date: str = "game_date", tiebreak: str = "game_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Great-circle miles from the arena of the last game of an earlier date."""
+    """Great-circle miles from the arena of the last game of an earlier date; games without a date neither have nor are one."""
     day = epoch_day(date)
     before = Window.partitionBy(*entity).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-    prev = F.max(F.struct(day, F.col(tiebreak), F.col(lat).alias("lat"), F.col(lon).alias("lon"))).over(before)
-    out = df.withColumn("_prev", prev)
+    prev = F.max(F.when(day.isNotNull(), F.struct(day, F.col(tiebreak), F.col(lat).alias("lat"), F.col(lon).alias("lon")))).over(before)
+    out = df.withColumn("_prev", F.when(day.isNotNull(), prev))
     return out.withColumn("travel_miles_prev", great_circle_miles(F.col("_prev.lat"), F.col("_prev.lon"), F.col(lat), F.col(lon))).drop("_prev")
 
 
@@ -63,9 +65,28 @@ def biography(df: DataFrame, info: DataFrame, date: str = "game_date", season: s
 def dense_entity_id(train: DataFrame, key: str, min_games: int = 10) -> DataFrame:
     """(key, dense_id): 1, 2, ... for entities with enough rows, 0 for the rest; from training rows only.
 
-    The numbering is global, over one row for each entity.
+    The numbering is global, over one row for each entity; :func:`dense_entity_id_ranged` splits it.
     """
     counts = train.groupBy(key).agg(F.count("*").alias("_n"))
     enough = F.col("_n") >= min_games
     place = F.row_number().over(Window.partitionBy(enough).orderBy(key))
     return counts.select(key, F.when(enough, place).otherwise(0).alias("dense_id"))
+
+
+def dense_entity_id_ranged(train: DataFrame, key: str, min_games: int = 10, ranges: int | None = None) -> DataFrame:
+    """:func:`dense_entity_id` for any number of entities: numbered inside ranges of the key, plus the sizes of the ranges before.
+
+    The ranges are written to the shared folder, since cutting them again
+    might cut elsewhere; one number for each range reaches the driver. The
+    folder belongs to whoever owns the shared one.
+    """
+    spark = train.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = train.groupBy(key).agg((F.count("*") >= min_games).alias("_enough"))
+    at = work_dir(spark, "ranges")
+    counts.repartitionByRange(ranges, F.desc("_enough"), key).withColumn("_range", F.spark_partition_id()).write.parquet(at)
+    cut = spark.read.schema(counts.withColumn("_range", F.lit(0)).schema).parquet(at)
+    sizes = {r["_range"]: r["n"] for r in cut.where("_enough").groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    starts = list(accumulate((sizes.get(i, 0) for i in range(ranges - 1)), initial=0))
+    place = F.row_number().over(Window.partitionBy("_range", "_enough").orderBy(key)) + F.element_at(F.array(*map(F.lit, starts)), F.col("_range") + 1)
+    return cut.select(key, F.when(F.col("_enough"), place).otherwise(0).cast("long").alias("dense_id"))

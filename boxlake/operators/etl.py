@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import five_positions, parse_mmss, season_from_id
@@ -16,7 +16,7 @@ def build_games(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     home = F.contains(F.coalesce("MATCHUP", F.lit("")), F.lit("vs."))
     side = F.struct("SEASON_ID", "TEAM_ID", "TEAM_ABBREVIATION", "GAME_DATE", "PTS", "MIN")
     rank = F.struct(home.cast("int"), "TEAM_ID")
-    pairs = raw.groupBy("GAME_ID").agg(F.count("*").alias("n"), F.count_if(home).alias("n_home"), F.max_by(side, rank).alias("h"), F.min_by(side, rank).alias("a"))
+    pairs = raw.groupBy("GAME_ID").agg(F.count("*").alias("n"), F.min("GAME_DATE").alias("first_date"), F.count_if(home).alias("n_home"), F.max_by(side, rank).alias("h"), F.min_by(side, rank).alias("a"))
     reason = F.when(F.col("GAME_ID").isNull(), "missing_game_id").when(F.col("n") != 2, "row_count").when(F.col("n_home") != 1, "ambiguous_home")
     pairs = pairs.withColumn("reason", reason)
     games = pairs.where(F.col("reason").isNull()).select(
@@ -25,7 +25,7 @@ def build_games(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("h.PTS", F.lit(0)).cast("int").alias("home_pts"), F.coalesce("a.PTS", F.lit(0)).cast("int").alias("away_pts"),
         (F.coalesce("h.MIN", F.lit(0)) > 240).alias("is_overtime"), F.startswith("h.SEASON_ID", F.lit("4")).alias("is_playoffs"),
         F.lit(False).alias("dropped"), F.lit(None).cast("string").alias("dropped_reason"))
-    return games, pairs.where(F.col("reason").isNotNull()).select("GAME_ID", "n", "n_home", "reason")
+    return games, pairs.where(F.col("reason").isNotNull()).select("GAME_ID", "n", "n_home", "first_date", "reason")
 
 
 def _counts() -> list[Column]:
@@ -118,6 +118,40 @@ def qa_report(rows: DataFrame, season: str = "season", reason: str = "reason") -
     return rows.groupBy(season, reason).agg(F.count("*").alias("n"))
 
 
+def write_with_report(rows: DataFrame, path: str, seasons: Sequence[int], reasons: Sequence[str], season: str = "season", reason: str = "reason") -> DataFrame:
+    """Write a partitioned table and return :func:`qa_report` of it, counted on the way in the same pass.
+
+    Counts are observed by the tasks that write, so a task that runs twice
+    counts once. Seasons and reasons outside the lists are counted together,
+    as one row without season and reason.
+    """
+    spark, seen = rows.sparkSession, Observation("qa")
+    cells = [(s, r) for s in seasons for r in reasons]
+    counts = [F.count_if((F.col(season) == s) & (F.col(reason) == r)).alias(f"n{i}") for i, (s, r) in enumerate(cells)]
+    # Rows meet by partition before they are observed, so that no shuffle, whose tasks may run again, comes after.
+    rows.hint("rebalance", season).observe(seen, F.count(F.lit(1)).alias("all"), *counts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(season).parquet(path)
+    found = seen.get
+    report = [(s, r, found[f"n{i}"]) for i, (s, r) in enumerate(cells) if found[f"n{i}"]]
+    rest = found["all"] - sum(n for *_, n in report)
+    return spark.createDataFrame([*report, *([(None, None, rest)] if rest else [])], "season int, reason string, n long")
+
+
+def resolve_ids(rows: DataFrame, id_map: DataFrame, foreign: str, own: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a second source under our ids; (resolved with ``own``, quarantined with a reason).
+
+    The map may be many-to-many and repeat pairs. Reasons: ``missing_id``, ``unmatched``,
+    ``ambiguous`` (several of our ids), ``shared`` (its only id of ours is also another's only one, so rows could not be told apart).
+    """
+    pairs = id_map.select(F.col(foreign).alias("_f"), F.col(own).alias("_o")).dropna().distinct()
+    by_foreign = pairs.groupBy("_f").agg(F.count("*").alias("_n"), F.min("_o").alias("_o"))
+    claims = by_foreign.where("_n = 1").groupBy("_o").agg(F.count("*").alias("_claims"))
+    known = by_foreign.join(claims, "_o", "left").select("_f", "_n", "_o", "_claims")
+    out = rows.join(known, rows[foreign] == known["_f"], "left")
+    reason = F.when(F.col(foreign).isNull(), "missing_id").when(F.col("_n").isNull(), "unmatched").when(F.col("_n") > 1, "ambiguous").when(F.col("_claims") > 1, "shared")
+    out = out.withColumn("reason", reason)
+    return out.where(F.col("reason").isNull()).select(*rows.columns, F.col("_o").alias(own)), out.where(F.col("reason").isNotNull()).select(*rows.columns, "reason")
+
+
 def cell_disagreement(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], tol: float = 0.0) -> DataFrame:
     """By column: compared cells, mismatches and their share; a row that one side lacks mismatches in every cell."""
     a = left.select(*keys, F.lit(True).alias("_l"), *[F.col(c).cast("double").alias(f"l_{c}") for c in cols])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sketches import KLL_K, quantile_sketches, quantiles
+
 
 def paired(actual: DataFrame, predicted: DataFrame, keys: Sequence[str], stats: Sequence[str]) -> DataFrame:
     """Long rows (keys, stat, y, p) of cells that both sides have."""
@@ -15,6 +17,12 @@ def paired(actual: DataFrame, predicted: DataFrame, keys: Sequence[str], stats:
     return actual.join(p, list(keys)).select(*keys, F.inline(cells)).where(F.col("y").isNotNull() & F.col("p").isNotNull())
 
 
+def cells_of(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The rows of :func:`paired` where outcome and prediction stand in one row; ``pairs`` maps a stat to both columns."""
+    cells = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")) for s, (y, p) in pairs.items()])
+    return df.select(*keys, F.inline(cells)).where(F.col("y").isNotNull() & F.col("p").isNotNull())
+
+
 def per_stat_error(cells: DataFrame) -> DataFrame:
     d = F.col("y") - F.col("p")
     return cells.groupBy("stat").agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count("*").alias("n"))
@@ -26,21 +34,22 @@ def interval_coverage(df: DataFrame, y: str, low: str, high: str, target: float
     return df.agg(inside.alias("coverage"), F.count(y).alias("n")).withColumn("met", F.col("coverage") >= target)
 
 
-def reliability_bins(cells: DataFrame, n: int = 10, kind: str = "width", exact: bool = True) -> DataFrame:
+def reliability_bins(cells: DataFrame, n: int = 10, kind: str = "width", exact: bool = False) -> DataFrame:
     """By stat and bin of the prediction: mean prediction and mean outcome. One row for each stat is joined.
 
     Bins have equal width or, with ``kind="quantile"``, are cut at the
-    prediction's quantiles; ``exact=False`` estimates these in bounded state.
+    prediction's quantiles, which a sketch estimates in bounded state unless
+    ``exact`` (then one task keeps all values of a stat).
     """
     if kind == "quantile":
         at = [i / n for i in range(1, n)]
-        edges = (F.percentile("p", at) if exact else F.percentile_approx("p", at, 10_000)).alias("edges")
+        edges = cells.groupBy("stat").agg(F.percentile("p", at).alias("edges")) if exact else quantile_sketches(cells, ["stat"], ["p"]).select("stat", quantiles("p", at).alias("edges"))
         place = (F.size(F.filter("edges", lambda e: e < F.col("p"))) + 1).cast("int")
-        return cells.join(cells.groupBy("stat").agg(edges), "stat").groupBy("stat", place.alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
+        return cells.join(F.broadcast(edges), "stat").groupBy("stat", place.alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
     span = cells.groupBy("stat").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     width = F.col("hi") - F.col("lo")
     at = F.when(width > 0, F.least(F.floor((F.col("p") - F.col("lo")) * n / width) + 1, F.lit(n))).otherwise(F.lit(1)).cast("int")
-    return cells.join(span, "stat").groupBy("stat", at.alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
+    return cells.join(F.broadcast(span), "stat").groupBy("stat", at.alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
 
 
 def compare_models(errors: DataFrame, model: str, baseline: str, strong: Sequence[str] = ("pts", "reb", "ast"), strong_target: float = 0.15, target: float = 0.05) -> DataFrame:
@@ -52,8 +61,11 @@ def compare_models(errors: DataFrame, model: str, baseline: str, strong: Sequenc
 
 
 def summarize_samples(samples: DataFrame, keys: Sequence[str], stats: Sequence[str], exact: bool = True) -> DataFrame:
-    """Mean, 10th and 90th percentile of each stat; ``exact=False`` keeps bounded state for each key."""
-    pct = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10_000)
+    """Mean, 10th and 90th percentile of each stat; ``exact=False`` keeps a sketch of bounded size for each key."""
+    if not exact:
+        found = samples.groupBy(*keys).agg(*[x for s in stats for x in (F.avg(s).alias(f"{s}_mean"), F.kll_sketch_agg_double(F.col(s).cast("double"), KLL_K).alias(s))])
+        return found.select(*keys, *[x for s in stats for x in (F.col(f"{s}_mean"), quantiles(s, 0.1).alias(f"{s}_p10"), quantiles(s, 0.9).alias(f"{s}_p90"))])
+    pct = F.percentile
     return samples.groupBy(*keys).agg(*[f(s).alias(f"{s}_{n}") for s in stats for n, f in (("mean", F.avg), ("p10", lambda c: pct(c, 0.1)), ("p90", lambda c: pct(c, 0.9)))])
 
 
