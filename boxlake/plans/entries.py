@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import scalar
-from ..operators import baseline, checks, context, etl, joins, matchup, metrics, reshape, rolling
+from ..operators import baseline, beta, blocks, checks, context, etl, joins, matchup, metrics, reshape, rolling, sketches
 from ..sources import raw
 from .bridge import ORACLE_WITH, view
 
@@ -236,14 +237,24 @@ def etl15_active_roster(spark, sf_dir):
     return etl.active_roster(etl.player_box_from_raw(raw.conform(view(spark, sf_dir, "raw_player"), schemas.RAW_PLAYER_BOX))).select("game_id", "player_id")
 
 
-@query("""select cast(substr(GAME_DATE, 1, 4) as int) as season, reason, cast(count(*) as bigint) as n from (
+def _rejected(spark, sf_dir) -> DataFrame:
+    return etl.build_games(view(spark, sf_dir, "raw_game"))[1].withColumn("season", F.left("first_date", F.lit(4)).cast("int"))
+
+
+_QA = """select cast(substr(GAME_DATE, 1, 4) as int) as season, reason, cast(count(*) as bigint) as n from (
     select min(GAME_DATE) as GAME_DATE, case when count(*) <> 2 then 'row_count' else 'ambiguous_home' end as reason from raw_game group by GAME_ID
-    having count(*) <> 2 or count(*) filter (where contains(MATCHUP, 'vs.')) <> 1) group by 1, 2""")
+    having count(*) <> 2 or count(*) filter (where contains(MATCHUP, 'vs.')) <> 1) group by 1, 2"""
+
+
+@query(_QA)
 def etl16_qa_report(spark, sf_dir):
-    rows = view(spark, sf_dir, "raw_game")
-    _, rejected = etl.build_games(rows)
-    dates = rows.groupBy("GAME_ID").agg(F.left(F.min("GAME_DATE"), F.lit(4)).cast("int").alias("season"))
-    return etl.qa_report(rejected.join(dates, "GAME_ID"))
+    return etl.qa_report(_rejected(spark, sf_dir))
+
+
+@query(_QA)
+def etl16_observed_report(spark, sf_dir):
+    """Counted while the rejected games are written."""
+    return etl.write_with_report(_rejected(spark, sf_dir), raw.work_dir(spark, "rejected"), range(1990, 2005), ["row_count", "ambiguous_home", "missing_game_id"])
 
 
 @query("""select s as stat, cast(count(*) as bigint) as cells, cast(sum(bad) as bigint) as mismatches, round(avg(bad), 6) as rate from (
@@ -262,6 +273,34 @@ def etl18_fill_gaps(spark, sf_dir):
     return etl.fill_gaps(first, second, ["game_id", "player_id"], ["ast"])
 
 
+_MAP = """m as (select distinct 'b' || cast(s_suppkey % 60 as varchar) as ref_id, s_suppkey as player_id from supplier where s_suppkey % 60 >= 20 union select 'b' || cast(c_custkey + 200 as varchar), c_custkey % 90 from customer where c_custkey <= 120),
+  f as (select ref_id, count(*) as k, min(player_id) as o from m group by 1), cl as (select o, count(*) as c from f where k = 1 group by 1),
+  s as (select game_id, case when game_id % 11 = 0 then null else 'b' || cast(player_id as varchar) end as ref_id, ast + 1 as ast from pbox where game_id % 4 = 0),
+  r as (select s.*, f.o as player_id, case when s.ref_id is null then 'missing_id' when k is null then 'unmatched' when k > 1 then 'ambiguous' when c > 1 then 'shared' end as reason from s left join f on s.ref_id = f.ref_id left join cl on f.o = cl.o)"""
+
+
+def _second_source(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Lines of a second source that names players by ids of its own, and the map of these, which repeats, lacks and doubles some."""
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").where("c_custkey <= 120")
+    ids = s.where("s_suppkey % 60 >= 20").selectExpr("concat('b', cast(s_suppkey % 60 as string)) as ref_id", "s_suppkey as player_id").unionAll(c.selectExpr("concat('b', cast(c_custkey + 200 as string)) as ref_id", "c_custkey % 90 as player_id"))
+    lines = view(spark, sf_dir, "pbox").where("game_id % 4 = 0").selectExpr("game_id", "case when game_id % 11 <> 0 then concat('b', cast(player_id as string)) end as ref_id", "ast + 1 as ast")
+    return lines, ids.unionAll(ids)
+
+
+@query(f"with {_MAP} select game_id, ref_id, ast, reason from r where reason is not null")
+def etl18_unresolved(spark, sf_dir):
+    return etl.resolve_ids(*_second_source(spark, sf_dir), "ref_id", "player_id")[1].select("game_id", "ref_id", "ast", "reason")
+
+
+@query(f"with {_MAP}, a as (select game_id, player_id, case when game_id % 3 <> 0 then ast end as ast from pbox where game_id % 5 <> 0), b as (select game_id, player_id, ast from r where reason is null) "
+       "select coalesce(a.game_id, b.game_id) as game_id, coalesce(a.player_id, b.player_id) as player_id, coalesce(a.ast, b.ast) as ast from a full join b on a.game_id = b.game_id and a.player_id = b.player_id")
+def etl18_fill_gaps_by_map(spark, sf_dir):
+    """Gaps filled from a second source under its own ids."""
+    first = view(spark, sf_dir, "pbox").where("game_id % 5 <> 0").select("game_id", "player_id", F.when(F.col("game_id") % 3 != 0, F.col("ast")).alias("ast"))
+    resolved, _ = etl.resolve_ids(*_second_source(spark, sf_dir), "ref_id", "player_id")
+    return etl.fill_gaps(first, resolved.select("game_id", "player_id", "ast"), ["game_id", "player_id"], ["ast"])
+
+
 # --- constraint checks
 
 _BOX_COUNTS = [c for c in schemas.COUNTS if c != "pts"]
@@ -396,6 +435,41 @@ def rol0_reset_by_season(spark, sf_dir):
     return out.select("game_id", "player_id", "n_5", "min_sum_5")
 
 
+_LONG = "(select *, case when player_id % 10 <> 0 then -1 else player_id end as e, game_id * 1000 + player_id as line from pbox)"
+#: Rows of a block in the queries on long histories; one entity there has 90 % of all rows.
+_BLOCK = 5_000
+
+
+def _long(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "pbox").selectExpr("*", "case when player_id % 10 <> 0 then -1 else player_id end as e", "game_id * 1000 + player_id as line")
+
+
+@query(_last("e", _LONG, {"min": "secs", "pts": "2 * fgm + tpm + ftm"}, _N, "secs > 0").replace("game_id as gi", "line as gi").replace("order by game_date, game_id)", "order by game_date, line)") + " select game_id, player_id, last_contributing, n_5, n_10, n_20, min_sum_5, min_sum_10, min_sum_20, pts_sum_5, pts_sum_10, pts_sum_20 from res")
+def rol0_long_history(spark, sf_dir):
+    """One entity holds nine of ten rows; its history is cut into blocks."""
+    out = blocks.prior_rolling_blocked(_long(spark, sf_dir), ["e"], "game_date", ["line"], {"min": F.col("secs"), "pts": points()}, _N, played(), keep_date=True, rows=_BLOCK)
+    return out.select("game_id", "player_id", "last_contributing", *[f"n_{n}" for n in _N], *[f"{k}_sum_{n}" for k in ("min", "pts") for n in _N])
+
+
+@query(f"""with d as (select e, season, game_date, count(*) as n, sum(2 * fgm + tpm + ftm) as p from {_LONG} where secs > 0 group by 1, 2, 3),
+  c as (select e, season, game_date, sum(n) over w as n, sum(p) over w as p from d window w as (partition by e, season order by game_date))
+  select q.game_id, q.player_id, cast(coalesce(c.n, 0) as bigint) as std_n, cast(c.p as bigint) as std_pts from {_LONG} q asof left join c on q.e = c.e and q.season = c.season and q.game_date > c.game_date""")
+def rol7_long_history(spark, sf_dir):
+    rows = _long(spark, sf_dir).withColumn("pts", points())
+    return blocks.season_to_date_blocked(rows, ["e"], "season", "game_date", ["pts"], played(), rows=_BLOCK // 5).select("game_id", "player_id", "std_n", "std_pts")
+
+
+def _undated(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "pbox").withColumn("game_date", F.when(F.col("game_id") % 6 != 0, F.col("game_date")))
+
+
+@query(_last("player_id", "(select * replace (case when game_id % 6 <> 0 then game_date end as game_date) from pbox)", {"min": "secs"}, (5,), "secs > 0 and game_date is not null") + " select game_id, player_id, n_5, min_sum_5 from res")
+def rol0_undated_rows(spark, sf_dir):
+    """Every sixth game has no date: its rows have no past and are nobody's past."""
+    out = rolling.prior_rolling(_undated(spark, sf_dir), ["player_id"], "game_date", ["game_id"], {"min": F.col("secs")}, (5,), played())
+    return out.select("game_id", "player_id", "n_5", "min_sum_5")
+
+
 _USAGE = """us as (select *, sum(secs) over w as ts, sum(100 * fga + 44 * fta + 100 * tov) over w as tp from pbox window w as (partition by game_id, team_id)),
   up as (select * exclude (ts, tp), case when 5 * secs * tp > 0 then cast(((100 * fga + 44 * fta + 100 * tov) * ts * 1000000) // (5 * secs * tp) as bigint) end as usage_ppm from us)"""
 
@@ -628,6 +702,13 @@ def ctx11_dense_ids(spark, sf_dir):
     return context.dense_entity_id(view(spark, sf_dir, "pbox").where(train()), "player_id", 100)
 
 
+@query("""with c as (select game_id, count(*) as n from pbox group by 1)
+  select game_id, cast(case when n >= 4 then row_number() over (partition by n >= 4 order by game_id) else 0 end as bigint) as dense_id from c""")
+def ctx11_dense_ids_ranged(spark, sf_dir):
+    """Of games rather than players, which are many."""
+    return context.dense_entity_id_ranged(view(spark, sf_dir, "pbox"), "game_id", 4, ranges=7)
+
+
 @query("select game_id, player_id, coalesce(s_suppkey % 3 = 0, false) as two_way from pbox left join supplier on player_id = s_suppkey")
 def ctx12_two_way(spark, sf_dir):
     flags = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), (F.col("s_suppkey") % 3 == 0).alias("two_way"))
@@ -697,6 +778,16 @@ def jn6_asof(spark, sf_dir):
     return joins.asof_join(p.select("player_id", "game_date", "game_id"), right, ["player_id"], "game_date", ["team_id"], ["game_id"]).select("game_id", "player_id", "asof_team_id")
 
 
+@query(f"""with l as (select e, game_date, line, team_id from {_LONG} where secs > 0 and game_id % 3 = 0 qualify row_number() over (partition by e, game_date order by line desc) = 1)
+  select q.game_id, q.player_id, l.line as asof_line, l.team_id as asof_team_id from {_LONG} q asof left join l on q.e = l.e and q.game_date >= l.game_date""")
+def jn6_hot_key(spark, sf_dir):
+    """One key holds nine of ten rows; its time is cut into blocks."""
+    p = _long(spark, sf_dir)
+    right = p.where(played() & (F.col("game_id") % 3 == 0)).select("e", "game_date", "line", "team_id")
+    left = p.select("e", "game_date", "game_id", "player_id")
+    return blocks.asof_join_blocked(left, right, ["e"], "game_date", ["line", "team_id"], ["line"], strict=False, rows=_BLOCK).select("game_id", "player_id", "asof_line", "asof_team_id")
+
+
 @query("select distinct player_id, player_id in (select player_id from pbox where season = 1995) as seen from pbox where season = 2000")
 def jn7_unseen(spark, sf_dir):
     p = view(spark, sf_dir, "pbox")
@@ -754,6 +845,20 @@ def agg5_distinct(spark, sf_dir):
     return view(spark, sf_dir, "pbox").groupBy("season").agg(F.countDistinct("player_id").alias("players"), F.countDistinct("game_id").alias("games"))
 
 
+@query("""select 'players' as what, cast(count(distinct player_id) as bigint) as exact, true as close from pbox where season >= 1995 union all select 'games', count(distinct game_id), true from pbox where season >= 1995""")
+def agg5_sketched(spark, sf_dir):
+    """Distinct counts over seasons from one stored sketch a season, beside the exact ones."""
+    p = view(spark, sf_dir, "pbox").select("season", "player_id", "game_id")
+    path = raw.work_dir(spark, "sketches")
+    sketches.distinct_sketches(p, ["season"], ["player_id", "game_id"]).write.parquet(path)
+    united = sketches.merge_distinct(spark.read.parquet(path).where("season >= 1995"), [], ["player_id", "game_id"])
+    exact = p.where("season >= 1995").agg(F.countDistinct("player_id").alias("_p"), F.countDistinct("game_id").alias("_g"))
+    both = sketches.distinct_estimates(united, ["player_id", "game_id"]).crossJoin(F.broadcast(exact))  # one row each
+    close = lambda c, x: F.abs(F.col(c) - F.col(x)) <= sketches.distinct_error() * F.col(x)
+    rows = [F.struct(F.lit(n).alias("what"), F.col(x).alias("exact"), close(c, x).alias("close")) for n, c, x in (("players", "player_id", "_p"), ("games", "game_id", "_g"))]
+    return both.select(F.inline(F.array(*rows)))
+
+
 @query("select game_id, season, case when season = 2000 then home_team end as home_team from game")
 def set1_union_seasons(spark, sf_dir):
     g = view(spark, sf_dir, "game")
@@ -871,6 +976,56 @@ def bas3_rate(spark, sf_dir):
     return baseline.predict(model, rows, _FEATURES).select("game_id", "player_id", "pred")
 
 
+def _zero_scores(labels: str, rows: str) -> str:
+    return f"select unnest([{labels}]) as equation, n, 0.0::double as score from (select cast(count(*) as bigint) as n from pbox where {rows})"
+
+
+def _scores(df: DataFrame, off: Column) -> DataFrame:
+    """A row's share of each score equation of a generalized linear model with the canonical link: all are zero at its maximum."""
+    cells = [F.struct(F.lit(f).alias("equation"), (off * x).alias("s")) for f, x in [("intercept", F.lit(1.0)), *[(f, F.col(f)) for f in _FEATURES]]]
+    out = df.select(F.inline(F.array(*cells))).groupBy("equation").agg(F.count("s").alias("n"), F.avg("s").alias("score"))
+    return _near_zero(out)
+
+
+def _near_zero(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+@query(_zero_scores("'intercept', 'q', 'is_home', 'oreb'", "secs > 0 and season <= 1999"))
+def bas2_scores(spark, sf_dir):
+    return _scores(_scored(spark, sf_dir), F.col("pts") - F.col("pred"))
+
+
+@query(_zero_scores("'intercept', 'q', 'is_home', 'oreb'", "secs > 0 and season <= 1999 and fga > 0"))
+def bas3_scores(spark, sf_dir):
+    rows = _model_rows(spark, sf_dir).where(train() & (F.col("fga") > 0))
+    scored = baseline.predict(baseline.fit_rate(rows, "fgm", "fga", _FEATURES), rows, _FEATURES)
+    return _scores(scored, F.col("fgm") - F.col("fga") * F.col("pred"))
+
+
+@query(_zero_scores("'intercept'", "secs > 0 and season <= 1999 and fga > 0"))
+def bas3_ridge_scores(spark, sf_dir):
+    """The intercept's equation, which ridge leaves as it is: attempts weighted by the residual rate add up to nothing."""
+    rows = _model_rows(spark, sf_dir).where(train() & (F.col("fga") > 0))
+    scored = baseline.predict(baseline.fit_rate(rows, "fgm", "fga", _FEATURES, kind="ridge"), rows, _FEATURES)
+    return _scores(scored, F.col("fgm") - F.col("fga") * F.col("pred")).where("equation = 'intercept'")
+
+
+@query(_zero_scores("'intercept', 'q', 'is_home', 'oreb', 'precision'", "secs > 0 and season <= 1999 and fga > 0"))
+def bas3_beta_scores(spark, sf_dir):
+    """Beta regression of field goal rates: every score equation, recomputed in the JVM."""
+    rows = _model_rows(spark, sf_dir).where(train())
+    model = beta.fit_beta(rows, "fgm", "fga", _FEATURES)
+    return _near_zero(beta.beta_scores(model, rows, "fgm", "fga"))
+
+
+@query(_zero_scores("'intercept', 'q', 'is_home', 'oreb'", "secs > 0 and season <= 1999"))
+def bas7_saved_scores(spark, sf_dir):
+    rows, path = _model_rows(spark, sf_dir).where(train()), raw.work_dir(spark, "model")
+    baseline.save_model(baseline.fit_poisson(rows, "pts", _FEATURES), path)
+    return _scores(baseline.predict(baseline.load_model(path), rows, _FEATURES), F.col("pts") - F.col("pred"))
+
+
 @query("""with e as (select game_id, team_id, player_id, exp((secs - max(secs) over (partition by game_id, team_id)) / 600.0) as x from pbox)
   select game_id, player_id, round(x / sum(x) over (partition by game_id, team_id), 6) as share from e""")
 def bas4_softmax(spark, sf_dir):
@@ -933,8 +1088,37 @@ def bas10_null_policy(spark, sf_dir):
 
 
 def _cells(spark, sf_dir) -> DataFrame:
-    rows = _predicted(spark, sf_dir).where(played())
-    return metrics.paired(rows.select("game_id", "player_id", "pts"), rows.select("game_id", "player_id", F.col("pred").alias("pts")), ["game_id", "player_id"], ["pts"])
+    return metrics.cells_of(_predicted(spark, sf_dir).where(played()), [], {"pts": ("pts", "pred")})
+
+
+_STATS = ["pts", "reb", "ast", "stl", "blk", "tov", "pf", "oreb", "dreb", "fga", "fgm", "tpa", "tpm", "fta", "ftm"]
+
+
+def _all_cells(spark, sf_dir) -> DataFrame:
+    rows = baseline.season_average_predictions(view(spark, sf_dir, "pbox").withColumn("pts", points()), _STATS, played(), train())
+    return metrics.cells_of(rows.where(played()), [], {s: (s, f"pred_{s}") for s in _STATS})
+
+
+_ALL_CELLS = f"""with v as (select game_id, player_id, season, game_date, position, secs, unnest([{", ".join(f"'{s}'" for s in _STATS)}]) as stat, unnest([2 * fgm + tpm + ftm, {", ".join(_STATS[1:])}]) as y from pbox),
+  d as (select player_id, season, stat, game_date, count(*) as n, sum(y) as s from v where secs > 0 group by all),
+  c as (select player_id, season, stat, game_date, sum(s) over w * 1.0 / sum(n) over w as own from d window w as (partition by player_id, season, stat order by game_date)),
+  ls as (select player_id, season + 1 as season, stat, sum(y) * 1.0 / count(*) as last from v where secs > 0 group by 1, 2, 3), ps as (select position, stat, sum(y) * 1.0 / count(*) as pos from v where secs > 0 and season <= 1999 group by 1, 2),
+  o as (select v.*, c.own from v asof left join c on v.player_id = c.player_id and v.season = c.season and v.stat = c.stat and v.game_date > c.game_date),
+  cells as (select o.stat, o.y, coalesce(own, last, pos) as p from o left join ls on o.player_id = ls.player_id and o.season = ls.season and o.stat = ls.stat left join ps on o.position = ps.position and o.stat = ps.stat where secs > 0)"""
+
+
+@query(_ALL_CELLS + " select stat, round(avg(abs(y - p)), 6) as mae, round(sqrt(avg((y - p) * (y - p))), 6) as rmse, cast(count(*) as bigint) as n from cells where p is not null group by stat")
+def met1_all_stats(spark, sf_dir):
+    return rounded(metrics.per_stat_error(_all_cells(spark, sf_dir)), "mae", "rmse")
+
+
+@query(_ALL_CELLS + """, m as (select stat, avg(abs(y - p)) as a, avg(abs(y - 3)) as b from cells where p is not null group by stat)
+  select stat, round(a, 6) as mae_model, round(b, 6) as mae_baseline, round(1 - a / b, 6) as reduction, 1 - a / b >= case when stat in ('pts', 'reb', 'ast') then 0.15 else 0.05 end as met from m""")
+def met6_all_stats(spark, sf_dir):
+    """Both models' errors from one pass over the cells."""
+    cells = _all_cells(spark, sf_dir).select("stat", "y", F.inline(F.array(F.struct(F.lit("season_average").alias("model"), F.col("p")), F.struct(F.lit("constant").alias("model"), F.lit(3.0).alias("p")))))
+    errors = cells.groupBy("stat", "model").agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
+    return rounded(metrics.compare_models(errors, "season_average", "constant"), "mae_model", "mae_baseline", "reduction")
 
 
 @query(_BASE1 + " select 'pts' as stat, round(avg(abs(y - pred)), 6) as mae, cast(count(*) as bigint) as n from b1 where secs > 0 and pred is not null")
@@ -966,7 +1150,26 @@ def met4_reliability(spark, sf_dir):
 def met4_quantile_bins(spark, sf_dir):
     p = view(spark, sf_dir, "pbox").where(played()).select("game_id", "player_id", "fgm", "fga")
     cells = metrics.paired(p.select("game_id", "player_id", "fgm"), p.select("game_id", "player_id", F.col("fga").alias("fgm")), ["game_id", "player_id"], ["fgm"])
-    return rounded(metrics.reliability_bins(cells, kind="quantile"), "mean_p", "mean_y")
+    return rounded(metrics.reliability_bins(cells, kind="quantile", exact=True), "mean_p", "mean_y")
+
+
+_DECILES = [i / 10 for i in range(1, 10)]
+
+
+@query("select stat, cast(generate_series as int) as decile, true as close from (select unnest(['secs', 'fga', 'ast']) as stat), generate_series(1, 9)")
+def met4_sketched_edges(spark, sf_dir):
+    """Deciles of all seasons from one stored sketch a season; ``close`` if the share of values below, or up to, each lies within the stated error."""
+    cols = ["secs", "fga", "ast"]
+    p = view(spark, sf_dir, "pbox").where(played()).select("season", *cols)
+    path = raw.work_dir(spark, "sketches")
+    sketches.quantile_sketches(p, ["season"], cols).write.parquet(path)
+    merged = sketches.merge_quantiles(spark.read.parquet(path), [], cols)
+    edges = merged.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), sketches.quantiles(c, _DECILES).alias("edges")) for c in cols])))
+    long = p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("v")) for c in cols])))
+    each = long.join(F.broadcast(edges), "stat").select("stat", "v", F.posexplode("edges").alias("i", "edge"))
+    shares = each.groupBy("stat", "i").agg(F.avg((F.col("v") < F.col("edge")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("edge")).cast("int")).alias("upto"))
+    want, off = (F.col("i") + 1) / 10, F.lit(sketches.rank_error())
+    return shares.select("stat", (F.col("i") + 1).alias("decile"), ((F.col("below") - off <= want) & (F.col("upto") + off >= want)).alias("close"))
 
 
 @query(_BASE1 + " , t as (select game_id, team_id, sum(y) as y, sum(pred) as p from b1 where secs > 0 and pred is not null group by 1, 2) select round(avg(abs(y - p)), 4) as team_pts_mae, cast(count(*) as bigint) as n from t")
@@ -997,6 +1200,18 @@ def ens1_summarize(spark, sf_dir):
     return rounded(metrics.summarize_samples(view(spark, sf_dir, "pbox").where(played()), ["player_id"], ["ast"]), "ast_mean", "ast_p10", "ast_p90")
 
 
+@query("""select player_id, round(avg(ast), 6) as ast_mean, round(avg(secs), 6) as secs_mean, true as close from pbox where secs > 0 group by player_id""")
+def ens1_sketched(spark, sf_dir):
+    """Summaries in bounded state; ``close`` if both percentiles of the minutes lie within the stated rank error of the exact ones."""
+    p = view(spark, sf_dir, "pbox").where(played()).select("player_id", "ast", "secs")
+    found = metrics.summarize_samples(p, ["player_id"], ["ast", "secs"], exact=False)
+    off = sketches.rank_error()
+    share = lambda c, below: F.avg((F.col("secs") < F.col(c) if below else F.col("secs") <= F.col(c)).cast("int"))
+    near = [(share(c, True) - off <= w) & (share(c, False) + off >= w) for c, w in (("secs_p10", 0.1), ("secs_p90", 0.9))]
+    checked = p.select("player_id", "secs").join(found.select("player_id", "secs_p10", "secs_p90"), "player_id").groupBy("player_id").agg((near[0] & near[1]).alias("close"))
+    return rounded(found.join(checked, "player_id").select("player_id", "ast_mean", "secs_mean", "close"), "ast_mean", "secs_mean")
+
+
 # --- streaming
 
 
@@ -1029,3 +1244,19 @@ def str2_refresh(spark, sf_dir):
     merge_batch(late, f"{top}/interim", keys, "season")
     refresh_affected(late, f"{top}/interim", f"{top}/features", "player_id", "game_date", "season", build)
     return spark.read.parquet(f"{top}/features").select("game_id", "player_id", "n_5", "min_sum_5")
+
+
+@query("""select game_id, case when game_id % 7 = 0 then cast(null as varchar) else '00' || cast((case when game_id % 3 = 0 then season + 1 else season end) % 10 as varchar) end as season, home_team + case when game_id % 3 = 0 or game_id % 7 = 0 then 1 else 0 end as v from game""")
+def str1_moved_keys(spark, sf_dir):
+    """Text partitions with leading zeros; every third game comes again in another season, every seventh without one."""
+    from ..streaming.ingest import merge_batch, stored
+
+    path = raw.work_dir(spark, "moved")
+    g = view(spark, sf_dir, "game")
+    typed = lambda df, year, v: df.select("game_id", F.concat(F.lit("00"), (year % 10).cast("string")).alias("season"), v.alias("v"))
+    merge_batch(typed(g, F.col("season"), F.col("home_team")), path, ["game_id"], "season")
+    again = typed(g.where("game_id % 3 = 0 and game_id % 7 <> 0"), F.col("season") + 1, F.col("home_team") + 1)
+    lost = typed(g.where("game_id % 7 = 0"), F.col("season"), F.col("home_team") + 1).withColumn("season", F.lit(None).cast("string"))
+    for batch in (again, lost, again):
+        merge_batch(batch, path, ["game_id"], "season")
+    return stored(spark, path, "season", T.StringType()).select("game_id", "season", "v")
