@@ -12,9 +12,9 @@ with the best least distance of many draws. A bit's classifier is the least
 squares fit to the codeword bits given each language's mean features and the
 n-grams' mean variance within languages, so fitting needs sums over rows only:
 it gathers no rows, and solves systems of the size of the languages. Learned
-are the :data:`LANGUAGES` most frequent values of ``lang``, each from about
-:data:`PER_LANGUAGE` rows, drawn by a hash of doc_id, outside the held-out
-fold. Reliability is cross-fitted over two halves of these rows; the model
+is every value of ``lang``, each from about :data:`PER_LANGUAGE` rows, drawn
+by a hash of doc_id, outside the held-out fold; the driver gets 128 KB of sums
+for each. Reliability is cross-fitted over two halves of these rows; the model
 itself takes both.
 
 Null texts and texts without a letter are ``und`` with score 0, and are not
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, held_out, map_batches, prepare
 from .sampling import thinned
 
-LANGUAGES, PER_LANGUAGE = 64, 500
+#: Labelled rows to learn a language from.
+PER_LANGUAGE = 500
 #: Features; variance added to every feature's own; sharpness of the score.
 FEATURES, RIDGE, SHARPNESS = 4096, 1e-5, 4.0
 #: Least lead, in units of one bit's loss, of a text that is not ambiguous.
@@ -68,11 +69,15 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
 
 def features(text: str) -> np.ndarray:
     total = np.zeros(FEATURES)
+    before = np.zeros(0, np.uint32)
     for at in range(0, len(text), SLICE):
-        c = np.frombuffer(text[max(0, at - 2) : at + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        grams = [c * np.uint32(0x9E3779B1)]
+        own = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c, n = np.concatenate([before, own]), len(before)  # of n-grams, those that end in this slice
+        before = c[-2:]
+        grams = [own * np.uint32(0x9E3779B1)]
         if len(c) > 1:
-            grams.append((c[:-1] * np.uint32(0x85EBCA6B)) ^ (c[1:] * np.uint32(0xC2B2AE35)))
+            two = c[max(n - 1, 0) :]
+            grams.append((two[:-1] * np.uint32(0x85EBCA6B)) ^ (two[1:] * np.uint32(0xC2B2AE35)))
         if len(c) > 2:
             grams.append((c[:-2] * np.uint32(0x27D4EB2F)) ^ (c[1:-1] * np.uint32(0x165667B1)) ^ (c[2:] * np.uint32(0x9E3779B1)))
         for g in grams:
@@ -153,7 +158,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     known = docs.where(~held_out(F.col("doc_id")) & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    rows, _ = thinned(known, "lang", per_language, LANGUAGES)
+    rows, _ = thinned(known, "lang", per_language)
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
     rows = rows.select(F.col("lang").cast("string").alias("lang"), half, "text", "doc_id").repartition("lang", "half").sortWithinPartitions("lang", "half", "doc_id", "text")
     rows = checkpointed(rows.select("lang", "half", "text"))  # about per_language texts of each language

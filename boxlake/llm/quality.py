@@ -153,7 +153,7 @@ def _samples(texts: DataFrame, n: int = SAMPLE_PIECES) -> dict[tuple[int, int],
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
-    chosen, counts = thinned(known, "label", per_class, 2)
+    chosen, counts = thinned(known, "label", per_class)
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     part = (F.xxhash64("doc_id", F.lit("part")) % 3 != 0).alias("first")
     # The sample: about 2 * per_class texts.

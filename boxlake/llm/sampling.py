@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def thinned(rows: DataFrame, label: str, per_class: int, classes: int) -> tuple[DataFrame, dict]:
-    """About ``per_class`` rows of each of the ``classes`` most frequent values of ``label`` (ties: least value), and the values' counts.
+def thinned(rows: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict]:
+    """About ``per_class`` rows of each value of ``label``, and the values' counts.
 
     Which rows they are depends on a hash of doc_id alone; rows of a less
     frequent value are all kept. Rows are thinned out where they lie, before
     any of them meet.
     """
     rows = rows.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return rows.limit(0), counts
     share = rows.sparkSession.createDataFrame([(v, per_class / n) for v, n in counts.items()], f"{label} {rows.schema[label].dataType.simpleString()}, _share double")

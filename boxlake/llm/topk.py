@@ -19,8 +19,14 @@ query's are not compared with it, whatever their length. If rows with
 different vectors repeat a query's id, the least of these vectors (compared
 component by component) asks. Rows with the query's own id are its own row.
 Ties go to the smaller vec_id; equal (vec_id, score) rows of repeated vectors
-each take a place. An empty table, or one without queries, gives an empty
-result. Other columns are ignored.
+each take a place. Products are exact whatever the components: in floating
+point where that is exact, else in 64 bits, else in integers of any width.
+What no long can hold, a component or one of the best scores, is an error, as
+the result has no place for it. An empty table, or one without queries, gives
+an empty result. Other columns are ignored.
+
+Of long vectors fewer make a block (:data:`BLOCK_BYTES`), so a block's memory
+is bounded; the more queries a block takes, the less often buckets move.
 """
 
 from __future__ import annotations
@@ -36,7 +42,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, map_batches
 
 K, QUERY_STEP = 5, 50
-BUCKET_ROWS, BLOCK_QUERIES, SEEDS = 1024, 4096, 512
+BUCKET_ROWS, BLOCK_QUERIES, SEEDS = 1024, 32_768, 512
+#: Most bytes of a block's vectors, eight for each component; most queries whose products with a bucket are held at once.
+BLOCK_BYTES, TILE = 16 << 20, 4096
 #: Parts by which blocks meet buckets, and by which a query's best rows meet before they meet as a whole.
 PARTS = 16
 #: Local cosine threshold from which coordinates prune better than lengths.
@@ -48,7 +56,8 @@ def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id, ``v`` (array of long), and ``norm2`` of the vectors that take part."""
     big = F.lit(float("inf"))
     ok = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big))
-    out = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
+    whole = lambda x: F.when(F.abs(x.cast("double")) < 2.0**55, F.floor(F.lit(256.0) * x.cast("double"))).otherwise(F.raise_error(F.lit("a component times 256 exceeds 64 bits")).cast("long"))
+    out = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("v"))
     return out.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
@@ -66,10 +75,11 @@ class _Queries:
         self.most = float(np.abs(self.x).max(initial=0))
 
     def products(self, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Exact integer products, by floating point where it is exact."""
-        if self.most * float(np.abs(rows).max(initial=0)) * rows.shape[1] < 2**53:
+        """Exact integer products, by floating point where it is exact, by integers of any width where 64 bits may not do."""
+        most = self.most * float(np.abs(rows.astype(np.float64)).max(initial=0)) * rows.shape[1]
+        if most < 2**53:
             return rows.astype(np.float64) @ self.x[of].T
-        return rows @ self.q[of].T
+        return rows @ self.q[of].T if most < 2**62 else rows.astype(object) @ self.q[of].T.astype(object)
 
     def offer(self, which: np.ndarray, vec_ids: np.ndarray, scores: np.ndarray) -> None:
         """Take hits (query position, vec_id, score), any order."""
@@ -80,6 +90,8 @@ class _Queries:
             mine = self.best[i] + [(-int(s), int(v)) for s, v in zip(scores[a:b], vec_ids[a:b]) if v != self.ids[i]]
             mine.sort()
             self.best[i] = mine[: self.k]
+            if mine and -(2**63) >= min(mine[0][0], -self.best[i][-1][0]):
+                raise OverflowError(f"a score of query {self.ids[i]} exceeds 64 bits")
             if len(self.best[i]) == self.k:
                 self.least[i] = max(self.least[i], -self.best[i][-1][0])
 
@@ -113,13 +125,15 @@ class _Queries:
                     self.offer(np.full(hit.sum(), i), vec_ids[keep[hit]], s[hit])
         if len(by_length):
             # Lengths fall within the bucket: each query needs a prefix of it.
-            need = np.where(self.least[by_length] > 0, self.least[by_length] / np.maximum(self.norm[by_length] * _SLACK, 1e-300), -np.inf)
-            ends = np.searchsorted(-norms, -need, "right")
-            n = int(ends.max())
-            if n:
-                s = self.products(rows[:n], by_length)
-                r, c = np.nonzero((s >= self.least[by_length]) & (np.arange(n)[:, None] < ends))
-                self.offer(by_length[c], vec_ids[r], s[r, c])
+            for at in range(0, len(by_length), TILE):
+                some = by_length[at : at + TILE]
+                need = np.where(self.least[some] > 0, self.least[some] / np.maximum(self.norm[some] * _SLACK, 1e-300), -np.inf)
+                ends = np.searchsorted(-norms, -need, "right")
+                n = int(ends.max())
+                if n:
+                    s = self.products(rows[:n], some)
+                    r, c = np.nonzero((s >= self.least[some]) & (np.arange(n)[:, None] < ends))
+                    self.offer(some[c], vec_ids[r], s[r, c])
 
 
 def _grouped(ids: np.ndarray, vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -136,7 +150,7 @@ def _grouped(ids: np.ndarray, vectors: pa.ListArray) -> dict[int, tuple[np.ndarr
 def _pack(n: int, seeds: list | None, k: int):
     """Function over batches of (vec_id, v), longest first, giving packs of ``n`` vectors at most.
 
-    With seeds these are blocks of queries: ``least`` holds each query's score
+    With seeds these are blocks of queries, of no more than :data:`BLOCK_BYTES`: ``least`` holds each query's score
     to beat, ``reach`` the least length of a vector that any of them can use.
     Else they are buckets, and ``reach`` is their greatest length.
     """
@@ -164,11 +178,12 @@ def _pack(n: int, seeds: list | None, k: int):
         for b in batches:
             for d, part in _grouped(np.asarray(b.column(0)), b.column(1)).items():
                 held.setdefault(d, []).append(part)
-                if sum(len(ids) for ids, _ in held[d]) >= n:
+                most = n if seeds is None else max(1, min(n, BLOCK_BYTES // (8 * d)))
+                if sum(len(ids) for ids, _ in held[d]) >= most:
                     ids, rows = (np.concatenate([p[i] for p in held[d]]) for i in (0, 1))
-                    while len(ids) >= n:
-                        yield pack(d, ids[:n], rows[:n], at)
-                        ids, rows, at = ids[n:], rows[n:], at + 1
+                    while len(ids) >= most:
+                        yield pack(d, ids[:most], rows[:most], at)
+                        ids, rows, at = ids[most:], rows[most:], at + 1
                     held[d] = [(ids, rows)]
         for d, parts in held.items():
             ids, rows = (np.concatenate([p[i] for p in parts]) for i in (0, 1))

@@ -574,6 +574,68 @@ def test_language(spark):
     assert identify(docs.limit(0), fit_language(docs)).count() == 0
 
 
+def test_all_languages_are_learned(spark):
+    from boxlake.llm.language import fit_language
+
+    rng = random.Random(21)
+    rows = [(i, "".join(rng.choice(f"{chr(0x4E00 + 9 * (i % 70))}{chr(0x4E03 + 9 * (i % 70))} ") for _ in range(60))) for i in range(1400)]
+    model = fit_language(frame(spark, rows, {i: f"l{i % 70:02}" for i, _ in rows}))
+    assert len(model.languages) == 70
+    assert sum(model.predict([t])[0][0] == f"l{i % 70:02}" for i, t in rows[:210]) >= 205
+
+
+def test_decoding_weights_and_flag_are_recounted(spark):
+    """Bit weights from halves, losses and the flag by plain loops; only features and the tested bit fits are shared."""
+    from boxlake.llm.language import MARGIN, SHARPNESS, Sums, bit_classifiers, codewords, features, fit_language, identify
+
+    rng, sets = random.Random(22), {"aa": "abcdef", "bb": "efghij", "cc": "ijklab", "dd": "abgkxy"}
+    rows, lang = [], {}
+    for i in range(240):
+        lang[i] = rng.choice(sorted(sets))
+        rows.append((i, " ".join("".join(rng.choice(sets[lang[i]]) for _ in range(3)) for _ in range(rng.randint(1, 6)))))
+    docs = frame(spark, rows, lang)
+    model = fit_language(docs)
+    half = {r.doc_id: r.half for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'half'), 2) as half").collect()}
+    learn = [(lang[i], half[i], features(t)) for i, t in rows if _crc(i) != 0]
+    names, code = sorted(sets), codewords(4)
+    part = lambda n, h: Sums(*(lambda x: (len(x), sum(x), sum(v * v for v in x)))([f for a, b, f in learn if a == n and b == h]))
+    trust = []
+    fits = {h: bit_classifiers([part(n, 1 - h) for n in names], code) for h in (0, 1)}
+    for bit in range(code.shape[1]):
+        by_language = []
+        for k, n in enumerate(names):
+            ok = [(f @ fits[h][0][:, bit] + fits[h][1][bit]) * code[k, bit] > 0 for a, h, f in learn if a == n]
+            by_language.append(sum(ok) / len(ok))
+        right, least = sum(by_language) / 4, 1 / (len(learn) + 2)
+        trust.append(max(0.5 * np.log((right + least) / (1 - right + least)), 1e-3))
+    assert model.trust == pytest.approx(np.array(trust) / sum(trust)) and model.languages == tuple(names)
+    flags = set()
+    for r in identify(docs, model).collect():
+        f = features(dict(rows)[r.doc_id])
+        bits = [sum(f[j] * model.weights[j, b] for j in np.flatnonzero(f)) + model.offset[b] for b in range(code.shape[1])]
+        loss = [sum(model.trust[b] * max(0.0, 1 - bits[b] * code[k, b]) for b in range(len(bits))) for k in range(4)]
+        order = sorted(range(4), key=lambda k: loss[k])
+        assert r.lang_pred == names[order[0]] and r.ambiguous == (loss[order[1]] - loss[order[0]] < MARGIN)
+        assert r.score == pytest.approx(1 / sum(np.exp(SHARPNESS * (loss[order[0]] - x)) for x in loss))
+        flags.add(r.ambiguous)
+    assert flags == {True, False}
+
+
+def test_language_of_odd_rows(spark, monkeypatch):
+    """Repeated rows get equal results and null ids are identified; n-grams are counted once across slices."""
+    from boxlake.llm import language
+
+    docs = frame(spark, [(i, "abc def" if i % 2 else "xyz uvw") for i in range(60)], {i: "a" if i % 2 else "b" for i in range(60)})
+    model = language.fit_language(docs)
+    odd = frame(spark, [(1, "abc"), (1, "abc"), (None, "xyz"), (None, None), (1, "uvw " * 50_000)])
+    got = language.identify(odd, model).collect()
+    assert by_id((r.doc_id, r.held_out, r.lang_pred) for r in got) == by_id([(1, _crc(1) == 0, "a")] * 2 + [(1, _crc(1) == 0, "b"), (None, False, "b"), (None, False, "und")])
+    text = "Größe İstanbul " * 40
+    whole = language.features(text)
+    monkeypatch.setattr(language, "SLICE", 7)
+    assert language.features(text) == pytest.approx(whole)
+
+
 def test_bits_equal_a_plain_least_squares_fit():
     """Rows drawn so that means and variances are exact, against the normal equations of all rows."""
     from boxlake.llm import language as lg
@@ -637,6 +699,43 @@ def test_top_k_of_a_repeated_id_and_many_blocks(spark, monkeypatch):
     assert len(plans) == 1  # as large for five blocks as for one
 
 
+def test_wide_products_are_exact(spark, monkeypatch):
+    """Products beyond 64 bits on the way neither wrap nor win; a best score beyond them is an error, a long one is not."""
+    from boxlake.llm import topk
+
+    big = float(2**33)
+    rows = [(0, [big, -big]), (1, [big, big]), (2, [1.0, 1.0]), (3, [big, -1.0]), (50, [3.0, 2.0]), (4, [-big, big])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: [int(256 * x) for x in e] for i, e in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    got = topk.top_k(df.where("vec_id not in (0, 3)"), F.col("vec_id") % 50 == 0).collect()
+    want = sorted((-score(50, i), i) for i in (1, 2, 4))
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], df.schema), F.col("vec_id") % 50 == 0).collect()
+    asking = topk._Queries(np.array([9]), np.array([[2**41, -(2**41)]]), 2)
+    asking.bucket(np.array([1, 2, 3]), np.array([[2**41, 2**41], [2**20, -1], [1, 1]]))  # 2**82 - 2**82 is no score to beat
+    assert asking.best[0] == [(-(2**61 + 2**41), 2), (0, 1)]
+
+
+def test_blocks_of_long_vectors_hold_fewer(spark, monkeypatch):
+    from boxlake.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 16 * 3)
+    monkeypatch.setattr(topk, "TILE", 2)
+    rng = np.random.default_rng(19)
+    rows = [(i, rng.integers(-9, 9, 16).astype(float).tolist()) for i in range(600)]
+    v = np.array([[int(256 * x) for x in e] for _, e in rows])
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    want = []
+    for q in range(0, 600, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert by_id(got.select("query_id", "rank", "vec_id", "score").collect()) == by_id(want)
+
+
 # 9
 
 
