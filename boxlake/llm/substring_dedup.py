@@ -3,8 +3,8 @@
 Every window of 35 words gets a Rabin-Karp hash over keyed hashes of its
 words. Windows are dealt to buckets by a key of their own content, the least
 hash of the six-word runs inside them, so that neighbouring windows mostly
-stay together and travel as one run: key, document, start, and six bytes for
-each window. A bucket's windows are counted by (key, hash), 112 bits together;
+stay together and travel as one run: key, document, start, and eight bytes for
+each window. A bucket's windows are counted by (key, hash), 126 bits together;
 those seen twice go back to their documents and merge into maximal removal
 intervals. Words are not compared again: key and bases are drawn anew for each
 result, so no input can be made to collide (:class:`Hasher`).
@@ -98,9 +98,11 @@ class Polynomial:
 class Hasher(dict):
     """Word -> keyed 64-bit hash, and hashes of word runs; every base is drawn from the seed.
 
-    Two different windows agree in their window hash with a chance of 2**-48
+    Two different windows agree in their window hash with a chance of 2**-62
     whatever their words are, as neither the words' key nor the bases are
-    known beforehand; beside it they would have to agree in their key.
+    known beforehand; beside it they would have to agree in their key. A key
+    has HOT_WINDOWS windows at most, so even if all keys had as many, less
+    than one false pair is to be expected in 10**13 windows.
     """
 
     def __init__(self, seed: bytes, window: int):
@@ -160,18 +162,14 @@ def _runs(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(keys, rows, starts, counts, hashes) -> bytes:
-    six = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.array([len(keys)], "<u4").tobytes() + keys.tobytes() + rows.tobytes() + starts.astype("<u4").tobytes() + counts.astype("<u2").tobytes() + six.tobytes()
+    return np.array([len(keys)], "<u4").tobytes() + keys.tobytes() + rows.tobytes() + starts.astype("<u4").tobytes() + counts.astype("<u2").tobytes() + hashes.astype("<u8").tobytes()
 
 
 def _unpack(payload: bytes):
     n = int(np.frombuffer(payload, "<u4", 1)[0])
     keys, rows = np.frombuffer(payload, "<u8", n, 4), np.frombuffer(payload, "<i8", n, 4 + 8 * n)
     starts, counts = np.frombuffer(payload, "<u4", n, 4 + 16 * n), np.frombuffer(payload, "<u2", n, 4 + 20 * n)
-    six = np.frombuffer(payload, np.uint8, offset=4 + 22 * n).reshape(-1, 6)
-    eight = np.zeros((len(six), 8), np.uint8)
-    eight[:, :6] = six
-    return keys, rows, starts, counts, eight.view("<u8").ravel()
+    return keys, rows, starts, counts, np.frombuffer(payload, "<u8", offset=4 + 22 * n)
 
 
 def _intervals(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch | None:
