@@ -11,9 +11,9 @@ lost, whatever the document's length.
 
 Items of up to :data:`INDEX_WORDS` words together are sent to all tasks as one
 index, and documents are read once. Beyond, nothing is broadcast: documents'
-shingle hashes are joined with the sketches, and the candidates' texts with
-each other; documents are then read twice, however many items there are. Both
-ways give the same rows.
+shingle hashes are joined with the sketches, and each candidate's text with
+lists of its items (:data:`LIST`); documents are then read twice, however many
+items there are. Both ways give the same rows.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased.
 An item of one to four words is one shingle of that length. Null and empty
@@ -42,6 +42,8 @@ from .simhash import SEED, shingle_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 #: Words of all items up to which they are one index in every task (some MB).
 INDEX_WORDS = 500_000
+#: Beyond, a document's text moves once for about so many candidate items.
+LIST = 500
 _FOUND = "array<struct<item_id: bigint, n_shared: int, n_item: int>>"
 
 
@@ -171,27 +173,28 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
     held = map_batches(_keyed(docs).select("key", "text"), hashed, "key long, k int, hash long")
     pairs = checkpointed(held.join(asked, ["k", "hash"]).select("key", "item").distinct())
-    wanted = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("key", "item_id", "item_text")
+    # A document meets its items in lists of about LIST, so its text moves once for so many.
+    lists = pairs.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("lists"))
+    wanted = pairs.join(lists, "key").join(items.select("item", F.struct("item_id", "text").alias("entry")), "item")
+    wanted = wanted.groupBy("key", F.pmod(F.xxhash64("item"), F.col("lists")).alias("list")).agg(F.collect_list("entry").alias("entries"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words, own = None, [], {}
         for b in batches:
-            out = []
-            for doc_id, key, item_id, item_text, text in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if key != last:
-                    last, words, own = key, words_of(text, lower=True), {}
-                item = words_of(item_text, lower=True)
-                k, item = min(len(item), SHINGLE), frozenset(shingles(item))
-                if k not in own:
-                    own[k] = frozenset(shingles(words, k)) if len(words) >= k else frozenset()
-                shared = len(item & own[k])
-                if shared >= needed(len(item), threshold):
-                    out.append((doc_id, key, item_id, shared, len(item)))
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["doc_id", "key", "item_id", "n_shared", "n_item"])
-
-    met = _keyed(docs, "doc_id").join(wanted, "key").select(F.col("doc_id").cast("long"), "key", "item_id", "item_text", "text")
+            for doc_id, key, text, entries in zip(*(b.column(i).to_pylist() for i in range(4))):
+                words, own, out = words_of(text, lower=True), {}, []
+                for entry in entries:
+                    item = words_of(entry["text"], lower=True)
+                    k, item = min(len(item), SHINGLE), frozenset(shingles(item))
+                    if k not in own:
+                        own[k] = frozenset(shingles(words, k)) if len(words) >= k else frozenset()
+                    shared = len(item & own[k])
+                    if shared >= needed(len(item), threshold):
+                        out.append((doc_id, key, entry["item_id"], shared, len(item)))
+                if out:
+                    cols = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["doc_id", "key", "item_id", "n_shared", "n_item"])
+
+    met = _keyed(docs, "doc_id").join(wanted, "key").select(F.col("doc_id").cast("long"), "key", "text", "entries")
     return map_batches(met, verified, "doc_id long, key long, item_id long, n_shared int, n_item int")
 
 
@@ -214,9 +217,11 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     if words <= index_words:
         rows = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]
         return docs.where(F.size(contained_items(docs["text"], rows, threshold)) == 0)
-    name = free_name("_key", docs.columns)
-    gone = _joined(docs, items, threshold).select(F.col("key").alias(name)).distinct()
-    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(gone, name, "left_anti").select(*docs.columns)
+    key, own = free_name("_key", docs.columns), free_name("_id", docs.columns)
+    gone = _joined(docs, items, threshold).select(F.col("key").alias(f"{key}_gone"), F.col("doc_id").alias(f"{own}_gone")).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).withColumn(own, F.col("doc_id").cast("long"))
+    same = (keyed[key] == gone[f"{key}_gone"]) & keyed[own].eqNullSafe(gone[f"{own}_gone"])
+    return keyed.join(gone, same, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
