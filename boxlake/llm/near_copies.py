@@ -15,8 +15,8 @@ them. In a larger meeting a first round compares each class with the
 :data:`NEAREST` classes that agree most with itself, by parts if there are
 more than :data:`MEETING`. This only shrinks the work: a second round finds
 every pair of such classes that is similar enough and not yet in one
-component, by a prefix-filter join (:func:`prefix_candidates`), which loses
-nothing.
+component, by a prefix-filter join that also compares bitmaps
+(:func:`prefix_candidates`) and loses nothing.
 
 Texts without words, null ones included, are one class. Groups are of rows:
 rows that repeat a doc_id with different texts may lie in different groups,
@@ -50,6 +50,9 @@ BLOCK = 1024
 SAMPLE_CLASSES, SAMPLE_SHINGLES = 20_000, 500_000
 #: Keys of wanted classes are broadcast up to so many rows (some MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
+#: A set's bitmap in the second round, in words of 64 bits.
+BITMAP_WORDS = 8
+_WORDS = [f"w{i}" for i in range(BITMAP_WORDS)]
 _RANDOM = np.random.default_rng(11)
 _A = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -79,11 +82,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "key", "class", "fp", "bands", "shingles"])
 
 
-def _meeting(members: list[int], sketches: list[bytes]) -> tuple[set[tuple[int, int]], list[int]]:
-    """Pairs to verify among the classes of one meeting, and positions of its hubs."""
+def _meeting(members: list[int], sketches: list[bytes]) -> set[tuple[int, int]]:
+    """Pairs to verify among the classes of one meeting."""
     n = len(members)
     if n <= SMALL:
-        return {(min(a, b), max(a, b)) for i, a in enumerate(members) for b in members[:i] if a != b}, list(range(min(n, HUBS)))
+        return {(min(a, b), max(a, b)) for i, a in enumerate(members) for b in members[:i] if a != b}
     grid = np.frombuffer(b"".join(sketches), np.uint8).reshape(n, BANDS)
     common = np.array([Counter(c.tolist()).most_common(1)[0][0] for c in grid.T], np.uint8)
     hubs = np.argsort(-(grid == common).sum(1), kind="stable")[:HUBS].tolist()
@@ -93,33 +96,29 @@ def _meeting(members: list[int], sketches: list[bytes]) -> tuple[set[tuple[int,
         agree[np.arange(len(agree)), np.arange(at, at + len(agree))] = -1
         for i, near in enumerate(np.argpartition(-agree, NEAREST, axis=1)[:, :NEAREST].tolist(), at):
             pairs.update((min(members[i], members[j]), max(members[i], members[j])) for j in near if members[i] != members[j])
-    return pairs, hubs
+    return pairs
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs as (a, b, null, null), classes of large meetings as (a, null, null, null), hubs of dealt-out meetings as (null, b, sketch, meeting)."""
+    """Pairs as (a, b), and classes of large meetings as (a, null)."""
 
-    def batch_of(a: list, b: list, sketch: list, at: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.binary()), pa.array(at, pa.int64())], names=["a", "b", "sketch", "meeting"])
+    def batch_of(a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    a, b, sketch, at = [], [], [], []
+    a, b = [], []
     for batch in batches:
         for i in range(batch.num_rows):
-            meeting, dealt, classes, sketches = (batch.column(c)[i].as_py() for c in range(4))
-            pairs, hubs = _meeting(classes, sketches)
-            for x, y in pairs:
-                a.append(x), b.append(y), sketch.append(None), at.append(None)
+            dealt, classes, sketches = (batch.column(c)[i].as_py() for c in range(3))
+            for x, y in _meeting(classes, sketches):
+                a.append(x), b.append(y)
             if dealt or len(classes) > SMALL:
-                for x in classes:
-                    a.append(x), b.append(None), sketch.append(None), at.append(None)
-            if dealt:
-                for h in hubs:
-                    a.append(None), b.append(classes[h]), sketch.append(sketches[h]), at.append(meeting)
+                a += classes
+                b += [None] * len(classes)
             if len(b) > 50_000:
-                yield batch_of(a, b, sketch, at)
-                a, b, sketch, at = [], [], [], []
+                yield batch_of(a, b)
+                a, b = [], []
     if b:
-        yield batch_of(a, b, sketch, at)
+        yield batch_of(a, b)
 
 
 def band_candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,17 +128,9 @@ def band_candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = wide.select("class", "sketch", F.xxhash64("band", "value").alias("meeting"))
     sizes = rows.groupBy("meeting").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     met = rows.join(sizes, "meeting").withColumn("salt", F.when(F.col("n") > MEETING, F.pmod(F.xxhash64("class"), F.ceil(F.col("n") * 2 / MEETING))).otherwise(F.lit(0)))
-    schema = "a long, b long, sketch binary, meeting long"
-
-    def gathered(df: DataFrame, keys: list[str], dealt) -> DataFrame:
-        groups = df.groupBy(*keys).agg(F.collect_list("class").alias("classes"), F.collect_list("sketch").alias("sketches"), dealt.alias("dealt"))
-        return map_batches(groups.where((F.size("classes") > 1) | F.col("dealt")).select("meeting", "dealt", "classes", "sketches"), _meet, schema)
-
-    found = checkpointed(gathered(met, ["meeting", "salt"], F.max(F.col("n") > MEETING)))
-    hubs = found.where(F.col("a").isNull()).select(F.col("b").alias("class"), "sketch", "meeting")
-    joined = gathered(hubs, ["meeting"], F.lit(False))
-    crowded = found.where(F.col("b").isNull()).select(F.col("a").alias("class")).distinct()
-    return found.unionByName(joined).where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b"), crowded
+    groups = met.groupBy("meeting", "salt").agg(F.collect_list("class").alias("classes"), F.collect_list("sketch").alias("sketches"), F.max(F.col("n") > MEETING).alias("dealt"))
+    found = checkpointed(map_batches(groups.where((F.size("classes") > 1) | F.col("dealt")).select("dealt", "classes", "sketches"), _meet, "a long, b long"))
+    return found.where(F.col("b").isNotNull()), found.where(F.col("b").isNull()).select(F.col("a").alias("class")).distinct()
 
 
 def shingle_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -195,6 +186,18 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, similarity: float):
     return run
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set the parities of its shingles' numbers by slot: two sets differ in as many shingles as slots, or more."""
+    slots = 64 * BITMAP_WORDS
+    for b in batches:
+        out = np.zeros((b.num_rows, BITMAP_WORDS), "<u8")
+        for i, raw in enumerate(b.column(1).to_pylist()):
+            slot = (np.frombuffer(raw, np.uint64) >> np.uint64(17)) % np.uint64(slots)
+            odd = np.bincount(slot.astype(np.int64), minlength=slots) & 1
+            out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(out[:, i]).view("<i8")) for i in range(BITMAP_WORDS))], names=["class", *_WORDS])
+
+
 def prefix_candidates(sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of different labels that can be similar enough; ``sets`` has class, label, shingles.
 
@@ -203,7 +206,11 @@ def prefix_candidates(sets: DataFrame, similarity: float) -> DataFrame:
     first m - 2 t m / (1 + t) + 1 of the smaller and the first n - t n + 1 of
     the larger set. The order, rare ones first by a sample, only bears on how
     many pairs come up. A shingle's classes are dealt out so that every two
-    still meet in one part.
+    still meet in one part. Pairs that meet are not kept before their bitmaps
+    are compared, where they meet: sets that differ in too many slots differ in
+    too many shingles. So strangers of one template, which share most of their
+    shingles, meet without ever becoming candidates; of sets of some thousand
+    shingles, which fill a bitmap, it drops fewer.
     """
     n = sets.count()
     sample = sets.where(F.pmod(F.xxhash64("class"), F.lit(-(-n // SAMPLE_CLASSES) or 1)) == 0).select("shingles")
@@ -218,6 +225,7 @@ def prefix_candidates(sets: DataFrame, similarity: float) -> DataFrame:
     order = np.argsort(frequent)
     rows = map_batches(sets.select("class", "label", "shingles"), _prefixes(frequent[order], counts[order], similarity), "token long, class long, label long, size int, at int")
     shared = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
+    maps = checkpointed(map_batches(sets.select("class", "shingles"), _bitmaps, "class long, " + ", ".join(f"{w} long" for w in _WORDS)))
     met = checkpointed(rows.join(shared.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token"))
     part = F.pmod(F.xxhash64("class"), F.col("parts"))
     small = met.where(F.col("at") <= F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-6))
@@ -226,7 +234,15 @@ def prefix_candidates(sets: DataFrame, similarity: float) -> DataFrame:
     ordered = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
     most = F.least("i", "j") + 1 + F.least(F.col("m") - 1 - F.col("i"), F.col("n") - 1 - F.col("j"))
     enough = (F.col("m") >= similarity * F.col("n") - 1e-6) & (most >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-6)
-    return small.join(large, ["token", "part"]).where((F.col("la") != F.col("lb")) & ordered & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own, other = (maps.select(F.col("class").alias(c), *[F.col(w).alias(f"{c}{w}") for w in _WORDS]) for c in "ab")
+    if n <= BROADCAST_ROWS:
+        pairs = small.join(large, ["token", "part"]).where((F.col("la") != F.col("lb")) & ordered & enough).select("a", "b", "m", "n")
+        pairs = pairs.join(F.broadcast(own), "a").join(F.broadcast(other), "b")
+    else:  # bitmaps travel with the rows
+        pairs = small.join(own, "a").join(large.join(other, "b"), ["token", "part"]).where((F.col("la") != F.col("lb")) & ordered & enough)
+    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in _WORDS), F.lit(0))
+    close = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("m") + F.col("n")) + 1e-6
+    return pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -489,6 +489,69 @@ def test_pairs_parted_by_the_salt(spark, monkeypatch):
     assert got == {i: i - i % 2 if i < 120 else i for i in range(600)}
 
 
+def templated(rng, n, words=200, places=4):
+    """Texts of one template that differ in a few places each; every tenth has a copy that differs from it in one word."""
+    base, out = [f"c{i}" for i in range(words)], []
+    for i in range(n):
+        own = list(base)
+        for p in rng.sample(range(3, words - 3), places):
+            own[p] = f"t{i}k{p}"
+        out.append((2 * i, " ".join(own)))
+        if i % 10 == 0:
+            own[-1] = f"e{i}"
+            out.append((2 * i + 1, " ".join(own)))
+    return out
+
+
+def test_strangers_of_one_template_do_not_become_candidates(spark):
+    """Of 1,500 classes of one template, nearly all at about 0.66 to each other: fewer candidates than two a class, all pairs at 0.8 among them."""
+    from boxlake.llm import near_copies
+    from boxlake.llm.common import words_of
+
+    texts = templated(random.Random(30), 1500)
+    sets = {i: np.unique(near_copies.shingle_hashes(words_of(t, lower=True), 5)) for i, t in texts}
+    frame_ = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in sets.items()], "class long, label long, shingles binary").repartition(4)
+    got = {(r.a, r.b) for r in near_copies.prefix_candidates(frame_, 0.8).collect()}
+    held = {}
+    for i, s in sets.items():
+        for x in s.tolist():
+            held.setdefault(x, []).append(i)
+    ids, rows = sorted(sets), np.zeros((len(sets), len(held)), np.float32)
+    for c, (_, who) in enumerate(held.items()):
+        rows[[ids.index(w) for w in who] if len(who) < 50 else np.searchsorted(ids, who), c] = 1
+    shared, size = rows @ rows.T, rows.sum(1)
+    near = shared >= 0.8 * (size[:, None] + size[None] - shared) - 1e-4
+    want = {(ids[a], ids[b]) for a, b in zip(*np.nonzero(near)) if a < b}
+    assert want and want <= got and len(got) <= 2 * len(texts)
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_bitmaps_that_travel_with_the_rows(spark, monkeypatch, limit):
+    from boxlake.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", limit)
+    texts = templated(random.Random(31), 120)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()}
+    copies = {i for i, _ in texts if i % 2}
+    assert all(got[i] == got[i - 1] for i in copies)
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs a little over 0.8, each alone and all inside one large meeting."""
+    from boxlake.llm.near_copies import near_copies
+
+    alone = []
+    for i in range(300):
+        words = [f"v{i}x{k}" for k in range(190)]
+        near = list(words)
+        for p in (20, 70, 120, 170):  # 166 of 206 shingles in common
+            near[p] = "changed"
+        alone += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, alone)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) >= 299
+    assert all(got[2 * i] == 2 * i for i in range(300))
+
+
 # 6, 7
 
 
