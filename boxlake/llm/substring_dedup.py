@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,11 @@ HOT_WINDOWS, SAMPLE_ROWS = 500_000, 20_000
 _U = np.uint64
 #: Prime of the windows' two polynomial hashes.
 PRIME = (1 << 31) - 1
-#: Words whose hashes a worker remembers, and the longest of them in bytes.
-MEMO_WORDS, MEMO_BYTES = 300_000, 64
+#: Bytes whose words are hashed at once, and the longest word that is hashed so.
+STRETCH, LONG_WORD = 1 << 20, 64
+_SPACES = [bytes([i]) for i in (32, *range(9, 14))]
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_GAP = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,6 +90,11 @@ class Polynomial:
         np.cumsum(_folded(_folded(terms)) if self.prime else terms, out=out[1:])
         return out
 
+    def between(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of every stretch from a start to an end, whatever its place; modulo :data:`PRIME`."""
+        x = _folded(_folded(_folded(_folded(prefix[ends] - prefix[starts])) * self.back[starts]))
+        return np.where(x >= PRIME, x - _U(PRIME), x)
+
     def spans(self, prefix: np.ndarray, width: int) -> np.ndarray:
         """Hash of every ``width`` neighbours, whatever their place."""
         sums = prefix[width:] - prefix[:-width]
@@ -95,14 +104,17 @@ class Polynomial:
         return np.where(x >= PRIME, x - _U(PRIME), x)
 
 
-class Hasher(dict):
-    """Word -> keyed 64-bit hash, and hashes of word runs; every base is drawn from the seed.
+class Hasher:
+    """Keyed 64-bit hashes of words, and hashes of word runs; every base is drawn from the seed.
 
-    Two different windows agree in their window hash with a chance of 2**-62
-    whatever their words are, as neither the words' key nor the bases are
-    known beforehand; beside it they would have to agree in their key. A key
-    has HOT_WINDOWS windows at most, so even if all keys had as many, less
-    than one false pair is to be expected in 10**13 windows.
+    A word's hash mixes three polynomials over its bytes modulo a prime, for
+    all words of a stretch of text at once; words beyond :data:`LONG_WORD`
+    bytes have a keyed digest. Two different windows agree in their window
+    hash with a chance of about 2**-62 whatever their words are, as neither
+    the key nor the bases are known beforehand; beside it they would have to
+    agree in their key. A key has HOT_WINDOWS windows at most, so even if all
+    keys had as many, less than one false pair is to be expected in 10**13
+    windows.
     """
 
     def __init__(self, seed: bytes, window: int):
@@ -110,17 +122,46 @@ class Hasher(dict):
         draw = np.random.default_rng(int.from_bytes(seed, "little"))
         self.runs, self.deal = (Polynomial(int(draw.integers(1 << 62)) * 2 + 1, False) for _ in range(2))
         self.fields = [Polynomial(int(draw.integers(2, PRIME)), True) for _ in range(2)]
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.seed).digest(), "little")
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = h
-        return h
+        self.letters = [Polynomial(int(draw.integers(2, PRIME)), True) for _ in range(3)]
+        self.odd = [_U(int(x) * 2 + 1) for x in draw.integers(1 << 62, size=2)]
+
+    def _digest(self, word: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.seed).digest(), "little")
+
+    def _stretch(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.frombuffer(raw, np.uint8)
+        edges = np.flatnonzero(np.diff(_GAP[letters], prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        values = letters.astype(_U) + _U(1)
+        a, b, c = (f.between(f.prefix(values), starts, ends) for f in self.letters)
+        out = mixed(mixed((a | b << _U(32)) * self.odd[0]) ^ c * self.odd[1])
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            out[i] = self._digest(raw[starts[i] : ends[i]])
+        return out, starts
+
+    def text(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of every word of a text, a stretch of :data:`STRETCH` bytes at a time."""
+        found, at = [], 0
+        while at < len(raw):
+            end = len(raw)
+            if end - at > STRETCH + LONG_WORD:
+                gap = _SPACE.search(raw, at + STRETCH)
+                end = gap.start() if gap else len(raw)
+                if end - at > STRETCH + LONG_WORD:  # a long word lies across
+                    word = max(raw.rfind(x, at, at + STRETCH) for x in _SPACES)
+                    if word < at:
+                        word = at - 1
+                    found += [self._stretch(raw[at : word + 1]), (np.array([self._digest(raw[word + 1 : end])], _U), np.array([word + 1]))]
+                    found[-2] = found[-2][0], found[-2][1] + at
+                    at = end
+                    continue
+            hashes, starts = self._stretch(raw[at:end])
+            found.append((hashes, starts + at))
+            at = end
+        return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, _U), np.zeros(0, np.int64))
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), _U, len(words))
+        return self.text(b" ".join(words))[0]
 
     def keys(self, words: np.ndarray) -> np.ndarray:
         """Least hash of the six-word runs inside every window."""
@@ -182,6 +223,13 @@ def _intervals(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(starts[at].astype(np.int32)), pa.array(n.astype(np.int32))], names=["row", "start", "n"])
 
 
+def hashed(hasher: Hasher, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of all texts, one after another, and how many words each text has."""
+    hashes, starts = hasher.text(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
+
+
 class _Sender:
     """Collects the windows of a map task and packs them by bucket."""
 
@@ -190,21 +238,23 @@ class _Sender:
         self.parts: list[tuple] = []
         self.held = 0
 
-    def add(self, texts: list[tuple[int, list[bytes]]]) -> None:
-        """Texts of a window or more; hashes run over all of them at once, those across two texts are left out."""
+    def add(self, texts: list[tuple[int, bytes]]) -> None:
+        """Hashes run over all texts at once; windows across two texts are left out."""
         h = self.hasher
-        hashes = h.words([w for _, words in texts for w in words])
+        hashes, counts = hashed(h, [raw for _, raw in texts])
+        if len(hashes) < h.window:
+            return
         keys, found = h.keys(hashes), h.windows(hashes)
         if len(self.hot):
             many = self.hot[np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)] == keys
             if many.any():
                 keys[many] = mixed(keys[many] ^ h.dealt(hashes)[many])
         at = 0
-        for row, words in texts:
-            n = len(words) - h.window + 1
-            self.parts.append((keys[at : at + n], found[at : at + n], row, n))
-            self.held += n
-            at += len(words)
+        for (row, _), words in zip(texts, counts):
+            if (n := words - h.window + 1) > 0:
+                self.parts.append((keys[at : at + n], found[at : at + n], row, n))
+                self.held += n
+            at += words
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
         if not self.parts:
@@ -256,9 +306,8 @@ def _send(n_buckets: int, window: int, seed: bytes, hot: np.ndarray):
         held, size = [], 0
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) >= window:
-                    held.append((row, words))
+                if text:
+                    held.append((row, text.encode("utf-8", "surrogatepass")))
                     size += len(text)
                     if size >= HASH_BYTES:
                         sender.add(held)
@@ -316,9 +365,9 @@ def hot_keys(rows: DataFrame, window: int, seed: bytes) -> np.ndarray:
         hasher = Hasher(seed, window)
         for b in batches:
             for text in b.column(0).to_pylist():
-                words = words_of(text)
+                words = hasher.text((text or "").encode("utf-8", "surrogatepass"))[0]
                 if len(words) >= window:
-                    keys, n = np.unique(hasher.keys(hasher.words(words)), return_counts=True)
+                    keys, n = np.unique(hasher.keys(words), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     found = map_batches(rows.where(F.pmod(F.col("row"), F.lit(step)) == 0).select("text"), run, "key long, n long")

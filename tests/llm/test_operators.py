@@ -360,6 +360,26 @@ def test_window_hashes(spark):
     assert len(set(found.tolist())) == 7 == len(set(zip(found.tolist(), hasher.dealt(h).tolist())))
 
 
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    """Whatever the stretches, a word's hash depends on the word alone, and counts by text are those of split()."""
+    from boxlake.llm import substring_dedup as sd
+
+    rng = random.Random(33)
+    words = [bytes(rng.choice(b"ab\x00\xc3\xff\x1c") for _ in range(rng.choice([1, 2, 3, 9, 63, 64, 65, 300]))) for _ in range(400)]
+    words = [w for w in words if len(w.split()) == 1]
+    texts = [b"", b" \t", *(b"".join(rng.choice([b" ", b"\n", b"\x0b\r"]) + rng.choice(words) for _ in range(rng.randrange(40))) + rng.choice([b"", b" "]) for _ in range(60)), b"x" * 5000, b"y " + b"x" * 5000 + b" z"]
+    want: dict = {}
+    for stretch in (1 << 20, 200, 70, 1):
+        monkeypatch.setattr(sd, "STRETCH", stretch)
+        hasher = sd.Hasher(b"u" * 16, 5)
+        hashes, counts = sd.hashed(hasher, texts)
+        assert counts == [len(t.split()) for t in texts] and len(hashes) == sum(counts)
+        for w, h in zip((w for t in texts for w in t.split()), hashes.tolist()):
+            assert want.setdefault(w, h) == h
+    assert len(set(want.values())) == len(want) > 100
+    assert sd.Hasher(b"v" * 16, 5).words([b"x"])[0] != want[b"x" * 5000] and len(sd.Hasher(b"v" * 16, 5).words([])) == 0
+
+
 def test_substring_dedup_of_documents(spark):
     from conftest import SMALL
 
