@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,8 @@ _SHAPE = bytes(97 if x >= 128 or 97 <= x <= 122 else 65 if 65 <= x <= 90 else 48
 _BACK, _NEW, _LINE = b"abcdefgh", ord("n"), ord(".")
 #: Bytes of a piece of each view.
 VIEWS = (512, 512, 16)
+#: Sizes that a worker remembers for each view whose pieces have at most so many bytes.
+MEMO_PIECES, MEMO_PIECE = 200_000, 16
 
 
 def recurrence(data: bytes) -> bytes:
@@ -76,6 +79,33 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
+class Compressors:
+    """Sizes of pieces with the good and the bad dictionary of each view; those of short pieces, which come again and again, are remembered."""
+
+    def __init__(self, dictionaries: tuple[bytes, ...]):
+        self.compress, self.seen = [], [{} for _ in VIEWS]
+        for d in dictionaries:
+            known = zstandard.ZstdCompressionDict(d)
+            known.precompute_compress(LEVEL)
+            self.compress.append(zstandard.ZstdCompressor(dict_data=known, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+
+    def size(self, view: int, piece: bytes) -> tuple[int, int]:
+        if VIEWS[view] > MEMO_PIECE:
+            return len(self.compress[2 * view](piece)), len(self.compress[2 * view + 1](piece))
+        seen = self.seen[view]
+        if (found := seen.get(piece)) is None:
+            if len(seen) >= MEMO_PIECES:
+                seen.clear()
+            found = seen[piece] = len(self.compress[2 * view](piece)), len(self.compress[2 * view + 1](piece))
+        return found
+
+
+@lru_cache(maxsize=2)
+def _compressors(dictionaries: tuple[bytes, ...]) -> Compressors:
+    """Prepared once for each model in a worker."""
+    return Compressors(dictionaries)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Dictionaries, good and bad by view; mean difference by view; the curve's offset and weight of each view."""
@@ -84,13 +114,8 @@ class QualityModel:
     mean: tuple[float, ...]
     weights: tuple[float, ...]
 
-    def compressors(self) -> list:
-        out = []
-        for d in self.dictionaries:
-            known = zstandard.ZstdCompressionDict(d)
-            known.precompute_compress(LEVEL)
-            out.append(zstandard.ZstdCompressor(dict_data=known, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        return out
+    def compressors(self) -> Compressors:
+        return _compressors(self.dictionaries)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.dictionaries:
@@ -100,9 +125,13 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -30, 30)))
 
 
-def sizes(text: str | None, compressors: list) -> list[list[int]]:
+def sizes(text: str | None, compressors: Compressors) -> list[list[int]]:
     """Compressed sizes by view: with the good and with the bad dictionary."""
-    return [[sum(len(c(p)) for p in view) for c in compressors[2 * i : 2 * i + 2]] for i, view in enumerate(pieces(text))]
+    out = []
+    for i, view in enumerate(pieces(text)):
+        found = [compressors.size(i, p) for p in view]
+        out.append([sum(s[0] for s in found), sum(s[1] for s in found)])
+    return out
 
 
 def differences(sizes: np.ndarray, mean: tuple[float, ...] | None = None) -> np.ndarray:

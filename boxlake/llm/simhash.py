@@ -13,7 +13,8 @@ forest over its linked members, which keeps all components.
 Equal fingerprints are one vertex, however many documents have them. Null
 and empty texts have fingerprint zero and are linked like any other; a null
 doc_id takes part and gets its component's smallest id. Repeated rows give
-repeated result rows. Other columns are ignored.
+repeated result rows. Very long texts are hashed whole, in memory of one text's
+words; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
