@@ -185,7 +185,7 @@ def named_outside(tag: str, found: dict[str, str]) -> bool:
         if tag in LANDMARKS:  # an article is one comment or advert, or else the article whatever else it is called
             if words[0] in ("comment", "reply", "ad", "advert", "sponsored", "promo") and AFFIXES.issuperset(words[1:]):
                 return True
-        elif (len(words) <= 3 and (words[0] in NAMES or words[-1] in NAMES)) or (not ALONE.isdisjoint(words) and all(w in NAMES or w in ALONE or w in AFFIXES for w in words)):
+        elif (len(words) <= 3 and (words[0] in NAMES or words[-1] in NAMES)) or (not AFFIXES.issuperset(words) and all(w in NAMES or w in ALONE or w in AFFIXES for w in words)):
             return True
     return False
 

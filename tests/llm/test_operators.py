@@ -604,6 +604,28 @@ def test_quality(spark):
     assert classify(docs.limit(0), model).count() == 0 and fit_quality(docs.limit(0), known).dictionaries == ()
 
 
+def test_quality_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    """Repeated rows and rows without an id are scored alike, the latter teach nothing, and a full memo changes no score."""
+    from boxlake.llm import quality
+
+    texts = [(i, prose(i, 60, 3000) if i % 3 else "BUY $$ " * 40) for i in range(300)]
+    known = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    docs = frame(spark, texts)
+    model = quality.fit_quality(docs, known)
+    odd = frame(spark, [(5, texts[5][1])] * 3 + [(None, texts[5][1]), (None, None), (None, "BUY $$ " * 40)])
+    got = quality.classify(odd, model).collect()
+    assert len({r.score for r in got if r.doc_id == 5} | {got[3].score}) == 1 and len(got) == 6
+    assert {(r.held_out, r.predicted) for r in got if r.doc_id is None} <= {(False, 1), (False, 0)} and got[5].predicted == 0
+    again = quality.fit_quality(docs.unionByName(odd.where("doc_id is null")), known)
+    assert again.weights == model.weights
+    want = model.scores([t for _, t in texts])
+    monkeypatch.setattr(quality, "MEMO_PIECES", 2)
+    quality._compressors.cache_clear()
+    assert (model.scores([t for _, t in texts]) == want).all()
+    monkeypatch.setattr(quality, "MEMO_PIECE", 0)
+    assert (model.scores([t for _, t in texts]) == want).all()
+
+
 def test_quality_score_depends_on_differences_alone_and_is_calibrated(spark):
     import pyarrow.parquet as pq
     import zstandard
@@ -925,6 +947,8 @@ REPLIES = "<section id=comments><h2>Comments</h2><article class=comment><p>I thi
     f"<div class='layout left-sidebar'>{LINKS}<div><h1 id=comments-and-ads>Title here</h1>{STORY[19:]}</div></div>",
     f"<article><script>var t='</p><p>no'</script>{STORY}<style>p{{}}</style><!-- <p>no</p> --><form><label>Name</label><input></form><p hidden>no</p></article>{ASIDE}",
     STORY.replace("</p>", "<br>").replace(" ", " \n\t"),
+    f"<div class=main-menu-content><p>Menu text that goes on for quite a while, longer than any paragraph of the story itself.</p></div><div class=post-content-text>{STORY}</div><div id=post-comments-list>{REPLIES[21:]}</div>",
+    f"<table><tr><td class=left-menu>{LINKS}</td><td class=article-body>{STORY}</td></tr></table>",
 ])
 def test_main_text(page):
     from boxlake.llm.main_text import main_text
