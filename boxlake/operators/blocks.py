@@ -44,9 +44,11 @@ def _attached(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequenc
 
 
 def cut_points(df: DataFrame, by: Sequence[str], date: str, rows: int = BLOCK_ROWS) -> DataFrame | None:
-    """(by, _cuts): days after which a long history is cut, from quantile sketches; None if no key has more than ``rows`` dated rows.
+    """(by, _cuts, _weights): days after which a long history is cut, from quantile sketches; None if no key has more than ``rows`` dated rows.
 
-    Two scans of the key and date columns with partial aggregation; rows are not moved.
+    Two scans of the key and date columns with partial aggregation; rows are
+    not moved. A day that is several quantiles at once outgrows a block: its
+    weight says into how many copies the block that it ends is dealt.
     """
     days = df.select(*by, epoch_day(date).alias("_day")).where(F.col("_day").isNotNull())
     long = _small(days.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > rows))
@@ -55,23 +57,19 @@ def cut_points(df: DataFrame, by: Sequence[str], date: str, rows: int = BLOCK_RO
     pieces = -(-long.agg(F.max("_n")).first()[0] // rows)
     quantiles = F.percentile_approx("_day", [i / pieces for i in range(1, pieces)], max(10_000, 10 * pieces))
     found = _attached(days, long, by, ["_n"]).where(F.col("_n").isNotNull()).groupBy(*by).agg(quantiles.alias("_q"), F.ceil(F.count("*") / rows).cast("int").alias("_b"))
-    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_b") - 1), lambda i: F.element_at("_q", F.ceil(i * pieces / F.col("_b")).cast("int"))))
-    return _small(found.select(*by, cuts.alias("_cuts")))
+    wanted = F.transform(F.sequence(F.lit(1), F.col("_b") - 1), lambda i: F.element_at("_q", F.ceil(i * pieces / F.col("_b")).cast("int")))
+    found = found.withColumn("_all", wanted).withColumn("_cuts", F.array_distinct("_all"))
+    return _small(found.select(*by, "_cuts", F.transform("_cuts", lambda c: F.size(F.filter("_all", lambda x: x == c))).alias("_weights")))
 
 
 def with_block(df: DataFrame, by: Sequence[str], date: str, cuts: DataFrame) -> DataFrame:
-    """Adds ``_block``: 0 for short histories and rows without a date, else the number of cuts before the date."""
-    out = _attached(df, cuts, by, ["_cuts"])
-    return out.withColumn("_block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < epoch_day(date))), F.lit(0))).drop("_cuts")
+    """Adds ``_block``: 0 for short histories and rows without a date, else the number of cuts before the date; and ``_copies`` of the block."""
+    out = _attached(df, cuts, by, ["_cuts", "_weights"])
+    out = out.withColumn("_block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < epoch_day(date))), F.lit(0)))
+    return out.withColumn("_copies", F.coalesce(F.get("_weights", F.col("_block")), F.lit(1))).drop("_cuts", "_weights")
 
 
-def _full_blocks(left: DataFrame, by: Sequence[str], rows: int) -> DataFrame | None:
-    """(by, _block, _copies) of blocks with more than twice the rows meant: dates that outgrow a block."""
-    sizes = left.groupBy(*by, "_block").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * rows)
-    return _small(sizes.select(*by, "_block", F.ceil(F.col("_n") / rows).cast("int").alias("_copies")))
-
-
-def asof_parts(left: DataFrame, right: DataFrame, by: Sequence[str], date: str, cols: Sequence[str], tiebreak: Sequence[str], rows: int, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def asof_parts(left: DataFrame, right: DataFrame, by: Sequence[str], date: str, cols: Sequence[str], tiebreak: Sequence[str], cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``_block`` and ``_copy``; the right one with the values carried into each block."""
     rest = list(dict.fromkeys((*tiebreak, *cols)))
     newest = F.max(F.struct(*rest)).alias("_v")  # one row for each date
@@ -79,17 +77,13 @@ def asof_parts(left: DataFrame, right: DataFrame, by: Sequence[str], date: str,
     right = with_block(right, by, date, cuts)
     last = right.groupBy(*by, "_block").agg(F.max_by(F.struct(date, "_v"), date).alias("_last"))
     in_order = Window.partitionBy(*by).orderBy("_block")  # one row for each block
-    reach = _attached(last, cuts, by, ["_cuts"]).withColumn("_to", F.coalesce(F.lead("_block").over(in_order), F.size("_cuts"))).where(F.col("_to") > F.col("_block"))
-    carried = reach.select(*by, F.col(f"_last.{date}").alias(date), F.col("_last._v").alias("_v"), F.explode(F.sequence(F.col("_block") + 1, F.col("_to"))).alias("_block"))
-    right = right.unionByName(carried).select(*by, date, "_block", "_v.*")
+    reach = _attached(last, cuts, by, ["_cuts", "_weights"]).withColumn("_to", F.coalesce(F.lead("_block").over(in_order), F.size("_cuts"))).where(F.col("_to") > F.col("_block"))
+    carried = reach.select(*by, F.col(f"_last.{date}").alias(date), F.col("_last._v").alias("_v"), "_weights", F.explode(F.sequence(F.col("_block") + 1, F.col("_to"))).alias("_block"))
+    carried = carried.withColumn("_copies", F.coalesce(F.get("_weights", F.col("_block")), F.lit(1))).drop("_weights")
+    right = right.unionByName(carried).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(*by, date, "_block", "_copy", "_v.*")
     left = with_block(left, by, date, cuts)
-    full = _full_blocks(left, by, rows)
-    if full is None:
-        return left.withColumn("_copy", F.lit(0)), right.withColumn("_copy", F.lit(0))
-    deal = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.coalesce("_copies", F.lit(1))).cast("int")
-    left = _attached(left, full, [*by, "_block"], ["_copies"]).withColumn("_copy", deal).drop("_copies")
-    right = _attached(right, full, [*by, "_block"], ["_copies"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
-    return left, right
+    deal = F.when(F.col("_copies") > 1, F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.col("_copies"))).otherwise(0)
+    return left.withColumn("_copy", deal.cast("int")).drop("_copies"), right
 
 
 def asof_join_blocked(left: DataFrame, right: DataFrame, by: Sequence[str], date: str, cols: Sequence[str], tiebreak: Sequence[str] = (), strict: bool = True, rows: int = BLOCK_ROWS, cuts: DataFrame | None = None) -> DataFrame:
@@ -98,7 +92,7 @@ def asof_join_blocked(left: DataFrame, right: DataFrame, by: Sequence[str], date
         cuts = cut_points(left.select(*by, date).unionByName(right.select(*by, date)), by, date, rows)
     if cuts is None:
         return asof_join(left, right, by, date, cols, tiebreak, strict)
-    a, b = asof_parts(left, right, by, date, cols, tiebreak, rows, cuts)
+    a, b = asof_parts(left, right, by, date, cols, tiebreak, cuts)
     return asof_join(a, b, [*by, "_block", "_copy"], date, cols, tiebreak, strict).drop("_block", "_copy")
 
 
@@ -110,7 +104,7 @@ def trailing_states(past: DataFrame, by: Sequence[str], date: str, tiebreak: Seq
     top, order = max(windows), [date, *tiebreak, *names]
     newest_first = [F.desc(c) for c in order]
     in_day = F.row_number().over(Window.partitionBy(*by, date).orderBy(*newest_first[1:]))
-    past = with_block(past.withColumn("_place", in_day).where(F.col("_place") <= top).drop("_place"), by, date, cuts)  # of a date no more rows can matter
+    past = with_block(past.withColumn("_place", in_day).where(F.col("_place") <= top).drop("_place"), by, date, cuts).drop("_copies")  # of a date no more rows can matter
     tail = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*newest_first))
     tails = past.withColumn("_place", tail).where(F.col("_place") <= top).groupBy(*by, "_block").agg(F.collect_list(F.struct(*order)).alias("_rows"))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(-top, -1)  # each block holds a row at least, so these hold the last N

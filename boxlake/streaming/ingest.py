@@ -73,7 +73,6 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], partition: str
         batch = batch.withColumn(partition, F.nullif(F.col(partition), F.lit("")))
     batch = latest_snapshot(batch, keys, [*order, *[c for c in batch.columns if c not in (*keys, *order)]]).persist(StorageLevel.MEMORY_AND_DISK)
     out = batch.select(*keys) if deletes is None else batch.select(*keys).unionByName(deletes.select(*keys)).distinct()
-    out = out.withColumn("_bucket", _bucket(keys)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         old = stored(spark, path, partition, kind)
         if old is None:
@@ -82,32 +81,39 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], partition: str
             if (old := stored(spark, path, partition, kind)) is not None:
                 _index(spark, path, keys, partition, old, [])
             return
-        buckets = [r[0] for r in out.select("_bucket").distinct().collect()]  # at most INDEX_BUCKETS
-        index = _index(spark, path, keys, partition, old, buckets)
-        left = index.join(out.drop("_bucket"), same_keys(index, out, keys), "left_semi").select("_at")
-        touched = [r[0] for r in batch.select(F.col(partition).alias("_at")).union(left).distinct().collect()]  # partition values
-        there = old.where(_among(partition, touched))
-        folders = {r[0]: r[1] for r in there.select(partition, F.regexp_extract("_metadata.file_path", "^(.*)/", 1)).distinct().collect()}
-        stays = there.join(out.drop("_bucket"), same_keys(there, out, keys), "left_anti")
-        with staged(batch.unionByName(stays, allowMissingColumns=True), "merge") as whole:
-            held = {r[0] for r in whole.select(partition).distinct().collect()}
-            if held:
-                write_interim(whole, path, partition)
-        for value, folder in folders.items():
-            if value not in held:
-                remove(spark, folder, is_uri=True)
-        fresh = index.join(out.drop("_bucket"), same_keys(index, out, keys), "left_anti").unionByName(batch.select(*keys, F.col(partition).alias("_at"), _bucket(keys)))
-        with staged(fresh, "keys") as rows:
-            kept = {r[0] for r in rows.select("_bucket").distinct().collect()}
-            if kept:
-                write_interim(rows, f"{path.rstrip('/')}/_keys", "_bucket")
-        for b in set(buckets) - kept:
-            remove(spark, f"{path.rstrip('/')}/_keys/_bucket={b}")
+        # Staged, as the keys to delete may come from the very files that are replaced below.
+        with staged(out.withColumn("_bucket", _bucket(keys)), "out") as out:
+            _replace(batch, out, old, path, keys, partition)
     finally:
-        out.unpersist()
         batch.unpersist()
 
 
+def _replace(batch: DataFrame, out: DataFrame, old: DataFrame, path: str, keys: Sequence[str], partition: str) -> None:
+    """Rewrite the partitions that rows of ``batch`` enter or rows of the keys in ``out`` leave, then the index."""
+    spark, index_at = batch.sparkSession, f"{path.rstrip('/')}/_keys"
+    buckets = [r[0] for r in out.select("_bucket").distinct().collect()]  # at most INDEX_BUCKETS
+    index, gone = _index(spark, path, keys, partition, old, buckets), out.drop("_bucket")
+    left = index.join(gone, same_keys(index, gone, keys), "left_semi").select("_at")
+    touched = [r[0] for r in batch.select(F.col(partition).alias("_at")).union(left).distinct().collect()]  # partition values
+    there = old.where(_among(partition, touched))
+    folders = {r[0]: r[1] for r in there.select(partition, F.regexp_extract("_metadata.file_path", "^(.*)/", 1)).distinct().collect()}
+    stays = there.join(gone, same_keys(there, gone, keys), "left_anti")
+    with staged(batch.unionByName(stays, allowMissingColumns=True), "merge") as whole:
+        held = {r[0] for r in whole.select(partition).distinct().collect()}
+        if held:
+            write_interim(whole, path, partition)
+    for value, folder in folders.items():
+        if value not in held:
+            remove(spark, folder, is_uri=True)
+    fresh = index.join(gone, same_keys(index, gone, keys), "left_anti").unionByName(batch.select(*keys, F.col(partition).alias("_at"), _bucket(keys)))
+    with staged(fresh, "keys") as rows:
+        kept = {r[0] for r in rows.select("_bucket").distinct().collect()}
+        if kept:
+            write_interim(rows, index_at, "_bucket")
+    for b in set(buckets) - kept:
+        remove(spark, f"{index_at}/_bucket={b}")
+
+
 def ingest_incremental(spark: SparkSession, source: str, out: str, checkpoint: str, schema: T.StructType, transform: Transform, keys: Sequence[str], partition: str = "season", glob: str = "*.parquet", after: Callable[[DataFrame], None] | None = None, order: Sequence[str] = ()) -> None:
     """Take all files not seen before, then stop; a run without new files changes nothing."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -79,7 +79,7 @@ def test_no_group_outgrows_its_bound(spark):
     df = spark.createDataFrame(history(9, 9000), SCHEMA).repartition(8)
     rows = 300
     cuts = blocks.cut_points(df, ["e"], "d", rows)
-    left, right = blocks.asof_parts(df, df.select("e", "d", F.col("x").alias("v")), ["e"], "d", ["v"], [], rows, cuts)
+    left, right = blocks.asof_parts(df, df.select("e", "d", F.col("x").alias("v")), ["e"], "d", ["v"], [], cuts)
     group = ["e", "_block", "_copy"]
     assert max(r["count"] for r in left.where("d is not null").groupBy(*group).count().collect()) <= 3 * rows
     assert max(r["count"] for r in right.groupBy(*group).count().collect()) <= 3 * rows
