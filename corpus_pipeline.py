@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted on the stage's own input, accepts, with all their columns.
 
     Null and empty texts are scored like any other (the curve's value for no
-    evidence). Repeated rows go or stay together; empty tables stay empty.
+    evidence), very long ones whole. Repeated rows go or stay together; empty tables stay empty.
     """
     prepare(spark)
     model = fit_quality(docs, read(spark, sf_dir, "labels"))
@@ -33,7 +33,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of recurring templates; n_chars, if there, follows the text.
 
     Null texts stay null, with a null n_chars, and a text that loses all its
-    lines stays as an empty one. All rows and columns are kept.
+    lines stays as an empty one. Very long texts are parsed whole. All rows and
+    columns are kept; empty tables stay empty.
     """
     cut = drop_recurring_lines(docs).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
@@ -43,13 +44,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies, the one of the smallest doc_id, with all its columns.
 
     Texts without words, null ones included, are one group. A row without
-    doc_id stays, and rows that repeat doc_id and text stay or go together.
+    doc_id stays, and rows that repeat doc_id and text stay or go together. Very
+    long texts are compared by all their shingles; empty tables stay empty.
     """
     return one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item, with all their columns; null and empty texts contain none."""
+    """Documents that contain no benchmark item, with all their columns.
+
+    Null and empty texts contain none, very long ones are searched whole.
+    Repeated rows stay or go together; with an empty table on either side all stay.
+    """
     return without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
