@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
@@ -35,6 +35,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spark_path(spark: SparkSession) -> Callable[[str], str]:
+    """Turns an escaped URI, as in file metadata, into a path."""
+    jvm = spark.sparkContext._jvm
+    return lambda uri: jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()
+
+
 def _file_system(spark: SparkSession, at):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -100,9 +106,15 @@ def conform(df: DataFrame, schema: T.StructType, extra: str = "ignore") -> DataF
 
 
 def raw_inventory(df: DataFrame) -> DataFrame:
-    """Files, rows and bytes by endpoint (the folder that holds a file)."""
-    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    return files.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("endpoint")).agg(F.count("*").alias("files"), F.sum("n").alias("rows"), F.sum("size").alias("bytes"))
+    """Files, rows and bytes by endpoint (the folder that holds a file); files without rows count too."""
+    spark, at = df.sparkSession, spark_path(df.sparkSession)
+    found = [re.sub(r"([\\\[\]{}*?])", r"\\\1", at(f)) for f in df.inputFiles()]  # names, not patterns
+    if not found:
+        return spark.createDataFrame([], "endpoint string, files long, rows long, bytes long")
+    files = spark.read.format("binaryFile").load(found).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    rows = df.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    both = files.join(rows, "path", "left")
+    return both.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("endpoint")).agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum("size").alias("bytes"))
 
 
 def latest_snapshot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
