@@ -98,3 +98,28 @@ def test_no_window_over_a_whole_entity(spark):
     for keys in re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", plan):
         assert "_block" in keys or "d#" in keys or keys.count("#") == 1
     assert "SinglePartition" not in plan
+
+
+def test_cuts_follow_dates_not_rows(spark, monkeypatch):
+    """With ten times the rows on the same dates, what is cut into blocks stays as it is."""
+    sizes, points = [], blocks.cut_points
+    monkeypatch.setattr(blocks, "cut_points", lambda df, *rest: sizes.append(df.count()) or points(df, *rest))
+    for n in (1, 10):
+        df = spark.createDataFrame(history(11, 600), SCHEMA).distinct().join(spark.range(n).toDF("copy"))
+        df = df.withColumn("g", F.col("g") * 100 + F.col("copy")).drop("copy")
+        args = (df, ["e"], "season", "d", ["x"], F.col("x") > 0)
+        same(blocks.season_to_date_blocked(*args, rows=ROWS), rolling.season_to_date(*args))
+        right = df.where("g % 3 = 0").select("e", "d", "g", F.col("x").alias("v"))
+        args = (df, right, ["e"], "d", ["v", "g"], ["g"])
+        same(blocks.asof_join_blocked(*args, rows=ROWS), joins.asof_join(*args))
+        args = (df, ["e"], "d", ["g"], {"x": F.col("x")}, (2,), F.col("x") > 0)
+        same(blocks.prior_rolling_blocked(*args, rows=ROWS), rolling.prior_rolling(*args))
+    assert len(sizes) == 6 and sizes[:2] == sizes[3:5]
+    assert sizes[5] <= 2 * sizes[4]
+
+
+def test_features_by_date_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MOST_DATES", 0)
+    df = spark.createDataFrame(history(12), SCHEMA)
+    args = (df, ["e"], "d", ["g"], {"x": F.col("x")}, (3,), F.col("x") > 0, True)
+    same(blocks.prior_rolling_blocked(*args, rows=ROWS), rolling.prior_rolling(*args))
