@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,18 @@ from pyspark.sql import functions as F
 from ..schemas import COUNTS
 
 
+def _any(conditions: Iterable[Column]) -> Column:
+    """Whether one is true; false without any. Plain expressions, which Spark compiles, unlike functions over arrays."""
+    return reduce(Column.__or__, conditions, F.lit(False))
+
+
 def box_checks(counts: Sequence[str] = COUNTS, minutes: str = "minutes", dnp: str | None = "dnp", points: bool = False) -> dict[str, Column]:
     """Name -> condition that is true for a violation; null values violate nothing."""
     c = F.col
     checks = {
         "fgm_le_fga": c("fgm") > c("fga"), "tpm_le_tpa": c("tpm") > c("tpa"), "ftm_le_fta": c("ftm") > c("fta"), "tpm_le_fgm": c("tpm") > c("fgm"), "tpa_le_fga": c("tpa") > c("fga"),
         "reb_sum": c("oreb") + c("dreb") != c("reb"), "non_negative": F.least(*counts, minutes) < 0,
-        "integral": F.exists(F.array(*[c(n).cast("double") for n in counts]), lambda x: x != F.floor(x))}
+        "integral": _any(c(n).cast("double") % 1 != 0 for n in counts)}
     if dnp:
         checks["dnp_minutes"] = c(dnp) != (c(minutes) == 0)
     if points:
@@ -36,16 +42,18 @@ def absence_checks(dnp: str = "dnp", minutes: str = "minutes") -> dict[str, Colu
 
 def with_violations(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Adds ``violations``, the names of the checks that a row fails."""
-    return df.withColumn("violations", F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull()))
+    none = F.array().cast("array<string>")
+    return df.withColumn("violations", F.concat(none, *[F.when(bad, F.array(F.lit(name))).otherwise(none) for name, bad in checks.items()]))
 
 
 def validate(df: DataFrame, checks: Mapping[str, Column], mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """(valid, rejected); ``mode="fail"`` raises on the first reject."""
-    marked = with_violations(df, checks)
-    rejected = marked.where(F.size("violations") > 0)
+    # A generator's output, as conditions on it are not pushed below: there, every check would repeat the expressions behind its columns.
+    marked = df.select("*", F.explode(F.array(_any(F.coalesce(bad, F.lit(False)) for bad in checks.values()))).alias("_failed"))
+    rejected = with_violations(marked.where("_failed").drop("_failed"), checks)
     if mode == "fail" and (first := rejected.select("violations").first()) is not None:
         raise ValueError(f"constraint violated: {', '.join(first.violations)}")
-    return marked.where(F.size("violations") == 0).drop("violations"), rejected
+    return marked.where(~F.col("_failed")).drop("_failed"), rejected
 
 
 def constraint_violation_rate(df: DataFrame, checks: Mapping[str, Column], unit: Sequence[str]) -> DataFrame:
