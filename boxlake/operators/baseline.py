@@ -12,24 +12,39 @@ from .joins import tiered
 from .rolling import season_to_date
 
 
+def _means(df: DataFrame, stats: Sequence[str], played: Column, train: Column) -> tuple[DataFrame, DataFrame]:
+    """``_last_<stat>`` by ``_player`` and ``_next``, the season after, and ``_pos_<stat>`` by position over training rows; both from one set of sums.
+
+    Keys of the past come out of an aggregate, and training rows are told by
+    a condition: a filter on either would be pushed down to the sources, and
+    Spark could not use one exchange of them for all branches.
+    """
+    names = ["_n", *[f"_s_{s}" for s in stats]]
+    sums = df.where(played).groupBy("player_id", "season", "position", train.alias("_train")).agg(F.count("*").alias("_n"), *[F.sum(s).alias(f"_s_{s}") for s in stats])
+    mean = lambda prefix: [F.try_divide(F.col(f"_s_{s}"), F.col("_n")).alias(f"{prefix}{s}") for s in stats]
+    last = sums.groupBy("player_id", "season").agg(F.max("player_id").alias("_player"), (F.max("season") + 1).alias("_next"), *[F.sum(c).alias(c) for c in names])
+    position = sums.groupBy("position").agg(*[F.sum(F.when(F.col("_train"), F.col(c))).alias(c) for c in names])
+    return last.select("_player", "_next", *mean("_last_")), position.select("position", *mean("_pos_"))
+
+
+def _with_means(std: DataFrame, last: DataFrame, position: DataFrame) -> DataFrame:
+    out = std.join(last, (std["player_id"] == last["_player"]) & (std["season"] == last["_next"]), "left").drop("_player", "_next")
+    return out.join(F.broadcast(position), "position", "left")  # one row for each position
+
+
 def season_average_baseline(df: DataFrame, stat: str, played: Column, train: Column) -> DataFrame:
     """``pred`` and ``tier``: season to date, else last season's mean, else the position's mean over training rows."""
     std = season_to_date(df, ["player_id"], "season", "game_date", [stat], played)
     std = std.withColumn("_own", F.try_divide(F.col(f"std_{stat}").cast("double"), F.col("std_n"))).drop("std_n", f"std_{stat}")
-    last = df.where(played).groupBy("player_id", (F.col("season") + 1).alias("season")).agg((F.sum(stat) / F.count("*")).alias("_last"))
-    position = df.where(played & train).groupBy("position").agg((F.sum(stat) / F.count("*")).alias("_pos"))
-    out = std.join(last, ["player_id", "season"], "left").join(F.broadcast(position), "position", "left")  # one row for each position
-    tier = F.when(F.col("_own").isNotNull(), 1).when(F.col("_last").isNotNull(), 2).when(F.col("_pos").isNotNull(), 3)
-    return out.withColumns({"pred": F.coalesce("_own", "_last", "_pos"), "tier": tier}).drop("_own", "_last", "_pos")
+    out, found = _with_means(std, *_means(df, [stat], played, train)), ["_own", f"_last_{stat}", f"_pos_{stat}"]
+    tier = F.coalesce(*[F.when(F.col(c).isNotNull(), i) for i, c in enumerate(found, 1)])
+    return out.withColumns({"pred": F.coalesce(*found), "tier": tier}).drop(*found)
 
 
 def season_average_predictions(df: DataFrame, stats: Sequence[str], played: Column, train: Column) -> DataFrame:
     """``pred_<stat>`` of :func:`season_average_baseline` for several stats, with one pass of each step for all of them."""
     std = season_to_date(df, ["player_id"], "season", "game_date", stats, played)
-    mean = lambda prefix: [(F.sum(s) / F.count("*")).alias(f"{prefix}{s}") for s in stats]
-    last = df.where(played).groupBy("player_id", (F.col("season") + 1).alias("season")).agg(*mean("_last_"))
-    position = df.where(played & train).groupBy("position").agg(*mean("_pos_"))
-    out = std.join(last, ["player_id", "season"], "left").join(F.broadcast(position), "position", "left")
+    out = _with_means(std, *_means(df, stats, played, train))
     preds = {f"pred_{s}": F.coalesce(F.try_divide(F.col(f"std_{s}").cast("double"), F.col("std_n")), f"_last_{s}", f"_pos_{s}") for s in stats}
     return out.withColumns(preds).select(*df.columns, *preds)
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.raw import same_keys
 from .sketches import KLL_K, quantile_sketches, quantiles
 
 
@@ -70,6 +71,7 @@ def summarize_samples(samples: DataFrame, keys: Sequence[str], stats: Sequence[s
 
 
 def box_score_card(predicted: DataFrame, actual: DataFrame, games: DataFrame, keys: Sequence[str], stats: Sequence[str], game: str = "game_id") -> DataFrame:
-    """Predicted beside actual rows of the given games."""
-    p = predicted.select(*keys, *[F.col(s).alias(f"{s}_pred") for s in stats])
-    return actual.select(*keys, *stats).join(games.select(game), game, "left_semi").join(p, list(keys), "left")
+    """Predicted beside actual rows of the given games, to which both are reduced before they meet; null keys are keys. ``keys`` hold the game."""
+    p = predicted.join(games.select(game), game, "left_semi").select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(s).alias(f"{s}_pred") for s in stats])
+    rows = actual.select(*keys, *stats).join(games.select(game), game, "left_semi")
+    return rows.join(p, same_keys(rows, p, keys, [f"_k_{k}" for k in keys]), "left").drop(*[f"_k_{k}" for k in keys])

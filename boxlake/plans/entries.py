@@ -1189,9 +1189,10 @@ def met6_compare(spark, sf_dir):
 
 @query(_BASE1 + ", sg as (select game_id from game order by game_id * 7919 % 10007, game_id limit 20) select game_id, player_id, y as pts, round(pred, 6) as pts_pred from b1 where game_id in (select game_id from sg)")
 def met7_card(spark, sf_dir):
-    rows = _predicted(spark, sf_dir)
+    predicted = _predicted(spark, sf_dir).select("game_id", "player_id", F.col("pred").alias("pts"))
+    actual = view(spark, sf_dir, "pbox").withColumn("pts", points())
     games = reshape.sample_games(view(spark, sf_dir, "game"), 20, F.col("game_id") * 7919 % 10007)
-    card = metrics.box_score_card(rows.select("game_id", "player_id", F.col("pred").alias("pts")), rows, games, ["game_id", "player_id"], ["pts"])
+    card = metrics.box_score_card(predicted, actual, games, ["game_id", "player_id"], ["pts"])
     return rounded(card.select("game_id", "player_id", "pts", "pts_pred"), "pts_pred")
 
 
