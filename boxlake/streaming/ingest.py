@@ -47,12 +47,12 @@ def _among(c: str, values: Sequence) -> Column:
     return F.col(c).isin(some) | (F.col(c).isNull() if None in values else F.lit(False))
 
 
-def _index(spark: SparkSession, path: str, keys: Sequence[str], partition: str, old: DataFrame, buckets: Sequence[int]) -> DataFrame:
-    """The index rows of these buckets; a table without an index gets one from its key columns."""
+def _index(spark: SparkSession, path: str, keys: Sequence[str], partition: str, old: DataFrame, buckets: Sequence[int], unique: bool = False) -> DataFrame:
+    """The index rows of these buckets; a table without an index gets one from its key columns, which may be known to be ``unique``."""
     at = f"{path.rstrip('/')}/_keys"
     own = old.select(*keys, F.col(partition).alias("_at"), _bucket(keys))
     if not exists(spark, at):
-        own.distinct().hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(at)
+        (own if unique else own.distinct()).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(at)
     return spark.read.schema(own.schema).parquet(at).where(F.col("_bucket").isin(list(buckets)))
 
 
@@ -71,16 +71,17 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], partition: str
     kind = batch.schema[partition].dataType
     if isinstance(kind, T.StringType):
         batch = batch.withColumn(partition, F.nullif(F.col(partition), F.lit("")))
-    batch = latest_snapshot(batch, keys, [*order, *[c for c in batch.columns if c not in (*keys, *order)]]).persist(StorageLevel.MEMORY_AND_DISK)
+    batch = latest_snapshot(batch, keys, [*order, *[c for c in batch.columns if c not in (*keys, *order)]])
+    old = stored(spark, path, partition, kind)
+    if old is None:  # written at once, as nothing else reads the batch
+        remove(spark, f"{path.rstrip('/')}/_keys")
+        write_interim(batch, path, partition)
+        if (old := stored(spark, path, partition, kind)) is not None:
+            _index(spark, path, keys, partition, old, [], unique=True)
+        return
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     out = batch.select(*keys) if deletes is None else batch.select(*keys).unionByName(deletes.select(*keys)).distinct()
     try:
-        old = stored(spark, path, partition, kind)
-        if old is None:
-            remove(spark, f"{path.rstrip('/')}/_keys")
-            write_interim(batch, path, partition)
-            if (old := stored(spark, path, partition, kind)) is not None:
-                _index(spark, path, keys, partition, old, [])
-            return
         # Staged, as the keys to delete may come from the very files that are replaced below.
         with staged(out.withColumn("_bucket", _bucket(keys)), "out") as out:
             _replace(batch, out, old, path, keys, partition)

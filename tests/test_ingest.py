@@ -111,3 +111,16 @@ def test_corrected_header_moves_features(spark, tmp_path):
     cols = ["game_id", "player_id", "season", "game_date", "n_3", "s_sum_3"]
     got = stored(spark, features, "season", T.IntegerType())
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_new_table_is_written_without_a_second_pass(spark, tmp_path, monkeypatch):
+    """A first batch is neither kept in memory nor are its keys made distinct again; repeated keys are settled all the same."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    calls = []
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *a: calls.append("persist") or df)
+    monkeypatch.setattr(DataFrame, "distinct", lambda df: calls.append("distinct") or df.dropDuplicates())
+    path = str(tmp_path / "t")
+    merge_batch(spark.createDataFrame([(1, 2000, 1), (1, 2001, 2), (None, None, 3), (None, 2000, 1)], ROWS), path, ["id"], "season")
+    assert not calls and held(spark, path) == [(1, 2001, 2), (None, 2000, 1)]
+    assert spark.read.parquet(f"{path}/_keys").count() == 2
